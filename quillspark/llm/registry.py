@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL; a query without SQL is held to a brute-force version in tests/llm."""
 
-from . import chat, exact_dedup, packing
+from . import bpe, chat, exact_dedup, packing
 
 QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_bpe": bpe.op8_bpe,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
 }
 ORACLES = {"op5_chat_format": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
