@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL; a query without SQL is held to a brute-force version in tests/llm."""
 
-from . import bpe, chat, exact_dedup, packing
+from . import bpe, chat, exact_dedup, packing, pii
 
 QUERIES = {
+    "op3_pii": pii.op3_pii,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_bpe": bpe.op8_bpe,
