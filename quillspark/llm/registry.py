@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL; a query without SQL is held to a brute-force version in tests/llm."""
 
-from . import bpe, chat, exact_dedup, packing, pii, toxicity
+from . import bpe, chat, exact_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
 }
