@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL; a query without SQL is held to a brute-force version in tests/llm."""
 
-from . import bpe, chat, exact_dedup, packing, pii, quality, toxicity
+from . import bpe, chat, exact_dedup, neighbours, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_vp_nearest": neighbours.op1_vp_nearest,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op5_chat_format": chat.op5_chat_format,
