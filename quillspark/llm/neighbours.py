@@ -117,9 +117,9 @@ def nearest(
     ).filter(F.col("id").isNotNull() & sound(F.col("v"))).withColumn("dim", F.size("v"))
     base, asked = pick(vectors), pick(queries)
     shards, blocks = -(-base.count() // shard) or 1, -(-asked.count() // block) or 1
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks).cast("long"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("shard", every(shards).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    base = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("shard", every(shards))
 
     def look(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
