@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL; a query without SQL is held to a brute-force version in tests/llm."""
 
-from . import bpe, chat, exact_dedup, neighbours, packing, pii, quality, toxicity
+from . import bpe, chat, exact_dedup, near_dedup, neighbours, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_vp_nearest": neighbours.op1_vp_nearest,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLES = {"op5_chat_format": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
