@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL; a query without SQL is held to a brute-force version in tests/llm."""
 
-from . import bpe, chat, exact_dedup, near_dedup, neighbours, packing, pii, quality, toxicity
+from . import bpe, chat, exact_dedup, near_dedup, neighbours, packing, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_vp_nearest": neighbours.op1_vp_nearest,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
+    "op4_remove_repeats": repeats.op4_remove_repeats,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
