@@ -1,4 +1,6 @@
 """The registered queries over the given tables and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import column_queries, link_queries, merge_queries, search_queries  # noqa: F401  (they register themselves)
+from .common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
