@@ -36,14 +36,19 @@ def m1(spark, sf):
     return linkage.unambiguous_index(rows, "tk", F.col("clean")).select("tk", "clean")
 
 
+def dated(spark, sf):
+    """Papers whose conf carries its year, as the year guard wants it."""
+    return papers(spark, sf).withColumn("conf", F.concat("conf", F.col("year").cast("string")))
+
+
 @query("m2_m4_match_priority", f"{EXT}{_INDEX} select id, case when uc is not null then 'url' else 'title' end as method from m where coalesce(uc, tc) is not null")
 def m2(spark, sf):
-    return linkage.match_priority(papers(spark, sf), index(spark, sf)).select("id", "method")
+    return linkage.match_priority(dated(spark, sf), index(spark, sf)).select("id", "method")
 
 
 @query("m3_fill_abstract", f"{EXT}{_INDEX} select id, case when trim(abstract) = '' and length(coalesce(uc, tc)) >= 60 then coalesce(uc, tc) else abstract end as abstract from m")
 def m3(spark, sf):
-    p = papers(spark, sf)
+    p = dated(spark, sf)
     return linkage.fill_abstract(p, linkage.match_priority(p, index(spark, sf)))[0].select("id", "abstract")
 
 
@@ -244,8 +249,8 @@ def r6(spark, sf):
     """Repaired and then wholly reverted: the urls of the raw rows come back (rows that shared a wrapped url as one)."""
     r = raw(spark, sf)
     now, log = repair.repair_urls(r, accepted(spark, sf))
-    one = F.min_by(F.struct("new_url", "action", "abstract_filled"), F.struct(F.col("action") == "merge", "seq"))
-    first = log.groupBy("conf", "old_url").agg(one.alias("r")).select("conf", "old_url", "r.*")
+    one = F.min_by(F.struct("action", "abstract_filled"), F.struct(F.col("action") == "merge", "seq"))
+    first = log.groupBy("conf", "old_url", "new_url").agg(one.alias("r")).select("conf", "old_url", "new_url", "r.*")
     out, _ = repair.revert(now, r, first, state(spark, sf))
     archived = F.col("paper_url").startswith("https://web.archive.org/")
     rows = out.select("conf", "paper_url", F.when(archived, F.col("paper_url")).otherwise(F.concat_ws("#", "paper_url", F.col("seq").cast("string"))).alias("u")).distinct()
