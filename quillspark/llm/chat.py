@@ -38,8 +38,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, turn, role, text, one row per turn that is left.
 
     Ties in seq are ordered by turn, kind, role and text. Null texts count as empty, null kinds as messages; null
-    conv_ids form one conversation and null turns come first. A turn's role is that of its last surviving event with
-    a role. An empty log gives no rows. Columns beside the six named ones are ignored.
+    conv_ids form one conversation and null turns come first. A turn's role is the last that an event gave it. An empty log gives no rows. Columns beside the six named ones are ignored.
     """
     e = events.select(
         "conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "turn", "role",
@@ -52,6 +51,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     # the last event that threw away earlier turns' successors: any regenerate of a smaller turn
     e = e.withColumn("turn_no", F.dense_rank().over(conv.orderBy(F.asc_nulls_first("turn"))))
     below = conv.orderBy("turn_no").rangeBetween(Window.unboundedPreceding, -1)
+    said = F.when(F.col("role").isNotNull(), F.col("at"))
+    e = e.withColumn("role", F.max_by("role", said).over(Window.partitionBy("conv_id", "turn_no")))
     e = e.withColumn("since", F.greatest(
         F.coalesce(F.max(renewed).over(Window.partitionBy("conv_id", "turn_no")), F.lit(0)),
         F.coalesce(F.max(dropped).over(below), F.lit(0)),
@@ -60,7 +61,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     return (
         e.withColumn("text", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")))
         .groupBy("conv_id", "turn_no")
-        .agg(F.first("turn").alias("turn"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("at"))).alias("role"), text.alias("text"))
+        .agg(F.first("turn").alias("turn"), F.first("role").alias("role"), text.alias("text"))
         .select("conv_id", "turn_no", "turn", "role", "text")
     )
 
