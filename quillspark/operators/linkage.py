@@ -11,6 +11,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import predicates as P
@@ -89,7 +90,7 @@ def fill_code_from_text(papers: DataFrame, year: int | None = None, retry: bool
     return papers.withColumn("code", F.when(due, F.coalesce(F.nullif(C.github_link(F.col("abstract")), F.lit("")), F.lit("#"))).otherwise(F.col("code")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
