@@ -71,8 +71,7 @@ def children(path: np.ndarray, tokens: np.ndarray, branch: float) -> tuple[np.nd
 
 
 def branched(rows: DataFrame, trees: int, branch: float) -> DataFrame:
-    """path, key of the next level; rows have key, tokens and, below the roots, path."""
-    at_root = "path" not in rows.columns
+    """path, key of the first level of every tree, of rows (key, tokens)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +79,8 @@ def branched(rows: DataFrame, trees: int, branch: float) -> DataFrame:
                 continue
             key = batch.column("key").to_numpy()
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            starts = [np.full(len(key), t, np.uint64) for t in range(1, trees + 1)] if at_root else [batch.column("path").to_numpy().view(np.uint64)]
-            for path in starts:
-                row, child = children(path, tokens, branch)
+            for tree in range(1, trees + 1):
+                row, child = children(np.full(len(key), tree, np.uint64), tokens, branch)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(key[row])], ["path", "key"])
 
     return rows.mapInArrow(go, "path long, key long")
@@ -197,29 +195,80 @@ def in_groups(rows: DataFrame, column: str, parts: int, work: Callable, size: in
     return rows.repartition(parts, column).sortWithinPartitions(column).mapInPandas(by_group(column, work, size), "a long, b long")
 
 
-def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float, limit: int, depth: int) -> DataFrame:
+def meet_heads(rows: DataFrame, branch: float, near: float, far: float) -> DataFrame:
+    """What becomes of the rows (path, key, tokens, heads) of large nodes: kind 0 with an edge (x, y) of keys, kind 1
+    with a child path x and the key y.
+
+    Heads are a few classes of the node. A row is joined to every head within `far` of it. One within `near` of a head
+    then stays behind: by the triangle inequality whatever it is linked with lies within `far` of that head and is
+    joined to it as well. So a crowd of near copies doesn't branch on and on. The others branch.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
+            heads = batch.column("heads")
+            row = np.repeat(np.arange(len(key)), np.diff(heads.offsets.to_numpy()))
+            flat = heads.flatten()
+            head = flat.field("key").to_numpy()
+            theirs = np.frombuffer(b"".join(flat.field("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
+            alike = (tokens[row] == theirs).mean(1)
+            best = np.zeros(len(key))
+            np.maximum.at(best, row, alike)
+            behind = best >= near
+            first = np.zeros(len(key), np.int64)
+            top = alike == best[row]
+            first[row[top]] = head[top]
+            to = first[row]
+            edge = (alike >= far) & np.where(top & (head == to), key[row] != head, head != to)
+            # a row is joined to its nearest head, and that one to the others that the row is near to
+            a = np.where(head == to, key[row], to)[edge]
+            pairs = np.unique(np.stack([a, head[edge]]), axis=1)
+            left = np.flatnonzero(~behind)
+            own, child = children(batch.column("path").to_numpy().view(np.uint64)[left], tokens[left], branch)
+            x = np.concatenate([pairs[0], child.view(np.int64)])
+            y = np.concatenate([pairs[1], key[left[own]]])
+            kind = np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(len(child), np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y)], ["kind", "x", "y"])
+
+    return rows.mapInArrow(go, "kind int, x long, y long")
+
+
+def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float, limit: int, depth: int, heads: int = 4) -> DataFrame:
     """Edges (a, b) of keys that span the candidate clusters of classes(key, n, tokens)."""
     spark = classes.sparkSession
+    near = percent / 100
+    far = near - (1 - near) - MARGIN * 1.5
     found = None
     level = branched(classes.select("key", "tokens"), trees, branch)
     for d in range(depth):
         counts = level.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         nodes = shared.stored(level.join(counts, "path"), "near-nodes")
-        last = d == depth - 1
         small = nodes.filter(F.col("size") <= limit).join(classes.select("key", "tokens"), "key")
         small = small.select("path", "key", F.col("tokens").alias("sketch"))
         n = nodes.agg(F.count_if(F.col("size") <= limit).alias("small"), F.count_if(F.col("size") > limit).alias("large")).first()
-        edges = [in_groups(low_bytes(small), "path", shared.parts(spark, n["small"], 100_000), compare_nodes(percent / 100 - MARGIN), 20_000)]
+        edges = [in_groups(low_bytes(small), "path", shared.parts(spark, n["small"], 100_000), compare_nodes(near - MARGIN), 20_000)]
         large = nodes.filter(F.col("size") > limit)
-        if last and n["large"]:
-            heads = large.groupBy("path").agg(F.min("key").alias("b"))
-            edges.append(large.join(heads, "path").select(F.col("key").alias("a"), "b"))
+        if n["large"] and d < depth - 1:
+            whole = large.select("path", "key").join(classes.select("key", "tokens"), "key")
+            # one head of each of a few slices of a node, so that partial aggregation finds them
+            one = F.min_by(F.struct("key", "tokens"), F.xxhash64("key"))
+            some = whole.groupBy("path", F.pmod(F.xxhash64("key", F.lit(d)), F.lit(heads)).alias("slice")).agg(one.alias("h"))
+            some = some.groupBy("path").agg(F.collect_list("h").alias("heads"))
+            met = shared.stored(meet_heads(whole.join(some, "path"), branch, near, far), "near-met")
+            edges.append(met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
+            level = met.filter("kind = 1").select(F.col("x").alias("path"), F.col("y").alias("key"))
+        elif n["large"]:
+            first = large.groupBy("path").agg(F.min("key").alias("b"))
+            edges.append(large.join(first, "path").select(F.col("key").alias("a"), "b"))
         for e in edges:
             e = shared.stored(e.distinct(), "near-candidates")
             found = e if found is None else found.unionByName(e)
-        if last or not n["large"]:
+        if not n["large"]:
             break
-        level = branched(large.select("path", "key").join(classes.select("key", "tokens"), "key"), trees, branch)
     return found
 
 
