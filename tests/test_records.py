@@ -246,3 +246,62 @@ def test_pages(spark):
 def test_inverted_index(spark):
     rows = spark.createDataFrame([({"we": [0], "go": [1, 3]},), ({},), (None,)], "m map<string, array<int>>")
     assert [r[0] for r in rows.select(records.flatten_inverted_index(F.col("m"))).collect()] == ["we go  go", None, None]
+
+
+def test_files_in_and_out(spark, tmp_path, papers):
+    import gzip
+
+    with gzip.open(tmp_path / "in.jsonl.gz", "wt") as f:
+        f.write('{"conf": "A2020", "paper_name": "x"}\n\n{"conf": "B2021", "paper_name": "y"}\n')
+    rows = records.read_papers(spark, str(tmp_path / "in.jsonl.gz"))
+    assert [r["paper_name"] for r in rows.orderBy("seq").collect()] == ["x", "y"]
+    assert records.preflight(rows)[0] == {"rows": 2, "errors": 0}
+    with pytest.raises(ValueError):
+        records.preflight(rows.limit(0))
+    records.export_txt(papers, f"{tmp_path}/txt")
+    assert "[KDD2020]\tAI of mining" in {r["value"] for r in spark.read.text(f"{tmp_path}/txt").collect()}
+    assert records.write_papers(papers, f"{tmp_path}/json", "json") == 4
+
+
+def test_windows_of_a_table(spark):
+    rows = spark.createDataFrame([("2024-01-01 01:00:00", "ok"), ("2024-01-01 23:00:00", "ok"), ("2024-01-02 01:00:00", "ok")], "at string, status string")
+    out = ledger_stream.windowed_outcomes(rows.withColumn("at", F.to_timestamp("at")))
+    assert sorted(r["n"] for r in out.collect()) == [1, 2]
+
+
+def test_a_failed_write_keeps_the_old_data(spark, tmp_path, papers):
+    records.write_papers(papers, f"{tmp_path}/p")
+    with pytest.raises(ValueError):
+        records.replace_verified(papers, f"{tmp_path}/p", read=lambda s, p: s.read.parquet(p).limit(1))
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 4
+
+
+def test_listings_and_notes(spark):
+    page = spark.createDataFrame([("https://a.org/list", "KDD2020", "<ul><li>1. <a href='/p/1'>On trees</a>. by Ann Lee, Bo Xu</li><li><a href='https://openreview.net/forum?id='>index</a></li></ul>")], "url string, conf string, html string")
+    rules = spark.createDataFrame([("a.org", "li", "by")], "host string, entry string, separator string")
+    out = pages.extract_listing(page, rules).collect()
+    assert [(r["paper_name"], r["paper_authors"], r["paper_url"]) for r in out] == [("On trees", ["Ann Lee", "Bo Xu"], "https://a.org/p/1")]
+
+
+def test_lookups(spark):
+    p = spark.createDataFrame([("1", "k1", "https://arxiv.org/abs/2001.01234", "T", True, True), ("2", "k2", "", "Same Title", True, False), ("3", "k3", "", "Gone", True, True)], "id string, key string, url string, title string, no_abstract boolean, no_code boolean")
+    text = "long enough " * 8
+    r = spark.createDataFrame([("k1", True, "2001.01234", "Other", text, "https://github.com/a/b", False, 5, 0), ("k1", True, "2001.01234", "Other", text, "https://github.com/o/o", True, 1, 1), ("k2", True, None, "ＳAME title", text, None, None, None, 0)],
+                              "key string, ok boolean, r_arxiv string, r_title string, r_abstract string, repo_url string, is_official boolean, stars int, pos int")
+    out = {x["id"]: x for x in linkage.resolve_lookup(p, r).collect()}
+    assert (out["1"]["repo"], out["1"]["abstract_status"], out["1"]["terminal"]) == ("https://github.com/o/o", "filled", True)
+    assert (out["2"]["abstract_status"], out["2"]["code_status"]) == ("filled", "not_needed")
+    assert (out["3"]["abstract_status"], out["3"]["terminal"]) == ("failed", False)
+
+
+def test_audit_and_revert(spark):
+    now = spark.createDataFrame([("A2020", "One", [], "https://doi.org/10.1/1", "filled", "#", 1)], RAW)
+    before = spark.createDataFrame([("A2020", "One", [], "https://web.archive.org/web/1/http://x.org/1", "", "#", 1)], RAW)
+    log = spark.createDataFrame([("A2020", "https://web.archive.org/web/1/http://x.org/1", "https://doi.org/10.1/1", "rewrite", True, None, 1)] * 2, "conf string, old_url string, new_url string, action string, abstract_filled boolean, old_name string, seq long")
+    titles = spark.createDataFrame([("https://doi.org/10.1/1", "Something else entirely")], "new_url string, remote_title string")
+    out = repair.audit(log, now, before, titles)
+    assert [r["verdict"] for r in out.collect()] == ["FAIL"]
+    state = spark.createDataFrame([("https://web.archive.org/web/1/http://x.org/1", 1)], "url string, attempts int")
+    rows, events = repair.revert(now, before, repair.select_reverts(out), state)
+    assert [(r["paper_url"], r["paper_abstract"]) for r in rows.collect()] == [("https://web.archive.org/web/1/http://x.org/1", "")]
+    assert [(r["reason"], r["attempts"]) for r in events.collect()] == [("title_mismatch", 2)]
