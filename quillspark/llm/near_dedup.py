@@ -237,11 +237,12 @@ def meet_heads(rows: DataFrame, branch: float, near: float, far: float) -> DataF
     return rows.mapInArrow(go, "kind int, x long, y long")
 
 
-def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float, limit: int, depth: int, heads: int = 4) -> DataFrame:
+def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float, limit: int, depth: int, heads: int = 6) -> DataFrame:
     """Edges (a, b) of keys that span the candidate clusters of classes(key, n, tokens)."""
     spark = classes.sparkSession
-    near = percent / 100
-    far = near - (1 - near) - MARGIN * 1.5
+    # what is linked with a class at `near` of a head is nearer than near - (1 - threshold); sketches may err by MARGIN
+    near = percent / 100 - 0.1
+    far = near - (1 - percent / 100) - MARGIN
     found = None
     level = branched(classes.select("key", "tokens"), trees, branch)
     for d in range(depth):
@@ -250,7 +251,7 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float,
         small = nodes.filter(F.col("size") <= limit).join(classes.select("key", "tokens"), "key")
         small = small.select("path", "key", F.col("tokens").alias("sketch"))
         n = nodes.agg(F.count_if(F.col("size") <= limit).alias("small"), F.count_if(F.col("size") > limit).alias("large")).first()
-        edges = [in_groups(low_bytes(small), "path", shared.parts(spark, n["small"], 100_000), compare_nodes(near - MARGIN), 20_000)]
+        edges = [in_groups(low_bytes(small), "path", shared.parts(spark, n["small"], 100_000), compare_nodes(percent / 100 - MARGIN), 20_000)]
         large = nodes.filter(F.col("size") > limit)
         if n["large"] and d < depth - 1:
             whole = large.select("path", "key").join(classes.select("key", "tokens"), "key")
