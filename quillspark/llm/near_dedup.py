@@ -237,7 +237,7 @@ def meet_heads(rows: DataFrame, branch: float, near: float, far: float) -> DataF
     return rows.mapInArrow(go, "kind int, x long, y long")
 
 
-def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float, limit: int, depth: int, heads: int = 6) -> DataFrame:
+def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float, limit: int, depth: int, heads: int = 10) -> DataFrame:
     """Edges (a, b) of keys that span the candidate clusters of classes(key, n, tokens)."""
     spark = classes.sparkSession
     # what is linked with a class at `near` of a head is nearer than near - (1 - threshold); sketches may err by MARGIN
