@@ -188,8 +188,8 @@ def m19(spark, sf):
 
 @query("w11_compare_texts")
 def w11(spark, sf):
-    p = papers(spark, sf).withColumn("abstract", F.left("abstract", F.lit(300)))
-    e = p.select("id", F.when(F.col("seq") % 3 == 0, F.upper("abstract")).when(F.col("seq") % 3 == 1, F.reverse("abstract")).otherwise(F.left("abstract", F.lit(150))).alias("text"))
+    p = papers(spark, sf)
+    e = p.select("id", F.when(F.col("seq") % 3 == 0, F.upper("abstract")).when(F.col("seq") % 3 == 1, F.reverse("abstract")).otherwise(F.col("abstract")).alias("text"))
     return linkage.verdict_rates(linkage.compare_texts(e, p.select("id", F.col("abstract").alias("text"))))
 
 
@@ -296,6 +296,16 @@ def i6(spark, sf):
     return own.select("seq", records.flatten_inverted_index(index).alias("t"))
 
 
+@query("i6_inverted_index_whole", "select seq, paper_name as t from raw where paper_name <> ''", over="raw")
+def i6_whole(spark, sf):
+    """All titles, those with repeated words and double spaces too: each distinct word with all of its positions."""
+    at = lambda ws, w: F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, i) == w)
+    entries = lambda ws: F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("key"), at(ws, w).alias("value")))
+    # bound to a variable, so that a title is split once and not for each word
+    index = F.map_from_entries(F.get(F.transform(F.array(F.split("paper_name", " ")), entries), F.lit(0)))
+    return raw(spark, sf).filter("paper_name <> ''").select("seq", records.flatten_inverted_index(index).alias("t"))
+
+
 @query("i7_extract_pages")
 def i7(spark, sf):
     rules = spark.createDataFrame([("*", ["article", "main", "p"])], "host string, selectors array<string>")

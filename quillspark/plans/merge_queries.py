@@ -196,6 +196,15 @@ def w4(spark, sf):
     return worklist.title_targets(odd, failed, ["ijcai.org"]).select("id")
 
 
+@query("w4_title_targets_whole", """select p.id from papers p where trim(p.abstract) = '' and p.title <> '' and p.url in (select url from papers where seq % 2 = 0)
+  and regexp_extract(lower(p.url), '://(?:www\\.)?([^/]*)', 1) not in ('doi.org', 'ijcai.org')""")
+def w4_whole(spark, sf):
+    """All papers whose url failed, also those that share it with the paper that brought it into the ledger."""
+    p = papers(spark, sf)
+    failed = p.filter("seq % 2 = 0").select("url", F.lit("failed").alias("status"))
+    return worklist.title_targets(p, failed.distinct(), ["ijcai.org"]).select("id")
+
+
 @query("w5_api_targets", "select id, trim(abstract) = '' as no_abstract, trim(code) in ('', '#') as no_code from papers where (trim(abstract) = '' or trim(code) in ('', '#')) and title <> '' and year = 2010")
 def w5(spark, sf):
     none = spark.createDataFrame([], "key string, terminal boolean, attempts int")
