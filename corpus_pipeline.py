@@ -11,26 +11,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY_LEAST = 0.3
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for rows whose doc_id is among the ids (null matches null)."""
-    gone = ids.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique number of each row, stored so that a row has the same one whenever it is read."""
+    return shared.stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of numbered rows but for those whose number is among gone."""
+    return rows.join(gone.select("row"), "row", "left_anti").select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores below QUALITY_LEAST go. It learns from the labels of those given."""
-    scores = quality.quality(docs, shared.table(spark, sf_dir, "labels"))
-    return without(docs, scores.filter(F.col("score") < QUALITY_LEAST))
+    rows = numbered(docs)
+    scores = quality.quality(rows, shared.table(spark, sf_dir, "labels"), row_col="row")
+    return without(rows, scores.filter(F.col("score") < QUALITY_LEAST))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for the case of A-Z, the document with the largest doc_id stays."""
-    return without(docs, exact_dedup.exact_dedup(docs).filter(~F.col("kept")))
+    """Of texts equal but for the case of A-Z, the document with the largest doc_id stays, one of those that share it."""
+    rows = numbered(docs)
+    return without(rows, exact_dedup.exact_dedup(rows, row_col="row").filter(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the least doc_id stays."""
-    return without(docs, near_dedup.near_dedup(docs).filter(~F.col("kept")))
+    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the least doc_id stays, one of
+    those that share it."""
+    rows = numbered(docs)
+    return without(rows, near_dedup.near_dedup(rows, row_col="row").filter(~F.col("kept")))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,39 +14,47 @@ from . import shared
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 8, digest_bits: int = 256
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 8, digest_bits: int = 256,
+    row_col: str | None = None,
+) -> DataFrame:
     """One row per input row: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. A null text counts as empty. A null id never wins unless
     all ids of its group are null. Where several rows share the winning id, all of them are marked kept. An empty
     table gives an empty result; other columns are ignored, whatever their names.
     digest_bits may be lowered (tests do) to force digests that collide.
+    row_col names a column of unique numbers from 0 on: it comes back too, and of the rows that share the winning id
+    only the one with the largest number is kept.
     """
     text = shared.ascii_lower(F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("content"))
+    row = F.col(f"`{row_col}`").alias("row") if row_col else F.lit(0).alias("row")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), row, text.alias("content"))
+    place = shared.place(F.col("id"), F.col("row"), -(2**63) - 1) if row_col else F.col("id")
     sha = F.sha2("content", 256)
     rows = rows.withColumn("sha", sha).withColumn("digest", F.expr(f"left(sha, {digest_bits // 4})"))
 
+    best = lambda c: [F.max(c).alias("best")] if row_col else []
     salted = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)))
-    by_salt = salted.groupBy("digest", "salt", "content").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
-    winners = by_salt.groupBy("digest", "content").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
+    by_salt = salted.groupBy("digest", "salt", "content").agg(F.max("id").alias("keep"), F.count("*").alias("n"), *best(place))
+    winners = by_salt.groupBy("digest", "content").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"), *best("best"))
     by_digest = shared.stored(
-        winners.groupBy("digest").agg(F.count("*").alias("texts"), F.max("keep").alias("keep"), F.sum("n").alias("n")),
+        winners.groupBy("digest").agg(F.count("*").alias("texts"), F.max("keep").alias("keep"), F.sum("n").alias("n"), *best("best")),
         "exact-dedup",
     )
 
     plain = rows.join(by_digest.filter("texts = 1"), "digest")
-    out = plain.select("id", "keep", "n", "sha")
+    columns = ["id", "keep", "n", "sha", *(["row", "best"] if row_col else [])]
+    out = plain.select(*columns)
     if not by_digest.filter("texts > 1").isEmpty():  # a digest of several texts: match by the texts themselves
         again = winners.join(by_digest.filter("texts > 1").select("digest"), "digest", "left_semi")
-        out = out.unionByName(rows.join(again, ["digest", "content"]).select("id", "keep", "n", "sha"))
+        out = out.unionByName(rows.join(again, ["digest", "content"]).select(*columns))
     return out.select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),
         F.col("n").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
+        (place == F.col("best") if row_col else F.col("id").eqNullSafe(F.col("keep"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 

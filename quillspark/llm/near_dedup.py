@@ -42,7 +42,7 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, words: int) -> DataFrame:
-    """id, key, n, tokens of every row of (id, text); key and tokens null and n 0 for a text without words."""
+    """id, row, key, n, tokens of every row of (id, row, text); key and tokens null and n 0 for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,11 +51,11 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
             for r, s in shingle_sets(batch.column("text"), words):
                 key[r], n[r], tokens[r] = set_key(s), len(s), minwise(s).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())],
-                ["id", "key", "n", "tokens"],
+                [batch.column("id"), batch.column("row"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())],
+                ["id", "row", "key", "n", "tokens"],
             )
 
-    return rows.mapInArrow(sign, "id long, key long, n long, tokens binary")
+    return rows.mapInArrow(sign, "id long, row long, key long, n long, tokens binary")
 
 
 def children(path: np.ndarray, tokens: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
@@ -307,6 +307,7 @@ def full_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> DataFr
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
     trees: int = 8, branch: float = 1.5, limit: int = 64, depth: int = 5, cluster: int = CLUSTER,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable over links), kept (id = component_id).
 
@@ -314,13 +315,17 @@ def near_dedup(
     that are null or without words have empty sets and are linked with nothing. Equal texts are linked. A null id
     counts as the largest of its component. Equal rows share a component; where several share its least id, all are
     kept. An empty table gives no rows; other columns are ignored.
+    row_col names a column of unique numbers from 0 on: it comes back too, and of the rows that share the least id of a
+    component only the one with the least number is kept.
     Recall: a pair at the threshold misses one tree with a chance of about 0.25, all 8 with 2e-5.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    row = F.col(f"`{row_col}`").cast("long") if row_col else F.lit(0).cast("long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     signed = shared.stored(signatures(rows, words), "near-signatures")
+    place = shared.place(F.col("id"), F.col("row"), 2**63)
     classes = shared.stored(
-        signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")),
+        signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens")),
         "near-classes",
     )
     clusters = components(candidate_edges(classes, percent, trees, branch, limit, depth))
@@ -338,14 +343,15 @@ def near_dedup(
     links = in_groups(placed.join(sets, "key"), "group", shared.parts(spark, n["n"], 5_000), confirm(percent), 2_000)
     links = shared.stored(links, "near-links")
     roots = components(links)
-    label = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))
-    least = label.groupBy("root").agg(F.min("id").alias("component"))
-    label = label.join(least, "root").select("key", "component")
-    out = signed.select("id", "key", "n").join(label, "key", "left")
+    label = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "id", "place", F.coalesce("root", "key").alias("root"))
+    least = label.groupBy("root").agg(F.min("id").alias("component"), F.min("place").alias("first"))
+    label = label.join(least, "root").select("key", "component", "first")
+    out = signed.select("id", "row", "key", "n").join(label, "key", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        (F.coalesce(place == F.col("first"), F.lit(True)) if row_col else F.col("id").eqNullSafe(component)).alias("kept"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 

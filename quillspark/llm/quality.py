@@ -68,9 +68,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, at = hashing.column_bytes(batch.column("text"))
             rows = np.array([one_text(data[a:b], by_class) for a, b in zip(at, at[1:], strict=False)]).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, rows.T)], ["id", *STATS])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *map(pa.array, rows.T)], ["id", "row", *STATS])
 
-    return docs.select("id", "text").mapInArrow(measure, "id long, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.select("id", "row", "text").mapInArrow(measure, "id long, row long, " + ", ".join(f"{s} double" for s in STATS))
 
 
 class Kernel:
@@ -124,14 +124,16 @@ def isotonic(bins: list[tuple[int, float, float]]) -> tuple[np.ndarray, np.ndarr
     return np.array(x, float), np.maximum.accumulate(v)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, score (0 to 1, the calibrated probability of label 1).
 
     Learns from at most about MAX_LABELLED rows of labels(doc_id, quality) that are not held out; of several labels
     of one id the larger counts. Null texts count as empty, whose statistics are zeros. Without labels all score
     0.5. Equal rows give equal rows, an empty table none; columns beside the id and the text are ignored.
+    row_col names a column of numbers of rows, which then comes back too.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    row = F.col(f"`{row_col}`").cast("long") if row_col else F.lit(0).cast("long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     stats = shared.stored(statistics(rows), "quality-statistics")
     both = stats.agg(*(f(s).alias(f"{f.__name__}_{s}") for s in STATS for f in (F.avg, F.stddev_pop))).first()
     mean, std = (np.array([both[f"{f}_{s}"] or 0.0 for s in STATS]) for f in ("avg", "stddev_pop"))
@@ -153,9 +155,10 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             calibrated = np.interp((raw(batch) + 0.2) / 1.4 * BINS, x, value)
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "score": calibrated})
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "score": calibrated, "row": batch["row"]})
 
-    return stats.mapInPandas(scored, "id long, score double").withColumnRenamed("id", id_col)
+    out = stats.mapInPandas(scored, "id long, score double, row long")
+    return out.select(F.col("id").alias(id_col), "score", *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def op7_quality(spark, sf_dir):

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def place(id_: Column, row: Column, null_id: int) -> Column:
+    """(id, row) as one number, in order of the id and then of the row; a null id counts as null_id. A decimal and not
+    a struct, so that its minimum and maximum are hash aggregates."""
+    wide = F.coalesce(id_.cast("decimal(20,0)"), F.lit(Decimal(null_id)).cast("decimal(20,0)"))
+    return (wide * F.lit(Decimal(2**63)).cast("decimal(19,0)") + row.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
