@@ -15,6 +15,7 @@ from ..functions import columns as C
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIPPED = {"script", "style", "noscript", "template"}
 MIN_CHARS = 60
+MOST_BROADCAST = 10_000  # rules
 
 
 class Blocks(HTMLParser):
@@ -69,6 +70,12 @@ def pick(page: Blocks, selector: str) -> list[tuple[str, str]]:
     return [(text, href) for t, names, text, href in page.done if (not tag or t == tag) and (not name or name in names)]
 
 
+def dimension(rules: DataFrame) -> DataFrame:
+    """All rules; marked for broadcast where they are counted to be few, else joined as Spark chooses."""
+    few = rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return F.broadcast(rules) if few else rules
+
+
 def extract_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, host, abstract, ok, reason) per page. rules: host, selectors (array, tried in order); host '*' is for
     pages without a rule of their own. A leading label is stripped; texts under MIN_CHARS don't count. Reasons:
@@ -78,7 +85,7 @@ def extract_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rest = [r["selectors"] for r in rules.filter("host = '*'").limit(1).collect()]
     spare = F.array(*map(F.lit, rest[0])) if rest else F.lit(None).cast("array<string>")
     j = pages.select("url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), C.classify_url(F.col("url")).alias("kind"))
-    j = j.join(F.broadcast(own.limit(10_000)), F.col("host") == F.col("h"), "left").withColumn("selectors", F.coalesce("selectors", spare))
+    j = j.join(dimension(own), F.col("host") == F.col("h"), "left").withColumn("selectors", F.coalesce("selectors", spare))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,7 +114,7 @@ def extract_listing(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """papers_raw rows (conf, paper_name, paper_authors, paper_url, page, pos) of stored listing pages(url, html,
     conf). rules: host, entry, title, authors (selectors; entry holds one paper). Urls are made absolute; digits and a
     closing period are stripped from titles."""
-    j = pages.select("url", "conf", F.coalesce("html", F.lit("")).alias("html"), C.canonical_host(F.col("url")).alias("host")).join(F.broadcast(rules.limit(10_000)), "host")
+    j = pages.select("url", "conf", F.coalesce("html", F.lit("")).alias("html"), C.canonical_host(F.col("url")).alias("host")).join(dimension(rules), "host")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import urljoin
