@@ -30,7 +30,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
         first = np.searchsorted(row, np.arange(len(offsets)))
         whole = np.zeros(max(0, n - k + 1), np.uint64)
         for j in range(k):
-            whole += word[j : n - k + 1 + j] * STEPS[j]
+            whole += word[j : j + len(whole)] * STEPS[j]
         full = row[: len(whole)] == row[k - 1 :] if len(whole) else np.zeros(0, bool)
         rows, hashes = row[: len(whole)][full], hashing.mix(whole[full])
         counts = np.diff(first)
