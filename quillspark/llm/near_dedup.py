@@ -1,11 +1,13 @@
 """MinHash near-de-duplication by a chosen-path set similarity join.
 
 Texts become sets of word shingles; equal sets form one class. Independent trees branch the classes: at a node with
-path p one or two of the minwise tokens are chosen by a hash of p, and a class goes to the child that its own token
-names. A pair survives a level with a chance that grows with its similarity, so unlike sets part soon. Nodes of few
-classes are compared exhaustively on sketches, larger ones branch on; after `depth` levels what still shares a node is
-taken together as it is. What the trees join are only candidate clusters: inside each, links are confirmed on the
-full sets, and pairs already known to be connected are skipped.
+path p one of the minwise tokens is chosen by a hash of p (in large nodes sometimes two), and a class goes to the child
+that its own token names. A pair survives a level with a chance that grows with its similarity, so unlike sets part
+soon. Nodes of at most `limit` classes are compared exhaustively on sketches. In larger ones a few classes are heads:
+what is near to a head is joined to it and leaves the tree, the rest branches on; after `depth` levels what still
+shares a node is taken together as it is. What the trees join are only candidate clusters: inside each, links are
+confirmed on the full sets, and pairs already known to be connected are skipped. So `limit`, `heads`, `depth` and
+`cluster` decide how a candidate is found or where it is compared, never whether a link is kept.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from .sets import Bloom, components, shingle_sets
 
 TOKENS = 64  # minwise tokens of a set
 FACTORS = np.random.default_rng(17).integers(1, 2**62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MARGIN = 0.2  # sketches may fall short of the threshold by this much (4.5 deviations at 64 tokens and 0.85)
+MARGIN = 0.25  # sketches may fall short of the threshold by this much (5 deviations or more at 64 tokens and 0.8)
+SHARE = 500  # classes of a large node that one task holds against its heads, about
 CLUSTER = 2048  # classes of a candidate cluster that one task compares; larger ones go by pairs of blocks
 
 
-def set_key(s: np.ndarray) -> int:
-    """64-bit key of a set, as a signed integer."""
-    total = int(s.sum(dtype=np.uint64)) + len(s) * int(FACTORS[0]) + int(np.bitwise_xor.reduce(hashing.mix(s)))
-    return int(hashing.mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128-bit key of a set, as two signed integers: sums of two independent hashes of its members."""
+    sums = [hashing.mix(s).sum(dtype=np.uint64), hashing.mix(s * FACTORS[0] + FACTORS[1]).sum(dtype=np.uint64)]
+    one, two = hashing.mix(np.array(sums, np.uint64) + np.uint64(len(s))).view(np.int64)
+    return int(one), int(two)
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
@@ -42,20 +46,20 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, words: int) -> DataFrame:
-    """id, row, key, n, tokens of every row of (id, row, text); key and tokens null and n 0 for a text without words."""
+    """id, row, key, check, n, tokens of every row of (id, row, text); a text without words has n 0 and nulls otherwise."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key: list[int | None] = [None] * batch.num_rows
+            check: list[int | None] = [None] * batch.num_rows
             n, tokens = [0] * batch.num_rows, [None] * batch.num_rows
             for r, s in shingle_sets(batch.column("text"), words):
-                key[r], n[r], tokens[r] = set_key(s), len(s), minwise(s).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("row"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())],
-                ["id", "row", "key", "n", "tokens"],
-            )
+                (key[r], check[r]), n[r], tokens[r] = set_key(s), len(s), minwise(s).tobytes()
+            numbers = [pa.array(x, pa.int64()) for x in (key, check, n)]
+            columns = [batch.column("id"), batch.column("row"), *numbers, pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "key", "check", "n", "tokens"])
 
-    return rows.mapInArrow(sign, "id long, row long, key long, n long, tokens binary")
+    return rows.mapInArrow(sign, "id long, row long, key long, check long, n long, tokens binary")
 
 
 def children(path: np.ndarray, tokens: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +74,8 @@ def children(path: np.ndarray, tokens: np.ndarray, branch: float) -> tuple[np.nd
     return row, hashing.mix(path[row] * FACTORS[1] + (at.astype(np.uint64) << np.uint64(32)) + token)
 
 
-def branched(rows: DataFrame, trees: int, branch: float) -> DataFrame:
-    """path, key of the first level of every tree, of rows (key, tokens)."""
+def branched(rows: DataFrame, trees: int) -> DataFrame:
+    """path, key of the first level of every tree, of rows (key, tokens): one child of each root."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +84,7 @@ def branched(rows: DataFrame, trees: int, branch: float) -> DataFrame:
             key = batch.column("key").to_numpy()
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
             for tree in range(1, trees + 1):
-                row, child = children(np.full(len(key), tree, np.uint64), tokens, branch)
+                row, child = children(np.full(len(key), tree, np.uint64), tokens, 1.0)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(key[row])], ["path", "key"])
 
     return rows.mapInArrow(go, "path long, key long")
@@ -195,6 +199,26 @@ def in_groups(rows: DataFrame, column: str, parts: int, work: Callable, size: in
     return rows.repartition(parts, column).sortWithinPartitions(column).mapInPandas(by_group(column, work, size), "a long, b long")
 
 
+def apart(rows: DataFrame, near: float) -> DataFrame:
+    """path, size, heads of rows of the same: a head within `near` of an earlier one is dropped. Fewer heads only mean
+    that fewer classes stay behind."""
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("tokens", pa.binary())]))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for heads in batch.column("heads").to_pylist():
+                own: list[dict] = []
+                for h in sorted(heads, key=lambda h: h["key"]):
+                    tokens = np.frombuffer(h["tokens"], np.uint32)
+                    if all((tokens == np.frombuffer(o["tokens"], np.uint32)).mean() < near for o in own):
+                        own.append(h)
+                kept.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size"), pa.array(kept, kind)], ["path", "size", "heads"])
+
+    return rows.mapInArrow(thin, "path long, size long, heads array<struct<key:long,tokens:binary>>")
+
+
 def meet_heads(rows: DataFrame, branch: float, near: float, far: float) -> DataFrame:
     """What becomes of the rows (path, key, tokens, heads) of large nodes: kind 0 with an edge (x, y) of keys, kind 1
     with a child path x and the key y.
@@ -244,7 +268,7 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float,
     near = percent / 100 - 0.1
     far = near - (1 - percent / 100) - MARGIN
     found = None
-    level = branched(classes.select("key", "tokens"), trees, branch)
+    level = branched(classes.select("key", "tokens"), trees)
     for d in range(depth):
         counts = level.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         nodes = shared.stored(level.join(counts, "path"), "near-nodes")
@@ -254,12 +278,16 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float,
         edges = [in_groups(low_bytes(small), "path", shared.parts(spark, n["small"], 100_000), compare_nodes(percent / 100 - MARGIN), 20_000)]
         large = nodes.filter(F.col("size") > limit)
         if n["large"] and d < depth - 1:
-            whole = large.select("path", "key").join(classes.select("key", "tokens"), "key")
+            whole = large.select("path", "key", "size").join(classes.select("key", "tokens"), "key")
             # one head of each of a few slices of a node, so that partial aggregation finds them
             one = F.min_by(F.struct("key", "tokens"), F.xxhash64("key"))
-            some = whole.groupBy("path", F.pmod(F.xxhash64("key", F.lit(d)), F.lit(heads)).alias("slice")).agg(one.alias("h"))
-            some = some.groupBy("path").agg(F.collect_list("h").alias("heads"))
-            met = shared.stored(meet_heads(whole.join(some, "path"), branch, near, far), "near-met")
+            some = whole.groupBy("path", F.pmod(F.xxhash64("key", F.lit(d)), F.lit(heads)).alias("slice")).agg(F.first("size").alias("size"), one.alias("h"))
+            some = apart(some.groupBy("path").agg(F.first("size").alias("size"), F.collect_list("h").alias("heads")), near)
+            # a node of many classes is dealt over several tasks, its heads copied to each
+            copies = F.ceil(F.col("size") / SHARE)
+            some = some.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("size")
+            whole = whole.withColumn("salt", F.pmod(F.xxhash64("key", "path"), copies)).drop("size")
+            met = shared.stored(meet_heads(whole.join(some, ["path", "salt"]), branch, near, far), "near-met")
             edges.append(met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
             level = met.filter("kind = 1").select(F.col("x").alias("path"), F.col("y").alias("key"))
         elif n["large"]:
@@ -286,27 +314,29 @@ def low_bytes(rows: DataFrame) -> DataFrame:
 
 
 def full_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> DataFrame:
-    """key, members (the set) of the classes in members(key), read again from the texts; once per class."""
+    """key, check, members (the set) of the classes in members(key, check), read again from the texts; once per class."""
     bloom = rows.sparkSession.sparkContext.broadcast(Bloom.of(members, "key", n))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sets = [], []
-            seen: set[int] = set()
+            seen: set[tuple[int, int]] = set()
             for _, s in shingle_sets(batch.column("text"), words):
                 k = set_key(s)
-                if k not in seen and bloom.value.has(np.array([k], np.int64).view(np.uint64))[0]:
+                if k not in seen and bloom.value.has(np.array(k[:1], np.int64).view(np.uint64))[0]:
                     seen.add(k)
                     keys.append(k)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "members"])
+            key, check = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([key, check, pa.array(sets, pa.binary())], ["key", "check", "members"])
 
-    return rows.mapInArrow(build, "key long, members binary").groupBy("key").agg(F.first("members").alias("members"))
+    built = rows.mapInArrow(build, "key long, check long, members binary")
+    return built.groupBy("key", "check").agg(F.first("members").alias("members"))
 
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    trees: int = 8, branch: float = 1.5, limit: int = 64, depth: int = 5, cluster: int = CLUSTER,
+    trees: int = 10, branch: float = 1.5, limit: int = 64, depth: int = 5, cluster: int = CLUSTER,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable over links), kept (id = component_id).
@@ -317,36 +347,38 @@ def near_dedup(
     kept. An empty table gives no rows; other columns are ignored.
     row_col names a column of unique numbers from 0 on: it comes back too, and of the rows that share the least id of a
     component only the one with the least number is kept.
-    Recall: a pair at the threshold misses one tree with a chance of about 0.25, all 8 with 2e-5.
+    Recall: a pair of similarity s meets in a tree of small nodes with chance s, so at 0.8 all 10 trees miss it with
+    1e-7; where it has to branch on once or twice more inside large nodes, with 5e-6 and 6e-5.
+    Sets of more than `cluster` candidates are compared by pairs of blocks: exact, but each set goes to every block.
     """
     spark = docs.sparkSession
     row = F.col(f"`{row_col}`").cast("long") if row_col else F.lit(0).cast("long")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     signed = shared.stored(signatures(rows, words), "near-signatures")
     place = shared.place(F.col("id"), F.col("row"), 2**63)
-    classes = shared.stored(
-        signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens")),
-        "near-classes",
+    classes = signed.filter("key is not null").groupBy("key", "check").agg(
+        F.min("id").alias("id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens")
     )
-    clusters = components(candidate_edges(classes, percent, trees, branch, limit, depth))
-    members = shared.stored(clusters.join(classes.select("key", "n"), F.col("node") == F.col("key")).select("key", "root", "n"), "near-members")
+    # stored with a number of each class, which stands for it in the trees
+    classes = shared.stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    numbered = classes.select(F.col("node").alias("key"), "n", "tokens")
+    clusters = components(candidate_edges(numbered, percent, trees, branch, limit, depth))
+    members = shared.stored(clusters.join(classes.select("node", "key", "check", "n"), "node"), "near-members")
     sizes = members.groupBy("root").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("classes") / cluster, F.col("shingles") / (cluster * 2048))))
     members = members.join(sizes.select("root", "blocks"), "root")
-    n = members.agg(F.count("*").alias("n"), F.coalesce(F.max("blocks"), F.lit(1)).alias("blocks")).first()
+    n = members.count()
     # a class of a large cluster meets every block of it: group = (cluster, its own block, another block), unordered
-    own = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    placed = members.withColumn("own", own).select("key", "root", "own", other.alias("other"))
-    placed = placed.select("key", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
-    sets = full_sets(rows, members.select("key"), n["n"], words)
-    links = in_groups(placed.join(sets, "key"), "group", shared.parts(spark, n["n"], 5_000), confirm(percent), 2_000)
-    links = shared.stored(links, "near-links")
-    roots = components(links)
-    label = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "id", "place", F.coalesce("root", "key").alias("root"))
+    sets = members.join(full_sets(rows, members.select("key"), n, words), ["key", "check"])
+    placed = sets.select("node", "root", "members", own.alias("own"), other.alias("other"))
+    placed = placed.select(F.col("node").alias("key"), "members", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
+    links = shared.stored(in_groups(placed, "group", shared.parts(spark, n, 5_000), confirm(percent), 2_000), "near-links")
+    label = classes.join(components(links), "node", "left").select("key", "check", "id", "place", F.coalesce("root", "node").alias("root"))
     least = label.groupBy("root").agg(F.min("id").alias("component"), F.min("place").alias("first"))
-    label = label.join(least, "root").select("key", "component", "first")
-    out = signed.select("id", "row", "key", "n").join(label, "key", "left")
+    label = label.join(least, "root").select("key", "check", "component", "first")
+    out = signed.select("id", "row", "key", "check", "n").join(label, ["key", "check"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
