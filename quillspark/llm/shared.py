@@ -15,12 +15,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that the driver and all executors share, named in spark.checkpoint.dir. Only a session whose tasks
+    run in the driver's own machine gets one of its own where none is named; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="quillspark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", f"file://{named}")
-    return spark.conf.get("spark.checkpoint.dir", named).rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
