@@ -4,11 +4,14 @@ A tree keeps at each node a vantage point and, for the nearer and the farther ha
 distances to it. By the triangle inequality no vector of a half can be nearer to a query than the gap between the
 query's distance and that range. A half is left out if gap * factor exceeds the distance of the k-th best so far:
 factor 1 is exact search, a larger one prunes more.
+
+The tree of a shard is built once and stored; queries come to it in blocks of rows, so that neither side of the search
+is ever whole in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-LEAF = 256
+LEAF = 64
+FACTOR = 5.0  # of the pruning; recall and the share of vectors seen at it are in the README
 
 
 class VpTree:
@@ -46,12 +50,14 @@ class VpTree:
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float):
         """(distances, rows) of the k best found for each query, -1 where fewer; own: ids to leave out."""
         n = len(queries)
+        self.seen = 0  # (query, point) pairs that were looked at
         best = np.full((n, k), np.inf)
         found = np.full((n, k), -1, np.int64)
         q_norm, p_norm = (queries**2).sum(1), (self.points**2).sum(1)
 
         def offer(q: np.ndarray, rows: np.ndarray) -> None:
             """Merge the rows into the k best of the queries; only what a matrix product can't exclude is measured."""
+            self.seen += len(q) * len(rows)
             square = q_norm[q, None] + p_norm[rows][None, :] - 2 * queries[q] @ self.points[rows].T
             slack = 1e-9 * (q_norm[q, None] + p_norm[rows][None, :] + 1)
             maybe = (square <= (best[q, -1] ** 2)[:, None] + slack) & (ids[rows][None, :] != own[q, None])
@@ -101,39 +107,52 @@ def sound(vector: Column) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 3.0, shard: int = 8192, block: int = 2048,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR, shard: int = 8192, block: int = 2048,
+    chunk: int = 16, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank (from 1), id_col, score: the k nearest found of each query by Euclidean distance, in double.
 
-    Vectors are dealt to shards of about `shard` rows by a hash, queries to blocks of about `block` rows; a task
-    searches one shard with one block, so neither grows with the corpus. Rows with the query's own id are left out.
-    Unsound vectors (see sound()) take no part on either side. Ties go to the smaller id. Repeated rows count as
-    many; fewer than k candidates give fewer rows, an empty table none. Vectors of a length other than the query's
-    take no part in its search. Other columns are ignored, whatever their names.
+    Vectors are dealt to shards of about `shard` rows by a hash, whose trees are stored; queries to blocks of about
+    `block` rows. A task holds one tree against at most `chunk` blocks, so neither grows with the corpus. Vectors with
+    the query's own id are left out. Rows with a null id and unsound vectors (see sound()) take no part on either side.
+    Ties go to the smaller id. Repeated rows count as many: a query row that comes twice has its k rows twice, ranks
+    1 to k each time, and a vector that comes twice can be two of its neighbours. Fewer than k candidates give fewer
+    rows, an empty table none. Vectors of a length other than the query's take no part in its search. Other columns
+    are ignored, whatever their names.
     """
     pick = lambda df: df.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")
     ).filter(F.col("id").isNotNull() & sound(F.col("v"))).withColumn("dim", F.size("v"))
-    base, asked = pick(vectors), pick(queries)
+    base = pick(vectors)
+    asked = shared.stored(pick(queries).withColumn("row", F.monotonically_increasing_id()), "near-queries")
     shards, blocks = -(-base.count() // shard) or 1, -(-asked.count() // block) or 1
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("shard", every(shards))
-
-    def look(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-        if not len(q) or not len(c):
-            return none
-        ids, points = c["id"].to_numpy(np.int64), np.stack(c["v"].to_numpy())
-        asks, own = np.stack(q["v"].to_numpy()), q["id"].to_numpy(np.int64)
-        away, rows = VpTree(points).search(asks, own, ids, k, factor)
-        at, _ = np.nonzero(rows >= 0)
-        return pd.DataFrame({"query_id": own[at], "id": ids[rows[rows >= 0]], "score": away[rows >= 0]})
-
-    keys = ["shard", "block", "dim"]
-    found = asked.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(look, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "id")
+    # rows of one id are dealt like all others
+    base = base.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)))
+
+    def plant(c: pd.DataFrame) -> pd.DataFrame:
+        tree = VpTree(np.stack(c["v"].to_numpy()))
+        return pd.DataFrame({"shard": c["shard"].iloc[:1], "dim": c["dim"].iloc[:1], "tree": [pickle.dumps((c["id"].to_numpy(np.int64), tree))]})
+
+    trees = shared.stored(base.groupBy("shard", "dim").applyInPandas(plant, "shard long, dim int, tree binary"), "near-trees")
+    trees = trees.withColumn("chunk", every(-(-blocks // chunk)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("shard", every(shards))
+    asked = asked.withColumn("chunk", F.floor(F.col("block") / chunk))
+
+    def look(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"row": [], "query_id": [], "id": [], "score": []}).astype({"row": "int64", "query_id": "int64", "id": "int64"})]
+        for tree_bytes in t["tree"]:
+            ids, tree = pickle.loads(tree_bytes)
+            for _, some in q.groupby("block"):
+                own, row = some["id"].to_numpy(np.int64), some["row"].to_numpy(np.int64)
+                away, rows = tree.search(np.stack(some["v"].to_numpy()), own, ids, k, factor)
+                at, _ = np.nonzero(rows >= 0)
+                found.append(pd.DataFrame({"row": row[at], "query_id": own[at], "id": ids[rows[rows >= 0]], "score": away[rows >= 0]}))
+        return pd.concat(found, ignore_index=True)
+
+    keys = ["shard", "chunk", "dim"]
+    found = asked.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(look, "row long, query_id long, id long, score double")
+    order = Window.partitionBy("row").orderBy("score", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
