@@ -25,6 +25,7 @@ STATS = [
 ]
 FEATURES = 256
 BINS = 1000
+PER_TASK = 25_000  # labels whose rows one task sums
 
 
 def classes() -> np.ndarray:
@@ -91,7 +92,7 @@ class Kernel:
 def ridge(learn: DataFrame, kernel: Kernel, strength: float = 1e-3) -> np.ndarray:
     """Weights from partition sums of the normal equations over rows of the statistics and y.
 
-    The labelled rows are bounded, and so are their partitions and the sums that the driver adds up.
+    The labelled rows are few and their partitions hold many each, so the driver adds up few sums.
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +102,7 @@ def ridge(learn: DataFrame, kernel: Kernel, strength: float = 1e-3) -> np.ndarra
             xx, xy = xx + z.T @ z, xy + z.T @ y
         yield pd.DataFrame({"sums": [np.vstack([xx, xy]).tobytes()]})
 
-    sums = [np.frombuffer(bytes(r["sums"])).reshape(FEATURES + 2, -1) for r in learn.coalesce(8).mapInPandas(add, "sums binary").collect()]
+    sums = [np.frombuffer(bytes(r["sums"])).reshape(FEATURES + 2, -1) for r in learn.mapInPandas(add, "sums binary").collect()]
     total = np.sum(sums, 0) if sums else np.zeros((FEATURES + 2, FEATURES + 1))
     penalty = strength * max(1.0, total[FEATURES, FEATURES]) / FEATURES * np.eye(FEATURES + 1)
     penalty[-1, -1] = 1e-6
@@ -138,7 +139,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     both = stats.agg(*(f(s).alias(f"{f.__name__}_{s}") for s in STATS for f in (F.avg, F.stddev_pop))).first()
     mean, std = (np.array([both[f"{f}_{s}"] or 0.0 for s in STATS]) for f in ("avg", "stddev_pop"))
     kernel = Kernel(mean, std)
-    learn = stats.join(sampled_labels(labels, "quality", MAX_LABELLED), "id")
+    known = shared.stored(sampled_labels(labels, "quality", MAX_LABELLED), "quality-labels")  # bounded, so it may be broadcast
+    found = stats.join(F.broadcast(known), "id").select(*STATS, "y")
+    learn = shared.stored(found.repartition(-(-known.count() // PER_TASK) or 1), "quality-learn")
     weights = ridge(learn, kernel)
 
     def raw(batch: pd.DataFrame) -> np.ndarray:
