@@ -150,7 +150,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weight, z = log_odds(*bucket_counts(rows.join(F.broadcast(known), "id").select("y", "text")))
     found = shared.stored(segments(rows, weight, z), "toxic-segments")
 
-    learn = found.join(known, "id")
+    learn = found.join(F.broadcast(known), "id")
     clean = learn.filter("y = 0").agg(
         F.sum("tokens").alias("tokens"), F.sum(F.size("segments")).alias("n"),
         F.sum(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["score"])).alias("score"),
