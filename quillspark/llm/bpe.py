@@ -3,12 +3,14 @@
 A word is its row of part ids; beside it stands the row of ranks of adjacent parts. Again and again the least rank
 is found by a scan, the boundary there is deleted (the row is closed up), and the ranks to its left and right are
 refreshed. Words are short, so a scan beats a heap; the rows of many words form one array, and each step is taken
-for all of them at once. Words over `WIDTH` bytes take the same steps one word at a time, on a list.
+for all of them at once. Words over `WIDTH` bytes, which scans would take quadratic time for, have a heap of ranks and
+linked parts instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -36,7 +38,7 @@ def byte_alphabet() -> list[str]:
 class WordBpe:
     """Encoder and decoder of a `tokenizers` file whose BPE marks word ends."""
 
-    def __init__(self, path: str, cache: int = 500_000) -> None:
+    def __init__(self, path: str, cache: int = 64_000_000) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -55,11 +57,13 @@ class WordBpe:
         key = pairs[:, 0] << 20 | pairs[:, 1]
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks, self.made = key[order], order.astype(np.int32), pairs[:, 2].astype(np.int32)
+        self.pairs = dict(zip(key.tolist(), range(len(key)), strict=True))
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\t-\ra-z0-9]+").findall
         self.white = regex.compile(r"\p{White_Space}+")
-        self.cache, self.known_words, self.known_chunks = cache, {}, {}
+        self.cache, self.held = cache, 0  # bytes that may be kept, and that are: of words, chunks and their ids
+        self.known_words, self.known_chunks = {}, {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of parts; NONE where they don't merge or a part is -1."""
@@ -68,16 +72,26 @@ class WordBpe:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NONE)
 
     def long_word(self, data: bytes) -> list[int]:
-        parts = [*self.inner[list(data[:-1])].tolist(), int(self.last[data[-1]])]
-        ranks = self.rank(np.array(parts[:-1], np.int32), np.array(parts[1:], np.int32)).tolist()
-        while ranks and (least := min(ranks)) != NONE:
-            m = ranks.index(least)
-            parts[m : m + 2] = [int(self.made[least])]
-            del ranks[m]
-            for i in (m - 1, m):
-                if 0 <= i < len(ranks):
-                    ranks[i] = int(self.rank(np.array(parts[i : i + 1], np.int32), np.array(parts[i + 1 : i + 2], np.int32))[0])
-        return parts
+        """Ids of a word of any length: the pair of least rank, the leftmost of equals, is merged again and again."""
+        parts = [*self.inner[np.frombuffer(data[:-1], np.uint8)].tolist(), int(self.last[data[-1]])]
+        n = len(parts)
+        ranks = self.rank(np.array(parts[:-1], np.int32), np.array(parts[1:], np.int32))
+        heap = [(r, i, parts[i], parts[i + 1]) for i, r in enumerate(ranks.tolist()) if r != NONE]
+        heapq.heapify(heap)
+        left, right = [*range(-1, n - 1)], [*range(1, n + 1)]
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if parts[i] != a or j >= n or parts[j] != b:
+                continue  # one of the two was merged meanwhile
+            parts[i], parts[j] = int(self.made[rank]), -1
+            right[i] = right[j]
+            if right[i] < n:
+                left[right[i]] = i
+            for x, y in ((left[i], i), (i, right[i])):
+                if x >= 0 and y < n and (r := self.pairs.get(parts[x] << 20 | parts[y])) is not None:
+                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
+        return [p for p in parts if p >= 0]
 
     def batch(self, words: list[bytes]) -> list[bytes]:
         """Ids of non-empty words of at most WIDTH bytes, as little-endian unsigned 32-bit bytes."""
@@ -136,7 +150,9 @@ class WordBpe:
                 short.setdefault((size + 3) // 4, []).append(w)
         for ws in short.values():
             words.update(zip(ws, self.batch([w.encode("utf-8") for w in ws]), strict=True))
-        self.known_chunks.update((x, b"".join(map(words.__getitem__, ws))) for x, ws in cut.items())
+        new = {x: b"".join(map(words.__getitem__, ws)) for x, ws in cut.items()}
+        self.held += sum(2 * (len(x) + len(ids)) for x, ids in new.items())
+        self.known_chunks.update(new)
 
     def split(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the pattern
@@ -145,9 +161,10 @@ class WordBpe:
 
     def block(self, texts: list[str]) -> list[bytes]:
         """Ids of a block of texts, a few MB at most."""
-        if len(self.known_words) > self.cache or len(self.known_chunks) > self.cache:
+        if self.held > self.cache:
             self.known_words.clear()
             self.known_chunks.clear()
+            self.held = 0
         known = self.known_chunks
         cut: list[list[str]] = []
         for text in texts:
