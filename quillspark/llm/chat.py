@@ -101,10 +101,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Stored conversations as a log of whole messages, one turn a row in order of turn (then role and text)."""
+    """Stored conversations as the log of a chat that ends in them, turns in order of turn (then role and text).
+
+    A hash deals the turns out to four histories of equal outcome: a whole message; one streamed in two pieces; a draft
+    that is edited; a draft that is regenerated and streamed anew.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("seq", F.row_number().over(order))
-    return rows.select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("turn"), "role", "text")
+    rows = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("turn"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    start, rest = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text"))
+    draft = F.concat(F.lit("draft of "), "text")
+    said = lambda *events: F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in events))
+    nothing = F.lit(None).cast("string")
+    history = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    events = (
+        F.when(history == 0, said(("message", F.col("text"))))
+        .when(history == 1, said(("message", start), ("delta", rest)))
+        .when(history == 2, said(("message", draft), ("edit", F.col("text"))))
+        .otherwise(said(("message", draft), ("regenerate", nothing), ("delta", start), ("delta", rest)))
+    )
+    rows = rows.select("conv_id", "turn", "role", F.posexplode(events).alias("step", "event"))
+    return rows.select("conv_id", (F.col("turn") * 4 + F.col("step")).alias("seq"), "event.kind", "turn", "role", "event.text")
 
 
 def op5_chat_format(spark, sf_dir):
