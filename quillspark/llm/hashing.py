@@ -10,6 +10,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TABLE2 = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32  # A-Z only
 SPACE = np.zeros(256, bool)
@@ -33,10 +34,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """P with P[i] = sum of TABLE[data[j]] * BASE**j over j < i."""
+def prefix(data: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
+    """P with P[i] = sum of table[data[j]] * BASE**j over j < i."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLE[data] * powers(len(data)), out=out[1:])
+    np.cumsum(table[data] * powers(len(data)), out=out[1:])
     return out
 
 

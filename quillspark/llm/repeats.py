@@ -1,18 +1,23 @@
 """Removal of long repeated passages by prefix-free parsing.
 
-Every text, as bytes, is cut into phrases at rolling-hash triggers. A trigger is the place of the least hash among
-the `reach` first starts of a window, so equal windows of `span` bytes have their first trigger at the same offset,
-and no phrase is longer than `reach` (a fixed modulus would leave some text without triggers). A window is then a
-phrase suffix, up to its trigger, and a parse suffix, from the trigger on. The parse is ordered by the `span - reach`
-bytes after the trigger, which all windows at a trigger share; only triggers whose bytes come again are looked at
-further. Within such a group, what is left of a window, `reach` bytes around the shared ones, is sorted by offset of
-the trigger and hash, and windows that have an equal neighbour in that order are repeated. So corpus order is only
-made where it can hold equal windows, and no single suffix array of the corpus stands anywhere.
+Every text is cut into phrases at rolling-hash triggers. A trigger is the place of the least hash among the `reach`
+first starts of a window, so equal windows of `span` symbols have their first trigger at the same offset, and no phrase
+is longer than `reach` (a fixed modulus would leave some text without triggers). A window is then a phrase suffix, up to
+its trigger, and a parse suffix, from the trigger on. All windows at a trigger share the `span - reach` symbols after it,
+a block of whole phrases; only triggers whose block comes again are looked at further, and blocks part the work.
+
+Within a block's rows the distinct phrases are the dictionary, whose suffix array is made by prefix doubling; the parse
+suffixes are put in order with their longest common prefixes. Windows in the order of phrase suffix, then parse suffix,
+stand in corpus order: those that agree with a neighbour there on phrase suffix and enough of the parse are repeated.
+Blocks are told apart by two independent 64-bit hashes; everything around them is compared symbol by symbol.
+
+Symbols are bytes for what is removed, and words for what is only counted: passages of over `words` words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,27 +30,70 @@ from .near_dedup import by_group
 from .sets import Bloom
 
 GRAM = 16  # bytes that a trigger's hash covers
-PLACE = np.uint64((1 << 24) - 1)  # low bits of a hash give way to its place, so the leftmost of equal ones is least
+PLACE = np.uint64(2**32 - 1)  # low bits of a hash give way to its place, so the leftmost of equal ones is least
 SEGMENT = 1 << 22
+HOT = 20_000  # triggers of one block that a task puts in order; see repeated_runs()
+KIND = "id long, row_key long, start long, end long"
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, span: int, reach: int) -> tuple[np.ndarray, ...]:
-    """(trigger, least offset, greatest offset, prefix hashes) of the windows of `span` bytes that lie within one
-    row; a trigger stands for the run of windows that start 'offset' bytes before it."""
-    n = len(data)
+@dataclass
+class Tape:
+    """Some rows as one run of symbols: `unit` bytes each, offsets of the rows, hashes that choose triggers (2**64 - 1
+    where none may stand), hash prefixes; row0 and place tell where the first symbol stands."""
+
+    row0: int
+    place: int
+    symbols: np.ndarray
+    unit: int
+    offsets: np.ndarray
+    value: np.ndarray
+    prefixes: Callable[[], tuple[np.ndarray, np.ndarray]]
+
+    def blocks(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the `size` symbols from each place on."""
+        one, two = (hashing.mix(hashing.windows(p, at, at + size)) for p in self.prefixes())
+        return one, two
+
+
+def byte_tapes(column: pa.Array, span: int) -> Iterator[Tape]:
+    """Blocks of rows as bytes; a long row in segments that overlap by all but one byte of a window."""
+    for first, _, data, offsets in hashing.blocks(column):
+        long = len(data) > 2 * SEGMENT
+        for at in range(0, len(data), SEGMENT) if long else (0,):
+            some = data[at : at + SEGMENT + span - 1] if long else data
+            p = hashing.prefix(some)
+            places = np.arange(max(0, len(some) - GRAM + 1))
+            value = np.full(len(some), 2**64 - 1, np.uint64)
+            value[: len(places)] = (hashing.mix(hashing.windows(p, places, places + GRAM)) & ~PLACE) | places.astype(np.uint64)
+            both = lambda p=p, some=some: (p, hashing.prefix(some, hashing.TABLE2))
+            yield Tape(first, at, some, 1, np.array([0, len(some)]) if long else offsets, value, both)
+
+
+def word_tapes(column: pa.Array, span: int) -> Iterator[Tape]:
+    """Blocks of rows as words, of which each is 32 bits of its hash."""
+    for first, _, data, offsets in hashing.blocks(column):
+        start, end = hashing.spans(~hashing.SPACE[data], offsets)
+        word = hashing.mix(hashing.windows(hashing.prefix(data), start, end) + (end - start).astype(np.uint64))
+        value = (word & ~PLACE) | np.arange(len(word), dtype=np.uint64)
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * hashing.powers(len(w)))]) for w in (word, hashing.mix(word))]
+        symbols = (word >> np.uint64(32)).astype(">u4").view(np.uint8)
+        yield Tape(first, 0, symbols, 4, np.searchsorted(start, offsets), value, lambda sums=sums: tuple(sums))
+
+
+def triggers(value: np.ndarray, offsets: np.ndarray, span: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger, least offset, greatest offset) of the windows of `span` symbols that lie within one row; a trigger
+    stands for the run of windows that start 'offset' symbols before it."""
+    n = len(value)
     sizes = np.diff(offsets)
     valid = np.zeros(n, bool)
     for a, b in zip(offsets[:-1][sizes >= span], offsets[1:][sizes >= span], strict=True):
         valid[a : b - span + 1] = True
-    p = hashing.prefix(data)
     start = np.flatnonzero(valid)
     if not len(start):
-        return start, start, start, p
-    places = np.arange(n - GRAM + 1)
-    gram = hashing.mix(hashing.windows(p, places, places + GRAM))
-    value = np.full(-(-n // reach) * reach + reach, 2**64 - 1, np.uint64)
-    value[: len(gram)] = (gram & ~PLACE) | places.astype(np.uint64)
-    tiles = value.reshape(-1, reach)  # least of [p, p + reach): the end of one tile and the beginning of the next
+        return start, start, start
+    padded = np.full(-(-n // reach) * reach + reach, 2**64 - 1, np.uint64)
+    padded[:n] = value
+    tiles = padded.reshape(-1, reach)  # least of [p, p + reach): the end of one tile and the beginning of the next
     ahead = np.minimum.accumulate(tiles, 1).ravel()
     behind = np.minimum.accumulate(tiles[:, ::-1], 1)[:, ::-1].ravel()
     trigger = (np.minimum(behind[start], ahead[start + reach - 1]) & PLACE).astype(np.int64)
@@ -54,86 +102,150 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int, reach: int) -> tup
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(start)]]) - 1
     at = trigger[first]
-    return at, at - start[last], at - start[first], p
-
-
-def runs(column: pa.Array, span: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, place of the first byte in it, bytes, offsets): blocks of rows; a long row in overlapping segments."""
-    for first, _, data, offsets in hashing.blocks(column):
-        if len(data) <= 2 * SEGMENT:
-            yield first, 0, data, offsets
-            continue
-        for at in range(0, len(data), SEGMENT):
-            some = data[at : at + SEGMENT + span - 1]
-            yield first, at, some, np.array([0, len(some)])
+    return at, at - start[last], at - start[first]
 
 
-def shared_keys(rows: DataFrame, span: int, reach: int) -> DataFrame:
-    """(key, n) of the trigger keys that stand at several places."""
+def shared_keys(rows: DataFrame, tapes: Callable, span: int, reach: int) -> DataFrame:
+    """(key, n) of the blocks of phrases that stand at several triggers; counted in each task before the exchange."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
-            for _, _, data, offsets in runs(batch.column("text"), span):
-                at, _, _, p = anchors(data, offsets, span, reach)
-                keys.append(hashing.mix(hashing.windows(p, at, at + span - reach)))
-            key, n = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_counts=True)
+            keys = [np.zeros(0, np.uint64)]
+            for tape in tapes(batch.column("text"), span):
+                at, _, _ = triggers(tape.value, tape.offsets, span, reach)
+                keys.append(hashing.mix(hashing.windows(tape.prefixes()[0], at, at + span - reach)) if len(at) else keys[0])
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     return rows.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-def contexts(rows: DataFrame, span: int, reach: int, wanted: Bloom, hot: Bloom | None, is_hot: bool) -> DataFrame:
-    """One row per trigger with a wanted key: key, id, row_key, at (its window that starts first), offset (of the
-    trigger in that window), around (the bytes before the trigger and those after the shared ones)."""
-    sc = rows.sparkSession.sparkContext
-    filters = sc.broadcast((wanted, hot))
+def contexts(rows: DataFrame, tapes: Callable, span: int, reach: int, wanted: Bloom, hot: Bloom | None, is_hot: bool) -> DataFrame:
+    """One row per trigger with a wanted block: key, check (the block's second hash), id, row_key, at (its window that
+    starts first), offset (of the trigger in that window), around (the phrase before the trigger, then what follows the
+    block)."""
+    filters = rows.sparkSession.sparkContext.broadcast((wanted, hot))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, hot = filters.value
         for batch in batches:
-            for row0, place, data, offsets in runs(batch.column("text"), span):
-                at, low, high, p = anchors(data, offsets, span, reach)
-                key = hashing.mix(hashing.windows(p, at, at + span - reach))
+            for tape in tapes(batch.column("text"), span):
+                at, low, high = triggers(tape.value, tape.offsets, span, reach)
+                if not len(at):
+                    continue
+                key = hashing.mix(hashing.windows(tape.prefixes()[0], at, at + span - reach))
                 ok = wanted.has(key)
                 if hot is not None:
                     ok &= hot.has(key) == is_hot
-                at, low, high, key = at[ok], low[ok], high[ok], key[ok]
+                at, low, high = at[ok], low[ok], high[ok]
                 if not len(at):
                     continue
-                after = reach - low
-                size = high + after
+                key, check = tape.blocks(at, span - reach)
+                size = (high + reach - low) * tape.unit
                 begin = np.concatenate([[0], np.cumsum(size)])
                 inner = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
-                source = np.repeat(at - high, size) + inner + np.where(inner >= np.repeat(high, size), span - reach, 0)
-                around = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(begin), pa.py_buffer(data[source])])
-                row = np.searchsorted(offsets, at, "right") - 1
-                owner = pa.array(row + row0)
+                before = np.repeat(high * tape.unit, size)
+                source = np.repeat((at - high) * tape.unit, size) + inner + np.where(inner >= before, (span - reach) * tape.unit, 0)
+                around = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(begin), pa.py_buffer(tape.symbols[source])])
+                row = np.searchsorted(tape.offsets, at, "right") - 1
+                owner = pa.array(row + tape.row0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), batch.column("id").take(owner), batch.column("row_key").take(owner),
-                     pa.array(at - high - offsets[row] + place), pa.array(high), around.cast(pa.binary())],
-                    ["key", "id", "row_key", "at", "offset", "around"],
+                    [pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), batch.column("id").take(owner), batch.column("row_key").take(owner),
+                     pa.array(at - high - tape.offsets[row] + tape.place), pa.array(high), around.cast(pa.binary())],
+                    ["key", "check", "id", "row_key", "at", "offset", "around"],
                 )
 
-    return rows.mapInArrow(cut, "key long, id long, row_key long, at long, offset long, around binary")
-
-
-def window_hashes(rows: pd.DataFrame, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number within the row's run of windows, hash of key, trigger offset and bytes) of all windows."""
+    return rows.mapInArrow(cut, "key long, check long, id long, row_key long, at long, offset long, around binary")
+
+
+def suffix_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks, ends): the place of every suffix of the phrases in their common suffix array, by prefix doubling, equal
+    for equal suffixes; a phrase's suffix of n bytes stands at its end - n, and the empty one has rank 0."""
+    sizes = np.array([len(x) for x in phrases], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    rank = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, np.int64)
+    inside = np.ones(len(rank), bool)
+    inside[ends] = False
+    rank[inside] = np.frombuffer(b"".join(phrases), np.uint8).astype(np.int64) + 1
+    end = np.repeat(ends, sizes + 1)
+    place, width, top = np.arange(len(rank)), 1, 257
+    while width <= sizes.max(initial=0):
+        step = 3 if top < 1 << 20 else 2
+        key = rank
+        for m in range(1, step):
+            key = key * top + rank[np.minimum(place + m * width, end)]
+        _, rank = np.unique(key, return_inverse=True)
+        width, top = width * step, int(rank.max()) + 1
+    return rank, ends
+
+
+def common_prefixes(tails: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The suffix array of the parse: rows in order of group and tail, and a table for range minima of the common
+    prefixes of neighbours (0 between groups)."""
+    wide = -(-width // 8) * 8
+    sizes = np.array([len(x) for x in tails])
+    padded = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in tails), np.uint8).reshape(-1, wide)
+    order = np.lexsort((sizes, *padded.view(">u8").T[::-1], group))
+    same = padded[order[1:]] == padded[order[:-1]]
+    lcp = np.where(same.all(1), wide, same.argmin(1))
+    lcp = np.minimum(lcp, np.minimum(sizes[order[1:]], sizes[order[:-1]])) * (group[order[1:]] == group[order[:-1]])
+    table = [np.concatenate([[0], lcp]).astype(np.int16)]
+    while 2 ** len(table) <= len(order):
+        half = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    return order, table
+
+
+def repeated_windows(rows: pd.DataFrame, reach: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number within the row's run of windows) of the windows that have an equal one, sorted."""
+    high = rows["offset"].to_numpy()
+    low = high + reach - rows["around"].map(len).to_numpy() // unit
+    group = rows.groupby(["key", "check"]).ngroup().to_numpy()
+    heads = [x[: h * unit] for x, h in zip(rows["around"], high, strict=True)]
+    order, table = common_prefixes([x[h * unit :] for x, h in zip(rows["around"], high, strict=True)], group, reach * unit)
+    code, dictionary = pd.factorize(np.array([*heads, None], object)[:-1])
+    rank, ends = suffix_ranks(list(dictionary))
+    # all windows, by parse suffix; then in corpus order
+    n = (high - low + 1)[order]
+    place = np.repeat(np.arange(len(order)), n)
+    row = order[place]
+    offset = high[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+    key = rank[ends[code[row]] - offset * unit] * (int(group.max(initial=0)) + 1) + group[row]
+    by = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+    left, right = place[by[same]] + 1, place[by[same + 1]]  # least of the table over left..right
+    level = np.frexp((right - left + 1).astype(np.float64))[1] - 1
+    least = np.zeros(len(same), np.int16)
+    for k in np.unique(level):
+        at = level == k
+        least[at] = np.minimum(table[k][left[at]], table[k][right[at] - (1 << k) + 1])
+    same = same[least >= (reach - offset[by[same]]) * unit]
+    again = np.zeros(len(row), bool)
+    again[by[same]] = again[by[same + 1]] = True
+    row, j = row[again], (high[row] - offset)[again]
+    out = np.lexsort((j, row))
+    return row[out], j[out]
+
+
+def window_hashes(rows: pd.DataFrame, reach: int, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number within the row's run of windows, two hashes of block, trigger offset and symbols) of all windows."""
     data = np.frombuffer(b"".join(rows["around"]), np.uint8)
     size = rows["around"].map(len).to_numpy()
     begin = np.cumsum(size) - size
-    n = size - reach + 1
+    n = size // unit - reach + 1
     row = np.repeat(np.arange(len(rows)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = begin[row] + j
-    h = hashing.windows(hashing.prefix(data), start, start + reach)
+    start = begin[row] + j * unit
     offset = (rows["offset"].to_numpy()[row] - j).astype(np.uint64)
-    return row, j, hashing.mix(hashing.mix(h + offset) ^ rows["key"].to_numpy().view(np.uint64)[row])
+    found = []
+    for name, table in (("key", hashing.TABLE), ("check", hashing.TABLE2)):
+        h = hashing.windows(hashing.prefix(data, table), start, start + reach * unit)
+        found.append(hashing.mix(hashing.mix(h + offset) ^ rows[name].to_numpy().view(np.uint64)[row]))
+    return row, j, found[0], found[1]
 
 
 def covered(rows: pd.DataFrame, row: np.ndarray, j: np.ndarray, span: int) -> pd.DataFrame:
-    """Bytes that the given windows cover, as runs: id, row_key, start, end."""
+    """Symbols that the given windows cover, as runs: id, row_key, start, end."""
     if not len(row):
         return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("id", "row_key", "start", "end")})
     new = np.ones(len(row), bool)
@@ -145,81 +257,92 @@ def covered(rows: pd.DataFrame, row: np.ndarray, j: np.ndarray, span: int) -> pd
     return pd.DataFrame({"id": own["id"].to_numpy(), "row_key": own["row_key"].to_numpy(), "start": at + j[first], "end": at + j[last] + span})
 
 
-def repeated_runs(rows: DataFrame, span: int, reach: int, hot_rows: int) -> DataFrame:
-    """id, row_key, start, end (byte places) of runs of repeated windows."""
+def repeated_runs(rows: DataFrame, tapes: Callable, unit: int, span: int, reach: int, hot_rows: int) -> DataFrame:
+    """id, row_key, start, end (places of symbols) of runs of repeated windows.
+
+    Blocks of at most `hot_rows` triggers are put in order by one task each. Those of a block that more share are not:
+    their windows are counted by two 64-bit hashes, map-side first, and looked up again, with the same result.
+    """
     spark = rows.sparkSession
-    kind = "id long, row_key long, start long, end long"
-    keys = shared.stored(shared_keys(rows, span, reach), "repeat-keys")
+    keys = shared.stored(shared_keys(rows, tapes, span, reach), "repeat-keys")
     n = keys.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > hot_rows).alias("hot")).first()
     wanted = Bloom.of(keys, "key", n["keys"])
     hot = Bloom.of(keys.filter(F.col("n") > hot_rows), "key", n["hot"]) if n["hot"] else None
 
     def order(group: pd.DataFrame) -> pd.DataFrame:
-        row, j, h = window_hashes(group, reach)
-        by = np.argsort(h, kind="stable")
-        same = h[by][1:] == h[by][:-1]
-        again = np.zeros(len(h), bool)
-        again[by[1:][same]] = again[by[:-1][same]] = True
-        return covered(group, row[again], j[again], span)
-
-    plain = contexts(rows, span, reach, wanted, hot, False)
-    parts = shared.parts(spark, n["rows"], 100_000)
-    found = plain.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(by_group("key", order, 20_000), kind)
+        return covered(group, *repeated_windows(group, reach, unit), span)
+
+    plain = contexts(rows, tapes, span, reach, wanted, hot, False)
+    parts = shared.parts(spark, n["rows"], 50_000)
+    found = plain.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(by_group("key", order, 8_000), KIND)
     if hot is None:
         return found
 
-    # a key that very many triggers share: no task gets its rows; its windows are counted map-side, then looked up
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in batches:
-            row, j, h = window_hashes(group, reach)
+            row, j, one, two = window_hashes(group, reach, unit)
             own = group.iloc[row]
             start = own["at"].to_numpy() + j
-            yield pd.DataFrame({"hash": h.view(np.int64), "id": own["id"].to_numpy(), "row_key": own["row_key"].to_numpy(), "start": start, "end": start + span})
+            hashes = {"hash": one.view(np.int64), "more": two.view(np.int64)}
+            yield pd.DataFrame(hashes | {"id": own["id"].to_numpy(), "row_key": own["row_key"].to_numpy(), "start": start, "end": start + span})
+
+    windows = contexts(rows, tapes, span, reach, wanted, hot, True).mapInPandas(explode, "hash long, more long, " + KIND)
+    again = windows.groupBy("hash", "more").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "more")
+    return found.unionByName(windows.join(again, ["hash", "more"]).select("id", "row_key", "start", "end"))
+
 
-    windows = contexts(rows, span, reach, wanted, hot, True).mapInPandas(explode, "hash long, " + kind)
-    again = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    return found.unionByName(windows.join(again, "hash").select("id", "row_key", "start", "end"))
+def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
+    """Runs (start, end) that overlap or touch, as one each."""
+    out: list[list[int]] = []
+    for start, end in sorted(runs):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, reach: int = 128, hot_rows: int = 200_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, reach: int = 128, words: int = 50, hot_rows: int = HOT
 ) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), n_passages.
 
     Removed is every byte under a `span`-byte string that also starts elsewhere in the corpus or the same text; matches
-    never cross texts, and all are judged on the input. A null text counts as empty; rows that are equal in full are
-    copies of each other. An empty table gives no rows; other columns are ignored.
+    never cross texts, and all are judged on the input. n_passages counts the stretches of a text that are covered by
+    strings of `words` + 1 words (between ASCII white space) which also start elsewhere; they may be shorter than `span`
+    and are counted, not removed. A null text counts as empty; rows that are equal in full are copies of each other. An
+    empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
-    found = repeated_runs(rows.withColumn("id", F.coalesce("id", F.lit(0))), span, reach, hot_rows)
-    spans = found.groupBy("row_key", "id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    known = rows.withColumn("id", F.coalesce("id", F.lit(0)))
+    in_bytes = repeated_runs(known, byte_tapes, 1, span, reach, hot_rows).withColumn("words", F.lit(False))
+    in_words = repeated_runs(known, word_tapes, 4, words + 1, (words + 1) // 4, hot_rows).withColumn("words", F.lit(True))
+    spans = in_bytes.unionByName(in_words).groupBy("row_key", "id").agg(F.collect_set(F.struct("words", "start", "end")).alias("runs"))
     joined = rows.join(spans.withColumnRenamed("id", "own"), ["row_key"], "left")
     joined = joined.filter(F.col("own").isNull() | (F.col("own") == F.coalesce("id", F.lit(0))))
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = hashing.column_bytes(batch.column("text"))
-            n_removed, n_spans, kept = [], [], []
+            n_removed, n_spans, kept, passages = [], [], [], []
             for a, b, marks in zip(at, at[1:], batch.column("runs").to_pylist(), strict=False):
-                text, merged = data[a:b].tobytes(), []
-                for m in sorted((x["start"], x["end"]) for x in marks or ()):
-                    if merged and m[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], m[1])
-                    else:
-                        merged.append(list(m))
-                n_removed.append(sum(e - s for s, e in merged))
-                n_spans.append(len(merged))
-                kept.append(b"".join(text[s:e] for s, e in zip([0, *(m[1] for m in merged)], [*(m[0] for m in merged), len(text)], strict=True)))
+                text = data[a:b].tobytes()
+                gone = merged([(x["start"], x["end"]) for x in marks or () if not x["words"]])
+                n_removed.append(sum(e - s for s, e in gone))
+                n_spans.append(len(gone))
+                kept.append(b"".join(text[s:e] for s, e in zip([0, *(m[1] for m in gone)], [*(m[0] for m in gone), len(text)], strict=True)))
+                passages.append(len(merged([(x["start"], x["end"]) for x in marks or () if x["words"]])))
+            numbers = [pa.array(x, pa.int64()) for x in (np.diff(at), n_removed, n_spans)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.diff(at)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
-                ["id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column("id"), *numbers, pa.array(kept, pa.binary()), pa.array(passages, pa.int64())],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages"],
             )
 
-    out = joined.select("id", "text", "runs").mapInArrow(strike, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = joined.select("id", "text", "runs").mapInArrow(strike, "id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long")
     return out.withColumnRenamed("id", id_col)
 
 
 def op4_remove_repeats(spark, sf_dir):
     out = remove_repeats(shared.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")

@@ -146,6 +146,17 @@ def test_label_model_finds_the_reliable_labelers():
 
 
 # 4
+def brute_passages(rows, size):
+    words = [[x for x in re.split("[\x20\x09-\x0d]+", t or "") if x] for _, t in rows]
+    n = Counter(tuple(w[p : p + size]) for w in words for p in range(len(w) - size + 1))
+    for w in words:
+        gone = bytearray(len(w))
+        for p in range(len(w) - size + 1):
+            if n[tuple(w[p : p + size])] > 1:
+                gone[p : p + size] = b"\1" * size
+        yield len(re.findall(b"\1+", bytes(gone)))
+
+
 def brute_repeats(rows, span):
     data = [(i, (t or "").encode()) for i, t in rows]
     n = Counter(b[p : p + span] for _, b in data for p in range(len(b) - span + 1))
@@ -165,10 +176,10 @@ def test_repeats(spark, span, reach, hot):
     passages = [some(rng.choice([20, 60, 90, 150])) for _ in range(8)]
     part = lambda: rng.choice([rng.choice(passages), rng.choice(passages)[rng.randint(0, 50) : rng.randint(60, 700)], some(40)])
     rows = [(i, " ".join(part() for _ in range(rng.randint(1, 5)))) for i in range(100)]
-    rows += [(900, None), (901, ""), (902, "a" * 1500), (903, "ab" * 500), (904, "a" * 400), (905, "b" * 399), (906, "c" * 400), (907, "d" * 401), (0, rows[0][1]), (None, rows[3][1])]
+    rows += [(900, None), (901, ""), (902, "a" * 1500), (903, "ab" * 500), (904, "a" * 400), (905, "b" * 399), (906, "c" * 400), (907, "d" * 401), (908, "e f " * 60), (909, "abcdefg hijk " * 90), (910, "x" * 300 + "abcdefg hijk " * 90), (0, rows[0][1]), (None, rows[3][1])]
     out = repeats.remove_repeats(docs(spark, rows), span=span, reach=reach, hot_rows=hot).collect()
-    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out), key=str)
-    assert got == sorted(brute_repeats(rows, span), key=str)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["n_passages"]) for r in out), key=str)
+    assert got == sorted((x + (n,) for x, n in zip(brute_repeats(rows, span), brute_passages(rows, 51), strict=True)), key=str)
 
 
 def test_triggers_of_equal_windows_agree():
@@ -177,7 +188,10 @@ def test_triggers_of_equal_windows_agree():
     found = []
     for before in (0, 37, 1000):
         data = np.concatenate([rng.integers(97, 110, before).astype(np.uint8), piece])
-        at, low, high, _ = repeats.anchors(data, np.array([0, len(data)]), 400, 128)
+        import pyarrow as pa
+
+        (tape,) = repeats.byte_tapes(pa.array([data.tobytes().decode()]), 400)
+        at, low, high = repeats.triggers(tape.value, tape.offsets, 400, 128)
         found.append({(a - before, o) for a, x, y in zip(at, low, high, strict=True) for o in range(x, y + 1) if a - o >= before})
     assert found[0] == found[1] == found[2] and len(found[0]) == 201
 
