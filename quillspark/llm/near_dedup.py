@@ -1,9 +1,8 @@
 """MinHash near-de-duplication by a chosen-path set similarity join.
 
 Texts become sets of word shingles; equal sets form one class. Independent trees branch the classes: at a node with
-path p one of the minwise tokens is chosen by a hash of p (in large nodes sometimes two), and a class goes to the child
-that its own token names. A pair survives a level with a chance that grows with its similarity, so unlike sets part
-soon. Nodes of at most `limit` classes are compared exhaustively on sketches. In larger ones a few classes are heads:
+path p one of the minwise tokens is chosen by a hash of p, and a class goes to the child that its own token names. A
+pair survives a level with a chance that grows with its similarity, so unlike sets part soon. Nodes of at most `limit` classes are compared exhaustively on sketches. In larger ones a few classes are heads:
 what is near to a head is joined to it and leaves the tree, the rest branches on; after `depth` levels what still
 shares a node is taken together as it is. What the trees join are only candidate clusters: inside each, links are
 confirmed on the full sets, and pairs already known to be connected are skipped. So `limit`, `heads`, `depth` and
@@ -62,30 +61,24 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(sign, "id long, row long, key long, check long, n long, tokens binary")
 
 
-def children(path: np.ndarray, tokens: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child path) of the branches that every row takes from its node: one, or two with chance branch - 1."""
-    h = hashing.mix(path)
-    one = (h % np.uint64(TOKENS)).astype(np.int64)
-    two = (one + 1 + ((h >> np.uint64(16)) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
-    again = np.flatnonzero((h >> np.uint64(40)).astype(np.float64) < (branch - 1) * 2**24)
-    row = np.concatenate([np.arange(len(path)), again])
-    at = np.concatenate([one, two[again]])
-    token = tokens[row, at].astype(np.uint64)
-    return row, hashing.mix(path[row] * FACTORS[1] + (at.astype(np.uint64) << np.uint64(32)) + token)
+def children(path: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Path of the child that every row goes to from its node: its own token, at a place that the node's path chooses."""
+    at = (hashing.mix(path) % np.uint64(TOKENS)).astype(np.int64)
+    token = tokens[np.arange(len(path)), at].astype(np.uint64)
+    return hashing.mix(path * FACTORS[1] + (at.astype(np.uint64) << np.uint64(32)) + token)
 
 
 def branched(rows: DataFrame, trees: int) -> DataFrame:
-    """path, key of the first level of every tree, of rows (key, tokens): one child of each root."""
+    """path, key of the first level of every tree, of rows (key, tokens)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("key").to_numpy()
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
             for tree in range(1, trees + 1):
-                row, child = children(np.full(len(key), tree, np.uint64), tokens, 1.0)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(key[row])], ["path", "key"])
+                child = children(np.full(batch.num_rows, tree, np.uint64), tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("key")], ["path", "key"])
 
     return rows.mapInArrow(go, "path long, key long")
 
@@ -219,13 +212,12 @@ def apart(rows: DataFrame, near: float) -> DataFrame:
     return rows.mapInArrow(thin, "path long, size long, heads array<struct<key:long,tokens:binary>>")
 
 
-def meet_heads(rows: DataFrame, branch: float, near: float, far: float) -> DataFrame:
-    """What becomes of the rows (path, key, tokens, heads) of large nodes: kind 0 with an edge (x, y) of keys, kind 1
-    with a child path x and the key y.
+def meet_heads(rows: DataFrame, near: float, far: float) -> DataFrame:
+    """One row for each row (path, key, tokens, heads) of a large node: path, key, head (the nearest one, if within
+    `far`), others (bits: the places of the other heads within `far`), child (the path that the class goes on to).
 
-    Heads are a few classes of the node. A row is joined to every head within `far` of it. One within `near` of a head
-    then stays behind: by the triangle inequality whatever it is linked with lies within `far` of that head and is
-    joined to it as well. So a crowd of near copies doesn't branch on and on. The others branch.
+    A class within `near` of a head stays behind and has no child: by the triangle inequality whatever it is linked
+    with lies within `far` of that head and is joined to it as well. So a crowd of near copies doesn't branch on and on.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,38 +227,35 @@ def meet_heads(rows: DataFrame, branch: float, near: float, far: float) -> DataF
             key = batch.column("key").to_numpy()
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
             heads = batch.column("heads")
-            row = np.repeat(np.arange(len(key)), np.diff(heads.offsets.to_numpy()))
+            n = np.diff(heads.offsets.to_numpy())
+            row = np.repeat(np.arange(len(key)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             flat = heads.flatten()
             head = flat.field("key").to_numpy()
             theirs = np.frombuffer(b"".join(flat.field("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
             alike = (tokens[row] == theirs).mean(1)
-            best = np.zeros(len(key))
-            np.maximum.at(best, row, alike)
-            behind = best >= near
-            first = np.zeros(len(key), np.int64)
-            top = alike == best[row]
-            first[row[top]] = head[top]
-            to = first[row]
-            edge = (alike >= far) & np.where(top & (head == to), key[row] != head, head != to)
-            # a row is joined to its nearest head, and that one to the others that the row is near to
-            a = np.where(head == to, key[row], to)[edge]
-            pairs = np.unique(np.stack([a, head[edge]]), axis=1)
-            left = np.flatnonzero(~behind)
-            own, child = children(batch.column("path").to_numpy().view(np.uint64)[left], tokens[left], branch)
-            x = np.concatenate([pairs[0], child.view(np.int64)])
-            y = np.concatenate([pairs[1], key[left[own]]])
-            kind = np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(len(child), np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y)], ["kind", "x", "y"])
-
-    return rows.mapInArrow(go, "kind int, x long, y long")
-
-
-def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float, limit: int, depth: int, heads: int = 10) -> DataFrame:
+            by = np.lexsort((place, -alike, row))  # the nearest head of each row first
+            first = by[np.cumsum(n) - n]
+            others = np.zeros(len(key), np.int64)
+            more = alike >= far
+            more[first] = False
+            np.bitwise_or.at(others, row[more], np.int64(1) << place[more])
+            child = children(batch.column("path").to_numpy().view(np.uint64), tokens).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), batch.column("key"), pa.array(head[first], mask=alike[first] < far), pa.array(others),
+                 pa.array(child, mask=alike[first] >= near)],
+                ["path", "key", "head", "others", "child"],
+            )
+
+    return rows.mapInArrow(go, "path long, key long, head long, others long, child long")
+
+
+def candidate_edges(classes: DataFrame, percent: int, trees: int, limit: int, depth: int, heads: int = 10) -> DataFrame:
     """Edges (a, b) of keys that span the candidate clusters of classes(key, n, tokens)."""
     spark = classes.sparkSession
-    # what is linked with a class at `near` of a head is nearer than near - (1 - threshold); sketches may err by MARGIN
+    # what is linked with a class at `near` of a head is nearer than near - (1 - threshold); sketches may err
     near = percent / 100 - 0.1
-    far = near - (1 - percent / 100) - MARGIN
+    far = near - (1 - percent / 100) - 0.2
     found = None
     level = branched(classes.select("key", "tokens"), trees)
     for d in range(depth):
@@ -287,9 +276,14 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, branch: float,
             copies = F.ceil(F.col("size") / SHARE)
             some = some.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("size")
             whole = whole.withColumn("salt", F.pmod(F.xxhash64("key", "path"), copies)).drop("size")
-            met = shared.stored(meet_heads(whole.join(some, ["path", "salt"]), branch, near, far), "near-met")
-            edges.append(met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
-            level = met.filter("kind = 1").select(F.col("x").alias("path"), F.col("y").alias("key"))
+            met = shared.stored(meet_heads(whole.join(some, ["path", "salt"]), near, far), "near-met")
+            edges.append(met.filter("head <> key").select(F.col("key").alias("a"), F.col("head").alias("b")))
+            # heads that a class is near to are joined once for each node, not for each class
+            pairs = met.filter("others <> 0").groupBy("path", "head").agg(F.bit_or("others").alias("others"))
+            pairs = pairs.join(some.filter("salt = 0").select("path", F.col("heads.key").alias("keys")), "path")
+            near_too = F.filter("keys", lambda k, i: F.getbit("others", i) == 1)
+            edges.append(pairs.select(F.col("head").alias("a"), F.explode(near_too).alias("b")))
+            level = met.filter("child is not null").select(F.col("child").alias("path"), "key")
         elif n["large"]:
             first = large.groupBy("path").agg(F.min("key").alias("b"))
             edges.append(large.join(first, "path").select(F.col("key").alias("a"), "b"))
@@ -336,7 +330,7 @@ def full_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> DataFr
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    trees: int = 10, branch: float = 1.5, limit: int = 64, depth: int = 5, cluster: int = CLUSTER,
+    trees: int = 10, limit: int = 64, depth: int = 5, cluster: int = CLUSTER,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable over links), kept (id = component_id).
@@ -348,7 +342,7 @@ def near_dedup(
     row_col names a column of unique numbers from 0 on: it comes back too, and of the rows that share the least id of a
     component only the one with the least number is kept.
     Recall: a pair of similarity s meets in a tree of small nodes with chance s, so at 0.8 all 10 trees miss it with
-    1e-7; where it has to branch on once or twice more inside large nodes, with 5e-6 and 6e-5.
+    1e-7; where it has to go on once or twice more inside large nodes, with 4e-5 and 8e-4 (at 0.85: 3e-6 and 7e-5).
     Sets of more than `cluster` candidates are compared by pairs of blocks: exact, but each set goes to every block.
     """
     spark = docs.sparkSession
@@ -362,7 +356,7 @@ def near_dedup(
     # stored with a number of each class, which stands for it in the trees
     classes = shared.stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     numbered = classes.select(F.col("node").alias("key"), "n", "tokens")
-    clusters = components(candidate_edges(numbered, percent, trees, branch, limit, depth))
+    clusters = components(candidate_edges(numbered, percent, trees, limit, depth))
     members = shared.stored(clusters.join(classes.select("node", "key", "check", "n"), "node"), "near-members")
     sizes = members.groupBy("root").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("classes") / cluster, F.col("shingles") / (cluster * 2048))))
