@@ -141,7 +141,7 @@ def test_label_model_finds_the_reliable_labelers():
         vote = tuple((1 if (rng.random() < p) == y else -1) for p in (0.95, 0.9, 0.85, 0.6, 0.8))
         counts[(4, vote, 1)] += 1
     soft, seen = pii.label_model(counts)
-    good = [table[1][0] for table in seen]
+    good = [table[1][0] for table in seen[4]]
     assert good[0] > 0.9 and good[0] > good[3]
 
 
