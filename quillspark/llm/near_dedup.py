@@ -260,10 +260,9 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, limit: int, de
     level = branched(classes.select("key", "tokens"), trees)
     for d in range(depth):
         counts = level.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-        nodes = shared.stored(level.join(counts, "path"), "near-nodes")
+        nodes, n = shared.stored_with(level.join(counts, "path"), "near-nodes", small=F.count_if(F.col("size") <= limit), large=F.count_if(F.col("size") > limit))
         small = nodes.filter(F.col("size") <= limit).join(classes.select("key", "tokens"), "key")
         small = small.select("path", "key", F.col("tokens").alias("sketch"))
-        n = nodes.agg(F.count_if(F.col("size") <= limit).alias("small"), F.count_if(F.col("size") > limit).alias("large")).first()
         edges = [in_groups(low_bytes(small), "path", shared.parts(spark, n["small"], 100_000), compare_nodes(percent / 100 - MARGIN), 20_000)]
         large = nodes.filter(F.col("size") > limit)
         if n["large"] and d < depth - 1:
@@ -288,7 +287,6 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, limit: int, de
             first = large.groupBy("path").agg(F.min("key").alias("b"))
             edges.append(large.join(first, "path").select(F.col("key").alias("a"), "b"))
         for e in edges:
-            e = shared.stored(e.distinct(), "near-candidates")
             found = e if found is None else found.unionByName(e)
         if not n["large"]:
             break
@@ -330,7 +328,7 @@ def full_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> DataFr
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    trees: int = 10, limit: int = 64, depth: int = 5, cluster: int = CLUSTER,
+    trees: int = 10, limit: int = 64, depth: int = 4, cluster: int = CLUSTER,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable over links), kept (id = component_id).

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,29 +34,31 @@ GRAM = 16  # bytes that a trigger's hash covers
 PLACE = np.uint64(2**32 - 1)  # low bits of a hash give way to its place, so the leftmost of equal ones is least
 SEGMENT = 1 << 22
 HOT = 20_000  # triggers of one block that a task puts in order; see repeated_runs()
-KIND = "id long, row_key long, start long, end long"
+KIND = "unit int, id long, row_key long, start long, end long"
 
 
 @dataclass
 class Tape:
-    """Some rows as one run of symbols: `unit` bytes each, offsets of the rows, hashes that choose triggers (2**64 - 1
-    where none may stand), hash prefixes; row0 and place tell where the first symbol stands."""
+    """Some rows as one run of symbols of `unit` bytes each, in which windows of `span` are looked for: offsets of the
+    rows, hashes that choose triggers (2**64 - 1 where none may stand), hash prefixes; row0 and place tell where the first
+    symbol stands."""
 
+    span: int
+    reach: int
     row0: int
     place: int
     symbols: np.ndarray
     unit: int
     offsets: np.ndarray
     value: np.ndarray
-    prefixes: Callable[[], tuple[np.ndarray, np.ndarray]]
+    prefixes: Callable[[int], np.ndarray]
 
-    def blocks(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the `size` symbols from each place on."""
-        one, two = (hashing.mix(hashing.windows(p, at, at + size)) for p in self.prefixes())
-        return one, two
+    def block(self, at: np.ndarray, which: int) -> np.ndarray:
+        """One of two hashes of the block from each trigger on."""
+        return hashing.mix(hashing.windows(self.prefixes(which), at, at + self.span - self.reach))
 
 
-def byte_tapes(column: pa.Array, span: int) -> Iterator[Tape]:
+def byte_tapes(column: pa.Array, span: int, reach: int) -> Iterator[Tape]:
     """Blocks of rows as bytes; a long row in segments that overlap by all but one byte of a window."""
     for first, _, data, offsets in hashing.blocks(column):
         long = len(data) > 2 * SEGMENT
@@ -65,19 +68,19 @@ def byte_tapes(column: pa.Array, span: int) -> Iterator[Tape]:
             places = np.arange(max(0, len(some) - GRAM + 1))
             value = np.full(len(some), 2**64 - 1, np.uint64)
             value[: len(places)] = (hashing.mix(hashing.windows(p, places, places + GRAM)) & ~PLACE) | places.astype(np.uint64)
-            both = lambda p=p, some=some: (p, hashing.prefix(some, hashing.TABLE2))
-            yield Tape(first, at, some, 1, np.array([0, len(some)]) if long else offsets, value, both)
+            both = lambda which, p=p, some=some: hashing.prefix(some, hashing.TABLE2) if which else p
+            yield Tape(span, reach, first, at, some, 1, np.array([0, len(some)]) if long else offsets, value, both)
 
 
-def word_tapes(column: pa.Array, span: int) -> Iterator[Tape]:
+def word_tapes(column: pa.Array, span: int, reach: int) -> Iterator[Tape]:
     """Blocks of rows as words, of which each is 32 bits of its hash."""
     for first, _, data, offsets in hashing.blocks(column):
         start, end = hashing.spans(~hashing.SPACE[data], offsets)
         word = hashing.mix(hashing.windows(hashing.prefix(data), start, end) + (end - start).astype(np.uint64))
         value = (word & ~PLACE) | np.arange(len(word), dtype=np.uint64)
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * hashing.powers(len(w)))]) for w in (word, hashing.mix(word))]
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(w * hashing.powers(len(w)), dtype=np.uint64)]) for w in (word, hashing.mix(word))]
         symbols = (word >> np.uint64(32)).astype(">u4").view(np.uint8)
-        yield Tape(first, 0, symbols, 4, np.searchsorted(start, offsets), value, lambda sums=sums: tuple(sums))
+        yield Tape(span, reach, first, 0, symbols, 4, np.searchsorted(start, offsets), value, lambda which, sums=sums: sums[which])
 
 
 def triggers(value: np.ndarray, offsets: np.ndarray, span: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,57 +108,58 @@ def triggers(value: np.ndarray, offsets: np.ndarray, span: int, reach: int) -> t
     return at, at - start[last], at - start[first]
 
 
-def shared_keys(rows: DataFrame, tapes: Callable, span: int, reach: int) -> DataFrame:
+def shared_keys(rows: DataFrame, tapes: Callable) -> DataFrame:
     """(key, n) of the blocks of phrases that stand at several triggers; counted in each task before the exchange."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.zeros(0, np.uint64)]
-            for tape in tapes(batch.column("text"), span):
-                at, _, _ = triggers(tape.value, tape.offsets, span, reach)
-                keys.append(hashing.mix(hashing.windows(tape.prefixes()[0], at, at + span - reach)) if len(at) else keys[0])
+            for tape in tapes(batch.column("text")):
+                at, _, _ = triggers(tape.value, tape.offsets, tape.span, tape.reach)
+                if len(at):
+                    keys.append(tape.block(at, 0))
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     return rows.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-def contexts(rows: DataFrame, tapes: Callable, span: int, reach: int, wanted: Bloom, hot: Bloom | None, is_hot: bool) -> DataFrame:
-    """One row per trigger with a wanted block: key, check (the block's second hash), id, row_key, at (its window that
-    starts first), offset (of the trigger in that window), around (the phrase before the trigger, then what follows the
-    block)."""
-    filters = rows.sparkSession.sparkContext.broadcast((wanted, hot))
+def contexts(rows: DataFrame, tapes: Callable, filters: Broadcast, is_hot: bool) -> DataFrame:
+    """One row per trigger with a wanted block: key, check (the block's second hash), unit, id, row_key, at (its window
+    that starts first), offset (of the trigger in that window), around (the phrase before the trigger, then what follows
+    the block)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, hot = filters.value
         for batch in batches:
-            for tape in tapes(batch.column("text"), span):
-                at, low, high = triggers(tape.value, tape.offsets, span, reach)
+            for tape in tapes(batch.column("text")):
+                at, low, high = triggers(tape.value, tape.offsets, tape.span, tape.reach)
                 if not len(at):
                     continue
-                key = hashing.mix(hashing.windows(tape.prefixes()[0], at, at + span - reach))
+                key = tape.block(at, 0)
                 ok = wanted.has(key)
                 if hot is not None:
                     ok &= hot.has(key) == is_hot
-                at, low, high = at[ok], low[ok], high[ok]
+                at, low, high, key = at[ok], low[ok], high[ok], key[ok]
                 if not len(at):
                     continue
-                key, check = tape.blocks(at, span - reach)
-                size = (high + reach - low) * tape.unit
+                check = tape.block(at, 1)
+                size = (high + tape.reach - low) * tape.unit
                 begin = np.concatenate([[0], np.cumsum(size)])
                 inner = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
                 before = np.repeat(high * tape.unit, size)
-                source = np.repeat((at - high) * tape.unit, size) + inner + np.where(inner >= before, (span - reach) * tape.unit, 0)
+                source = np.repeat((at - high) * tape.unit, size) + inner + np.where(inner >= before, (tape.span - tape.reach) * tape.unit, 0)
                 around = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(begin), pa.py_buffer(tape.symbols[source])])
                 row = np.searchsorted(tape.offsets, at, "right") - 1
                 owner = pa.array(row + tape.row0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), batch.column("id").take(owner), batch.column("row_key").take(owner),
+                    [pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.full(len(at), tape.unit, np.int32)),
+                     batch.column("id").take(owner), batch.column("row_key").take(owner),
                      pa.array(at - high - tape.offsets[row] + tape.place), pa.array(high), around.cast(pa.binary())],
-                    ["key", "check", "id", "row_key", "at", "offset", "around"],
+                    ["key", "check", "unit", "id", "row_key", "at", "offset", "around"],
                 )
 
-    return rows.mapInArrow(cut, "key long, check long, id long, row_key long, at long, offset long, around binary")
+    return rows.mapInArrow(cut, "key long, check long, unit int, id long, row_key long, at long, offset long, around binary")
 
 
 def suffix_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,34 +249,43 @@ def window_hashes(rows: pd.DataFrame, reach: int, unit: int) -> tuple[np.ndarray
 
 
 def covered(rows: pd.DataFrame, row: np.ndarray, j: np.ndarray, span: int) -> pd.DataFrame:
-    """Symbols that the given windows cover, as runs: id, row_key, start, end."""
-    if not len(row):
-        return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("id", "row_key", "start", "end")})
+    """Symbols that the given windows cover, as runs: unit, id, row_key, start, end."""
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(row)]]) - 1
     own = rows.iloc[row[first]]
     at = own["at"].to_numpy()
-    return pd.DataFrame({"id": own["id"].to_numpy(), "row_key": own["row_key"].to_numpy(), "start": at + j[first], "end": at + j[last] + span})
+    return pd.DataFrame({**{c: own[c].to_numpy() for c in ("unit", "id", "row_key")}, "start": at + j[first], "end": at + j[last] + span})
 
 
-def repeated_runs(rows: DataFrame, tapes: Callable, unit: int, span: int, reach: int, hot_rows: int) -> DataFrame:
-    """id, row_key, start, end (places of symbols) of runs of repeated windows.
+def repeated_runs(rows: DataFrame, sizes: dict[int, tuple[int, int]], hot_rows: int) -> DataFrame:
+    """unit, id, row_key, start, end (places of symbols) of runs of repeated windows; sizes: unit -> (span, reach), with
+    bytes as the symbols of unit 1 and words as those of unit 4.
 
     Blocks of at most `hot_rows` triggers are put in order by one task each. Those of a block that more share are not:
     their windows are counted by two 64-bit hashes, map-side first, and looked up again, with the same result.
     """
     spark = rows.sparkSession
-    keys = shared.stored(shared_keys(rows, tapes, span, reach), "repeat-keys")
+
+    def tapes(column: pa.Array) -> Iterator[Tape]:
+        for unit, (span, reach) in sizes.items():
+            yield from (byte_tapes if unit == 1 else word_tapes)(column, span, reach)
+
+    keys = shared.stored(shared_keys(rows, tapes), "repeat-keys")
     n = keys.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > hot_rows).alias("hot")).first()
-    wanted = Bloom.of(keys, "key", n["keys"])
     hot = Bloom.of(keys.filter(F.col("n") > hot_rows), "key", n["hot"]) if n["hot"] else None
+    filters = spark.sparkContext.broadcast((Bloom.of(keys, "key", n["keys"]), hot))  # of a bounded size
 
     def order(group: pd.DataFrame) -> pd.DataFrame:
-        return covered(group, *repeated_windows(group, reach, unit), span)
-
-    plain = contexts(rows, tapes, span, reach, wanted, hot, False)
+        found = []
+        for unit, (span, reach) in sizes.items():
+            own = group[group["unit"].to_numpy() == unit].reset_index(drop=True)
+            if len(own):
+                found.append(covered(own, *repeated_windows(own, reach, unit), span))
+        return pd.concat(found, ignore_index=True)
+
+    plain = contexts(rows, tapes, filters, False)
     parts = shared.parts(spark, n["rows"], 50_000)
     found = plain.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(by_group("key", order, 8_000), KIND)
     if hot is None:
@@ -280,15 +293,17 @@ def repeated_runs(rows: DataFrame, tapes: Callable, unit: int, span: int, reach:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in batches:
-            row, j, one, two = window_hashes(group, reach, unit)
-            own = group.iloc[row]
-            start = own["at"].to_numpy() + j
-            hashes = {"hash": one.view(np.int64), "more": two.view(np.int64)}
-            yield pd.DataFrame(hashes | {"id": own["id"].to_numpy(), "row_key": own["row_key"].to_numpy(), "start": start, "end": start + span})
-
-    windows = contexts(rows, tapes, span, reach, wanted, hot, True).mapInPandas(explode, "hash long, more long, " + KIND)
+            for unit, (span, reach) in sizes.items():
+                own = group[group["unit"].to_numpy() == unit].reset_index(drop=True)
+                if len(own):
+                    row, j, one, two = window_hashes(own, reach, unit)
+                    start = own["at"].to_numpy()[row] + j
+                    ids = {c: own[c].to_numpy()[row] for c in ("unit", "id", "row_key")}
+                    yield pd.DataFrame({"hash": one.view(np.int64), "more": two.view(np.int64), **ids, "start": start, "end": start + span})
+
+    windows = contexts(rows, tapes, filters, True).mapInPandas(explode, "hash long, more long, " + KIND)
     again = windows.groupBy("hash", "more").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "more")
-    return found.unionByName(windows.join(again, ["hash", "more"]).select("id", "row_key", "start", "end"))
+    return found.unionByName(windows.join(again, ["hash", "more"]).select("unit", "id", "row_key", "start", "end"))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
@@ -316,9 +331,8 @@ def remove_repeats(
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
     known = rows.withColumn("id", F.coalesce("id", F.lit(0)))
-    in_bytes = repeated_runs(known, byte_tapes, 1, span, reach, hot_rows).withColumn("words", F.lit(False))
-    in_words = repeated_runs(known, word_tapes, 4, words + 1, (words + 1) // 4, hot_rows).withColumn("words", F.lit(True))
-    spans = in_bytes.unionByName(in_words).groupBy("row_key", "id").agg(F.collect_set(F.struct("words", "start", "end")).alias("runs"))
+    found = repeated_runs(known, {1: (span, reach), 4: (words + 1, (words + 1) // 3)}, hot_rows)
+    spans = found.groupBy("row_key", "id").agg(F.collect_set(F.struct("unit", "start", "end")).alias("runs"))
     joined = rows.join(spans.withColumnRenamed("id", "own"), ["row_key"], "left")
     joined = joined.filter(F.col("own").isNull() | (F.col("own") == F.coalesce("id", F.lit(0))))
 
@@ -328,11 +342,11 @@ def remove_repeats(
             n_removed, n_spans, kept, passages = [], [], [], []
             for a, b, marks in zip(at, at[1:], batch.column("runs").to_pylist(), strict=False):
                 text = data[a:b].tobytes()
-                gone = merged([(x["start"], x["end"]) for x in marks or () if not x["words"]])
+                gone = merged([(x["start"], x["end"]) for x in marks or () if x["unit"] == 1])
                 n_removed.append(sum(e - s for s, e in gone))
                 n_spans.append(len(gone))
                 kept.append(b"".join(text[s:e] for s, e in zip([0, *(m[1] for m in gone)], [*(m[0] for m in gone), len(text)], strict=True)))
-                passages.append(len(merged([(x["start"], x["end"]) for x in marks or () if x["words"]])))
+                passages.append(len(merged([(x["start"], x["end"]) for x in marks or () if x["unit"] > 1])))
             numbers = [pa.array(x, pa.int64()) for x in (np.diff(at), n_removed, n_spans)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *numbers, pa.array(kept, pa.binary()), pa.array(passages, pa.int64())],

@@ -68,9 +68,9 @@ class Bloom:
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mask.view(np.int64))], ["at", "mask"])
 
         rows = keys.select(F.col(column).cast("long")).mapInArrow(place, "at long, mask long")
-        got = rows.groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
+        got = rows.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
         words = np.zeros(size, np.uint64)
-        words[got["at"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+        words[got.column("at").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
         return Bloom(words)
 
     @staticmethod
@@ -95,17 +95,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Alternating large-star and small-star steps; each halves the distance to the root or better, and each is an
     aggregation and a join, so hubs are summed map-side and joined by ranges of their rows.
     """
-    now = shared.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    sums = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0)).alias("h")).first()
-    before = sums(now)
+    sums = {"n": F.count(F.lit(1)), "h": F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))}
+    first = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, before = shared.stored_with(first, "edges", **sums)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = shared.stored(small.select("e.*").filter("a <> b").distinct(), "edges")
-        after = sums(now)
+        now, after = shared.stored_with(small.select("e.*").filter("a <> b").distinct(), "edges", **sums)
         if after == before:
             break
         before = after

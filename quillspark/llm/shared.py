@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,6 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """stored(df), and sums over its rows that are taken as they are written, without another pass."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = stored(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
+    return out, seen.get
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a stored table, if the session still runs."""
     if spark.sparkContext._jsc is None:

@@ -190,7 +190,7 @@ def test_triggers_of_equal_windows_agree():
         data = np.concatenate([rng.integers(97, 110, before).astype(np.uint8), piece])
         import pyarrow as pa
 
-        (tape,) = repeats.byte_tapes(pa.array([data.tobytes().decode()]), 400)
+        (tape,) = repeats.byte_tapes(pa.array([data.tobytes().decode()]), 400, 128)
         at, low, high = repeats.triggers(tape.value, tape.offsets, 400, 128)
         found.append({(a - before, o) for a, x, y in zip(at, low, high, strict=True) for o in range(x, y + 1) if a - o >= before})
     assert found[0] == found[1] == found[2] and len(found[0]) == 201
