@@ -157,8 +157,12 @@ def near(field: str, a: str, b: str, n: int = 15) -> Column:
     a, b = a.lower(), b.lower()
     if not (re.fullmatch("[a-z0-9]+", a) and re.fullmatch("[a-z0-9]+", b)):
         return term(field, a) & term(field, b)
-    places = lambda w: F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
-    return F.exists(places(a), lambda i: F.exists(places(b), lambda j: (i != j) & (F.abs(i - j) - 1 <= n)))
+    # the nearest pair of the two words are neighbours among their places
+    at = F.filter(F.transform(words, lambda x, i: F.when(x.isin(a, b), F.struct(i.alias("i"), x.alias("w")))), lambda p: p.isNotNull())
+    pairs = lambda p: F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    other = lambda q: F.lit(True) if a == b else q["x"]["w"] != q["y"]["w"]
+    close = lambda q: F.coalesce(other(q) & (q["y"]["i"] - q["x"]["i"] - 1 <= n), F.lit(False))
+    return F.exists(F.transform(F.array(at), lambda p: F.exists(pairs(p), close)), lambda found: found)
 
 
 def negate(p: Column) -> Column:
@@ -190,13 +194,20 @@ def rows_predicate(rows: list[dict]) -> Column:
 
 
 # P7, P8
-def refine(df: DataFrame, keyword: str = "", with_abstract: bool = False, with_code: bool = False, years: tuple | None = None) -> DataFrame:
+def refine(
+    df: DataFrame, keyword: str = "", with_abstract: bool = False, with_code: bool = False, years: tuple | None = None, fields: list[str] | None = None
+) -> DataFrame:
+    """Rows that hold the keyword, have an abstract or code, lie within the years and belong to one of the fields."""
     if keyword.strip():
         df = df.filter(F.lower(F.concat_ws(" ", "title", "authors_text", "abstract", "conf")).contains(keyword.strip().lower()))
     if with_abstract:
         df = df.filter(F.trim(C.text("abstract")) != "")
     if with_code:
         df = df.filter(has_code(F.col("code")))
+    if fields:
+        from ..operators.stats import field_of
+
+        df = field_of(df).filter(F.col("field").isin(fields)).select(*df.columns)
     return df.filter(year_range(*years)) if years else df
 
 
@@ -218,26 +229,31 @@ def search_filter(confs: list[str] | None = None, since: int | None = None, unti
 def match_saved_queries(papers: DataFrame, query_rows: DataFrame) -> DataFrame:
     """(query_id, hits): stored condition rows (query_id, leg, field, negate, value) counted over all papers at once.
 
-    A paper hits a query if it meets every row of one of its legs. The conditions are broadcast; they are written by
-    people and checked to be at most MAX_CONDITIONS.
+    A paper hits a query if it meets every row of one of its legs. The conditions are written by people and checked to be
+    at most MAX_CONDITIONS, so they travel as one array, of queries of legs; each paper is tested where it lies, gives one
+    row for each query that it hits, and those are counted before the exchange.
     """
-    n = query_rows.count()
-    if n > MAX_CONDITIONS:
-        raise ValueError(f"{n} condition rows; split them into calls of {MAX_CONDITIONS}")
-    need = query_rows.withColumn("needed", F.count("*").over(Window.partitionBy("query_id", "leg")))
+    if (n := query_rows.limit(MAX_CONDITIONS + 1).count()) > MAX_CONDITIONS:
+        raise ValueError(f"over {n - 1} condition rows; split them into calls of {MAX_CONDITIONS}")
     low = F.lower(F.col("value"))
-    hay = {
-        "title": F.lower(C.text("title")), "abstract": F.lower(C.text("abstract")), "conf": F.lower(C.text("q_conf")),
-        "author": F.lower(C.text("authors_text")), "year": F.col("year").cast("string"),
-    }
-    other = F.lower(F.concat_ws(" ", "title", "abstract", "authors_text", "q_conf"))
-    subject = reduce(lambda acc, kv: acc.when(F.col("field") == kv[0], kv[1]), list(hay.items())[1:], F.when(F.col("field") == "title", hay["title"])).otherwise(other)
-    met = F.when(F.col("field") == "year", subject == low).otherwise(subject.contains(low))
-    rows = papers.select("id", "title", "abstract", "authors_text", "year", F.col("conf").alias("q_conf"))
-    hit = rows.join(F.broadcast(need), F.coalesce(met, F.lit(False)) != F.coalesce("negate", F.lit(False)))
-    full = hit.groupBy("query_id", "leg", "id").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).filter("n = needed")
-    counts = full.groupBy("query_id").agg(F.count_distinct("id").alias("hits"))
+    condition = F.struct("field", F.coalesce("negate", F.lit(False)).alias("negate"), low.alias("value"))
+    legs = query_rows.groupBy("query_id", "leg").agg(F.collect_list(condition).alias("all"))
+    queries = legs.groupBy("query_id").agg(F.collect_list("all").alias("legs")).agg(F.collect_list(F.struct("query_id", "legs")).alias("queries"))
+    texts = F.map_from_arrays(F.array(*map(F.lit, SAVED_FIELDS)), F.array(
+        F.lower(C.text("title")), F.lower(C.text("abstract")), F.lower(C.text("conf")), F.lower(C.text("authors_text")),
+    ))
+    whole = F.lower(F.concat_ws(" ", "title", "abstract", "authors_text", "conf"))
+    year = F.col("year").cast("string")
+    rows = papers.select(texts.alias("texts"), whole.alias("whole"), year.alias("year")).crossJoin(F.broadcast(queries))  # one row
+
+    def met(c: Column) -> Column:
+        own = F.when(c["field"] == "year", F.col("year") == c["value"]).otherwise(F.coalesce(F.try_element_at("texts", c["field"]), F.col("whole")).contains(c["value"]))
+        return F.coalesce(own, F.lit(False)) != c["negate"]
+
+    hit = F.filter("queries", lambda q: F.exists(q["legs"], lambda leg: F.forall(leg, met)))
+    counts = rows.select(F.explode(F.transform(hit, lambda q: q["query_id"])).alias("query_id")).groupBy("query_id").agg(F.count("*").alias("hits"))
     return query_rows.select("query_id").distinct().join(counts, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
+SAVED_FIELDS = ["title", "abstract", "conf", "author"]  # others are looked for in all four together
 MAX_CONDITIONS = 10_000

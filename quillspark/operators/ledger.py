@@ -31,10 +31,13 @@ def needs_compaction(events: DataFrame, ratio: float = 2.0) -> DataFrame:
 
 
 def ledger_compact(events: DataFrame, path: str, ratio: float = 2.0) -> bool:
-    """L3: write the latest state to path if there are over `ratio` physical rows per live url."""
+    """L3: write the latest state to path if there are over `ratio` physical rows per live url. It is staged and counted
+    before it takes the place of what is there, so path may be the table that events are read from."""
+    from ..sources.records import replace_verified
+
     due = bool(needs_compaction(events, ratio).first()["compact"])
     if due:
-        ledger_latest(events).write.mode("overwrite").parquet(path)
+        replace_verified(ledger_latest(events), path)
     return due
 
 

@@ -30,12 +30,14 @@ def materialise_papers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return papers, counts
 
 
-def merged(order: Column | str = "seq") -> list[Column]:
+def merged(*order: str) -> list[Column]:
     """D1 as aggregates: title and url of the first row, longest abstract and author list (the earlier wins ties), first
-    real code link, else the first non-empty code, else '#'. A group of one row is left as it is."""
-    o = F.col(order) if isinstance(order, str) else order
+    real code link, else the first non-empty code, else '#'. A group of one row is left as it is. Rows come in the order of
+    the given columns (seq, if none is)."""
+    order = order or ("seq",)
+    o = F.struct(*order)
     alone = F.count("*") == 1
-    longest = lambda c, size: F.max_by(c, F.struct(size, -o))
+    longest = lambda c, size: F.max_by(c, F.struct(size, *(-F.col(x) for x in order)))
     code, abstract = F.trim(C.text("paper_code")), C.text("paper_abstract")
     authors = F.coalesce("paper_authors", F.array().cast("array<string>"))
     best = F.coalesce(F.min_by(code, F.when(P.has_code(F.col("paper_code")), o)), F.min_by(code, F.when(code != "", o)), F.lit("#"))
@@ -46,7 +48,7 @@ def merged(order: Column | str = "seq") -> list[Column]:
         F.when(alone, one("paper_abstract")).otherwise(longest(abstract, F.length(abstract))).alias("paper_abstract"),
         F.when(alone, one("paper_authors")).otherwise(longest(authors, F.size(authors))).alias("paper_authors"),
         F.when(alone, one("paper_code")).otherwise(best).alias("paper_code"),
-        F.min(o).alias("seq"),
+        F.min(o)["seq"].alias("seq"),
         F.count("*").alias("merged_rows"),
     ]
 
@@ -99,8 +101,8 @@ def merge_incremental(new: DataFrame, old: DataFrame) -> DataFrame:
     cached = old.select("conf", *FIELDS, "seq").withColumn("side", F.lit(1))
     both = fresh.unionByName(cached.join(touched, "conf", "left_semi"))
     linked = F.trim(C.text("paper_url")) != ""
-    byurl = both.filter(linked).withColumn("u", F.col("paper_url")).groupBy("conf", "u").agg(*merged(F.struct("side", "seq")["seq"] + F.col("side") * F.lit(1 << 50)))
-    out = byurl.select("conf", *FIELDS, (F.col("seq") % F.lit(1 << 50)).alias("seq"))
+    byurl = both.filter(linked).withColumn("u", F.col("paper_url")).groupBy("conf", "u").agg(*merged("side", "seq"))
+    out = byurl.select("conf", *FIELDS, "seq")
     return out.unionByName(both.filter(~linked).select("conf", *FIELDS, "seq")).unionByName(
         cached.join(touched, "conf", "left_anti").select("conf", *FIELDS, "seq")
     )
@@ -109,24 +111,28 @@ def merge_incremental(new: DataFrame, old: DataFrame) -> DataFrame:
 def merge_official(records: DataFrame, official: DataFrame, mode: str = "cvf") -> DataFrame:
     """Official rows merged into the records of a conf, by canonical url first, then by a title key that is unique
     among the official rows (prefer a DOI url, then the official one). Mode ijcai also asks that surnames overlap or one
-    side has none; mode miccai keeps its own title key. Rows of `official` that match nothing are added."""
+    side has none, and that both urls are pages of its papers; mode miccai keeps its own title key. Rows of `official`
+    that match nothing are added."""
     a = records.select("conf", *FIELDS, "seq").withColumn("side", F.lit(0))
     b = official.select("conf", *FIELDS, "seq").withColumn("side", F.lit(1))
-    both = a.unionByName(b).withColumn("at", F.col("seq") + F.col("side") * F.lit(1 << 50))
-    both = both.withColumn("u", F.coalesce(F.nullif(C.normalise_url(F.col("paper_url")), F.lit("")), F.concat(F.lit("row:"), F.col("at").cast("string"))))
-    first = both.groupBy("conf", "u").agg(*merged("at"), F.max("side").alias("official"), F.max_by("paper_url", "side").alias("official_url"))
+    row = F.concat_ws(":", F.lit("row"), F.col("side").cast("string"), F.col("seq").cast("string"))
+    both = a.unionByName(b).withColumn("u", F.coalesce(F.nullif(C.normalise_url(F.col("paper_url")), F.lit("")), row))
+    first = both.groupBy("conf", "u").agg(
+        *merged("side", "seq"), F.min("side").alias("side"), F.max("side").alias("official"), F.max_by("paper_url", "side").alias("official_url")
+    )
     keyed = first.withColumn("t", C.title_key(F.col("paper_name"), mode))
     names = C.author_surnames(F.col("paper_authors"))
+    allowed = C.is_ijcai_url(F.col("paper_url")) if mode == "ijcai" else F.lit(True)
     unique = F.sum("official").over(Window.partitionBy("conf", "t")) == 1
-    keyed = keyed.withColumn("names", names if mode == "ijcai" else F.array().cast("array<string>")).withColumn("ok", unique & (F.col("t") != ""))
+    keyed = keyed.withColumn("names", names if mode == "ijcai" else F.array().cast("array<string>")).withColumn("ok", unique & allowed & (F.col("t") != ""))
     theirs = F.max_by("names", "official").over(Window.partitionBy("conf", "t"))
     fits = (F.size("names") == 0) | (F.size(theirs) == 0) | F.arrays_overlap("names", theirs)
     group = F.when(F.col("ok") & fits, F.concat(F.lit("t:"), F.col("t"))).otherwise(F.concat(F.lit("u:"), F.col("u")))
     keyed = keyed.withColumn("g", group)
     doi = F.max(F.when(C.netloc(F.col("paper_url")).rlike(r"(^|\.)doi\.org$"), F.col("paper_url")))
-    pick = F.coalesce(doi, F.max(F.when(F.col("official") == 1, F.col("official_url"))), F.min_by("paper_url", "seq"))
-    out = keyed.groupBy("conf", "g").agg(*merged(), pick.alias("best_url"), F.count("*").alias("sides"))
-    return out.withColumn("paper_url", F.when(F.col("sides") > 1, F.col("best_url")).otherwise(F.col("paper_url"))).select("conf", *FIELDS, (F.col("seq") % F.lit(1 << 50)).alias("seq"))
+    pick = F.coalesce(doi, F.max(F.when(F.col("official") == 1, F.col("official_url"))), F.min_by("paper_url", F.struct("side", "seq")))
+    out = keyed.groupBy("conf", "g").agg(*merged("side", "seq"), pick.alias("best_url"), F.count("*").alias("sides"))
+    return out.withColumn("paper_url", F.when(F.col("sides") > 1, F.col("best_url")).otherwise(F.col("paper_url"))).select("conf", *FIELDS, "seq")
 
 
 def sync_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -140,6 +146,14 @@ def sync_report(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def official_titles(before: DataFrame, official: DataFrame) -> DataFrame:
+    """Per conf of the official rows, how many titles are known already (matched) and how many are new."""
+    key = C.title_key(F.col("paper_name"), "miccai")
+    known = before.select("conf", key.alias("t")).distinct().withColumn("known", F.lit(True))
+    rows = official.select("conf", key.alias("t")).filter("t <> ''").join(known, ["conf", "t"], "left")
+    return rows.groupBy("conf").agg(F.count("known").alias("matched"), F.count_if(F.col("known").isNull()).alias("new"))
+
+
 def catalog_merge(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Catalog rows (name, url, pos) with unseen urls added; `place` orders an added row after its name, else by year
     inside its series, else at the end."""

@@ -41,16 +41,24 @@ def repair_urls(papers: DataFrame, accepted: DataFrame) -> tuple[DataFrame, Data
     changed = j.withColumn("moved", F.col("new_url").isNotNull()).withColumn("paper_abstract", F.when(fill, F.col("found")).otherwise(F.col("paper_abstract"))).withColumn("paper_url", url)
     target = moved.select("conf", F.col("new_url").alias("paper_url")).distinct()
     same = changed.join(target, ["conf", "paper_url"], "left_semi")
-    order = F.col("seq") + F.when(F.col("moved"), F.lit(1 << 50)).otherwise(0)
-    one = same.groupBy("conf", "paper_url").agg(*(c for c in merged(order) if "AS paper_url" not in str(c)))
-    out = one.select(*COLUMNS[:-1], (F.col("seq") % F.lit(1 << 50)).alias("seq")).unionByName(changed.join(target, ["conf", "paper_url"], "left_anti").select(*COLUMNS))
+    same = same.withColumn("late", F.col("moved").cast("int"))  # rows that were there come first
+    one = same.groupBy("conf", "paper_url").agg(*(c for c in merged("late", "seq") if "AS paper_url" not in str(c)))
+    out = one.select(*COLUMNS).unionByName(changed.join(target, ["conf", "paper_url"], "left_anti").select(*COLUMNS))
     return out, log
 
 
-def repair_report(log: DataFrame, top: int = 10) -> DataFrame:
-    """(kind, key, n) by action, source, and the `top` hosts before and after."""
+def repair_report(log: DataFrame, top: int = 10, unchanged: DataFrame | None = None) -> DataFrame:
+    """(kind, key, n) by action, source, and the `top` hosts before and after; of rows left unchanged(source,
+    reason) also by source and action, and by reason."""
     kinds = [("action", F.col("action")), ("source", F.coalesce("source", F.lit("none"))), ("host_before", C.reported_host(F.col("old_url"))), ("host_after", C.reported_host(F.col("new_url")))]
     n = log.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in kinds))).alias("g")).groupBy("g.kind", "g.key").agg(F.count("*").alias("n"))
+    if unchanged is not None:
+        left = F.array(
+            F.struct(F.lit("action").alias("kind"), F.lit("unchanged").alias("key")),
+            F.struct(F.lit("unchanged_source").alias("kind"), F.coalesce("source", F.lit("none")).alias("key")),
+            F.struct(F.lit("reason").alias("kind"), F.coalesce("reason", F.lit("(unspecified)")).alias("key")),
+        )
+        n = n.unionByName(unchanged.select(F.explode(left).alias("g")).groupBy("g.kind", "g.key").agg(F.count("*").alias("n")))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
     return n.withColumn("place", place).filter(~F.col("kind").startswith("host") | (F.col("place") <= top)).drop("place")
 

@@ -33,17 +33,19 @@ def relevance(query: str, field: str = "title") -> Column:
 
 
 def order_keys(query: str = "", sort: str = "year", descending: bool = True) -> list[Column]:
-    """Relevance, the chosen key (ASCII case ignored), id."""
+    """Relevance, the chosen key (ASCII case ignored), BM25 (where a word is long enough for the index), id."""
     key = F.col("year") if sort == "year" else F.lower(F.col(sort))
     first = [F.desc("score")] if C.tokens(query) else []
-    return [*first, key.desc() if descending else key.asc(), F.asc("id")]
+    then = [F.desc("bm25")] if eligible(query) else []
+    return [*first, key.desc() if descending else key.asc(), *then, F.asc("id")]
 
 
 def search(
     papers: DataFrame, query: str = "", field: str = "title", sort: str = "year", descending: bool = True, page: int = 1, size: int = 20, **filters
 ) -> tuple[DataFrame, DataFrame]:
     """(the page with rank and score, one row with the total of matches)."""
-    found = papers.filter(token_match(query, field) & P.search_filter(**filters)).withColumn("score", relevance(query, field))
+    ranked = with_bm25(papers, query) if eligible(query) else papers.withColumn("bm25", F.lit(0.0))
+    found = ranked.filter(token_match(query, field) & P.search_filter(**filters)).withColumn("score", relevance(query, field))
     keys = order_keys(query, sort, descending)
     rows = found.orderBy(*keys).offset((page - 1) * size).limit(size)
     # numbered after the limit, so the single task holds one page
@@ -64,48 +66,71 @@ def union_legs(legs: list[DataFrame], cap: int = 5000) -> tuple[DataFrame, DataF
     return both.orderBy(F.desc("year"), "id").limit(cap), both.agg(F.count("*").alias("n"), (F.count("*") > cap).alias("truncated"))
 
 
-def build_gram_index(papers: DataFrame) -> DataFrame:
-    """Distinct (gram, id) of trigrams of the normalised title, abstract and authors; write it by range of gram."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    fields = F.array(*(C.normalise_text(F.col(c)) for c in WEIGHTS))
-    each = papers.select("id", F.explode(fields).alias("f")).select("id", F.explode(F.array_distinct(grams(F.col("f")))).alias("gram"))
-    return each.filter(F.length("gram") == 3).distinct()
+def eligible(query: str) -> list[str]:
+    """Words of a query that trigrams can find."""
+    return [w for w in dict.fromkeys(C.tokens(query)) if len(w) >= 3 and query.strip() != "#"]
 
 
-def gram_candidates(postings: DataFrame, query: str) -> DataFrame | None:
-    """Ids holding all grams of every token of 3 characters or more; None if no token narrows."""
-    words = [w for w in dict.fromkeys(C.tokens(query)) if len(w) >= 3]
-    grams = sorted({w[i : i + 3] for w in words for i in range(len(w) - 2)})
-    if not grams:
-        return None
-    some = postings.filter(F.col("gram").isin(grams))  # reaches the range-clustered files
-    return some.groupBy("id").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams)).select("id")
+def grams_of(word: str) -> list[str]:
+    return sorted({word[i : i + 3] for i in range(len(word) - 2)})
 
 
-def narrowed_search(papers: DataFrame, postings: DataFrame, query: str, field: str = "title") -> DataFrame:
+def build_gram_index(papers: DataFrame) -> DataFrame:
+    """Distinct (gram, field, id) of trigrams of the normalised title, abstract and authors; write it by range of gram."""
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), C.normalise_text(F.col(c)).alias("text")) for c in WEIGHTS))
+    each = papers.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.explode(F.array_distinct(grams(F.col("f.text")))).alias("gram"))
+    return each.filter(F.length("gram") == 3).select("gram", "field", "id")
+
+
+def gram_candidates(postings: DataFrame, query: str = "", field: str = "title", author: str = "") -> DataFrame | None:
+    """Ids in which one and the same enabled field holds all grams of every word of 3 characters or more. The author
+    filter holds if any of its words does, so it narrows only if all of them are long enough. None if nothing narrows."""
+    ids = None
+    if words := eligible(query):
+        grams = sorted({g for w in words for g in grams_of(w)})
+        some = postings.filter(F.col("gram").isin(grams) & F.col("field").isin(FIELDS[field]))  # reaches the range-clustered files
+        found = some.groupBy("id", "field").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
+        ids = found.select("id").distinct()
+    names = list(dict.fromkeys(C.tokens(author)))
+    if names and all(len(w) >= 3 for w in names):
+        some = postings.filter(F.col("gram").isin(sorted({g for w in names for g in grams_of(w)})) & (F.col("field") == "authors_text"))
+        whole = P.any_true(F.count_distinct(F.when(F.col("gram").isin(grams_of(w)), F.col("gram"))) == len(grams_of(w)) for w in names)
+        found = some.groupBy("id").agg(whole.alias("any")).filter("any").select("id")
+        ids = found if ids is None else ids.join(found, "id", "left_semi")
+    return ids
+
+
+def narrowed_search(papers: DataFrame, postings: DataFrame, query: str, field: str = "title", author: str = "") -> DataFrame:
     """S9 then S2: candidates by grams, verified by the exact match."""
-    ids = gram_candidates(postings, query)
+    ids = gram_candidates(postings, query, field, author)
     rows = papers if ids is None else papers.join(ids, "id", "left_semi")
-    return rows.filter(token_match(query, field))
+    return rows.filter(token_match(query, field) & P.search_filter(author=author))
 
 
-def bm25(papers: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, bm25) over words of title, authors and abstract, weighted 3, 1 and 2; document frequencies exact."""
-    weights = {"title": 3.0, "authors_text": 1.0, "abstract": 2.0}
+def with_bm25(papers: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """papers and their bm25 (S10), to six decimals: over words of title, authors and abstract, weighted 3, 2 and 1, with
+    exact document frequencies of the whole table."""
     words = list(dict.fromkeys(C.tokens(query)))
     split = lambda c: F.filter(F.split(F.lower(C.text(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = papers.select("id", *(split(c).alias(c) for c in weights))
-    tf = lambda w: reduce(add, (F.size(F.filter(c, lambda x: x == w)) * v for c, v in weights.items()))
-    size = reduce(add, (F.size(c) for c in weights))
-    rows = rows.select("id", size.alias("size"), *(tf(w).alias(f"t{i}") for i, w in enumerate(words)))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(words))))
+    size = reduce(add, (F.size(split(c)) for c in WEIGHTS))
+    times = lambda w: reduce(add, (F.size(F.filter(split(c), lambda x: x == w)) * float(v) for c, v in WEIGHTS.items()))
+    names = [f"_t{i}" for i in range(len(words))]
+    rows = papers.withColumns({"_size": size, **{n: times(w) for n, w in zip(names, words, strict=True)}})
+    stats = rows.agg(F.count("*").alias("_n"), F.avg("_size").alias("_mean"), *(F.count_if(F.col(n) > 0).alias(f"{n}_d") for n in names))
     both = rows.crossJoin(F.broadcast(stats))  # one row of totals
 
-    def part(i: int) -> Column:
-        idf = F.greatest(F.log((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)), F.lit(1e-6))
-        return idf * F.col(f"t{i}") * (k1 + 1) / (F.col(f"t{i}") + k1 * (1 - b + b * F.col("size") / F.greatest("mean", F.lit(1.0))))
+    def part(name: str) -> Column:
+        t, d = F.col(name), F.col(f"{name}_d")
+        idf = F.greatest(F.log((F.col("_n") - d + 0.5) / (d + 0.5)), F.lit(1e-6))
+        return idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("_size") / F.greatest("_mean", F.lit(1.0))))
+
+    return both.select(*papers.columns, F.round(reduce(add, map(part, names), F.lit(0.0)), 6).alias("bm25"))
+
 
-    return both.select("id", reduce(add, map(part, range(len(words))), F.lit(0.0)).alias("bm25")).filter("bm25 > 0")
+def bm25(papers: DataFrame, query: str) -> DataFrame:
+    """(id, bm25) of the papers that hold a word of the query."""
+    return with_bm25(papers.select("id", *WEIGHTS), query).select("id", "bm25").filter("bm25 > 0")
 
 
 def get_by_ids(papers: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:

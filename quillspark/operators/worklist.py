@@ -144,15 +144,29 @@ def collect_due(catalog: DataFrame, progress: DataFrame, cached: DataFrame, now:
     return j.filter(unseen | F.coalesce(stale, F.lit(False))).select("source", "name", "url")
 
 
-def sample_strata(df: DataFrame, strata: dict[str, Column], n: int, seed: int) -> DataFrame:
-    """A stratified sample of about n rows: each row falls to the first stratum it fits; a stratum's rows, by year
-    and url, are cut into equal slices and the row with the least seeded hash taken from each."""
-    first = None
-    for name, fits in strata.items():
-        first = F.when(fits, name) if first is None else first.when(fits, name)
-    rows = df.withColumn("stratum", first).filter("stratum is not null")
-    by = Window.partitionBy("stratum")
-    quota = max(1, n // len(strata))
-    rows = rows.withColumn("slice", F.floor((F.row_number().over(by.orderBy("year", "url", "id")) - 1) * quota / F.greatest(F.count("*").over(by), F.lit(quota))))
+def sample_strata(df: DataFrame, strata: dict[str, Column | tuple[Column, int]], n: int, seed: int) -> DataFrame:
+    """A stratified sample. strata: name -> (condition, base quota), or a condition of quota 1; a row falls to the first stratum it fits, and
+    quotas are scaled from their sum to n, each at least 1. A stratum's rows, by year and url, are cut into as many slices
+    of equal size, and the row with the least seeded hash is taken from each; a stratum within its quota is taken whole.
+
+    Places are numbered inside (stratum, year, host) and moved by what comes before it, so no task holds a stratum.
+    """
+    strata = {k: v if isinstance(v, tuple) else (v, 1) for k, v in strata.items()}
+    first, quota = F.lit(None).cast("string"), F.lit(1)
+    total = sum(q for _, q in strata.values())
+    for name, (fits, base) in reversed(strata.items()):
+        first = F.when(fits, name).otherwise(first)
+        quota = F.when(F.col("stratum") == name, max(1, round(n * base / total))).otherwise(quota)
+    rows = df.withColumn("stratum", first).filter("stratum is not null").withColumn("at", F.regexp_extract(C.text("url"), "^(?:[^/]*//)?[^/]*/?", 0))
+    part = ["stratum", "year", "at"]
+    counts = rows.groupBy(*part).agg(F.count("*").alias("own"))
+    order = Window.partitionBy("stratum").orderBy("year", "at")
+    counts = counts.select(*part, (F.sum("own").over(order) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy("stratum")).alias("all"))
+    safe = lambda d, name: d.withColumn(name, F.coalesce("year", F.lit(-1)))  # noqa: E731  null years match
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("url", "id"))
+    rows = safe(rows.withColumn("own", place), "y").join(safe(counts, "y").drop("year"), ["stratum", "y", "at"])
+    rows = rows.withColumn("place", F.col("before") + F.col("own")).withColumn("quota", quota)
+    slice_ = F.when(F.col("all") <= F.col("quota"), F.col("place") - 1).otherwise(F.ceil(F.col("place") * F.col("quota") / F.col("all")) - 1)
+    rows = rows.withColumn("slice", slice_)
     pick = F.min_by(F.struct("id", "year", "url"), F.md5(F.concat_ws("|", F.lit(str(seed)), "url", "id")))
     return rows.groupBy("stratum", "slice").agg(pick.alias("r")).select("stratum", "slice", "r.*")

@@ -108,7 +108,7 @@ def c16(spark, sf):
 
 
 _TIERS = " union all ".join(f"select '{v}' as v, {t} as t" for t, vs in C.TIERS.items() for v in vs)
-_FIELDS = " union all ".join(f"select '{v}' as v, '{f}' as f" for f, vs in stats.FIELD_VENUES.items() for v in vs.split())
+_FIELDS = " union all ".join(f"select '{v}' as v, '{f}' as f" for f, vs in stats.FIELD_VENUES.items() for v in vs)
 
 
 @query("c17_venue_tier", f"""select c.conf, coalesce(max_by(t, length(v)), 4) as tier from (select distinct conf from raw) c
@@ -117,7 +117,7 @@ def c17(spark, sf):
     return raw(spark, sf).select("conf").distinct().withColumn("tier", stats.venue_tier(F.col("conf")))
 
 
-@query("c18_field_of", f"select seq, coalesce(f, 'other') as field from raw left join ({_FIELDS}) d on regexp_replace(conf, '[0-9]{{4}}$', '') = d.v", over="raw")
+@query("c18_field_of", f"select seq, coalesce(f, '{stats.OTHER}') as field from raw left join ({_FIELDS}) d on regexp_replace(conf, '[0-9]{{4}}$', '') = d.v", over="raw")
 def c18(spark, sf):
     return stats.field_of(raw(spark, sf).select("seq", "conf")).select("seq", "field")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import adapters, merge
+from ..sources.records import remove
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +30,19 @@ def query(name: str, sql: str | None = None, over: str = "papers") -> Callable:
     return register
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir), removed when the driver
+    ends. Only a session whose tasks run in the driver's own machine gets a folder where none is named."""
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        home = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.papers_raw(spark, sf_dir)
 

@@ -7,7 +7,7 @@ from ..operators import adapters, ledger, linkage, repair
 from ..sources import pages as PG
 from ..sources import records
 from .column_queries import HOST, NORM_URL, key
-from .common import ABSTRACTS_SQL, abstracts, papers, query, raw, state
+from .common import ABSTRACTS_SQL, abstracts, papers, query, raw, scratch, state
 
 TEXT = "trim(regexp_replace(regexp_replace(abstract, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))"
 EXT = "," + ABSTRACTS_SQL
@@ -227,6 +227,17 @@ def r3(spark, sf):
     return repair.repair_report(repair.repair_urls(raw(spark, sf), accepted(spark, sf))[1])
 
 
+@query("r3_repair_reasons", f"""{_REPAIR}, l as (select case when row_number() over (partition by conf, new_url order by seq) = 1 then 'rewrite' else 'merge' end as action, {HOST.format(u='new_url')} as h from n where new_url is not null),
+  u as (select case when seq % 2 = 0 then 'openalex' else 'crossref' end as source, case when seq % 3 = 0 then 'rate_limited' else 'no_candidate' end as reason from raw where seq % 5 = 0)
+  select 'action' as kind, action as key, count(*) as n from l group by action union all select 'source', 'crossref', count(*) from l union all select 'host_before', 'web.archive.org', count(*) from l union all select 'host_after', h, count(*) from l group by h
+  union all select 'action', 'unchanged', count(*) from u union all select 'unchanged_source', source, count(*) from u group by source union all select 'reason', reason, count(*) from u group by reason""", over="raw")
+def r3_reasons(spark, sf):
+    r = raw(spark, sf)
+    pick = lambda k, a, b: F.when(F.col("seq") % k == 0, a).otherwise(b)
+    left = r.filter("seq % 5 = 0").select(pick(2, "openalex", "crossref").alias("source"), pick(3, "rate_limited", "no_candidate").alias("reason"))
+    return repair.repair_report(repair.repair_urls(r, accepted(spark, sf))[1], unchanged=left)
+
+
 def audited(spark, sf):
     r = raw(spark, sf)
     now, log = repair.repair_urls(r, accepted(spark, sf))
@@ -318,6 +329,34 @@ def i8(spark, sf):
     return raw(spark, sf).select("seq", records.slice_abstract_section(text).alias("abstract"))
 
 
+@query("i3_preflight", "select count(*) as rows, count(*) filter (where seq % 997 = 5) as errors from raw", over="raw")
+def i3(spark, sf):
+    """The counts that a publication is checked by, over the rows as JSON lines of which a few are cut short."""
+    lines = json_lines(spark, sf).select(F.when(F.col("seq") % 997 == 5, F.left("value", F.lit(30))).otherwise(F.to_json(F.struct(F.lit("ACL2020").alias("conf")))).alias("value"), "seq")
+    counts, _ = records.preflight(records.parse_papers(lines), most_errors=1_000_000)
+    return spark.createDataFrame([(counts["rows"], counts["errors"])], "rows long, errors long")
+
+
+@query("i9_write_papers", "select id, title, url, year, seq from papers")
+def i9(spark, sf):
+    """Written as gzip JSON lines, checked, moved into place over an earlier table, and read again."""
+    at = scratch(spark, "papers")
+    p = papers(spark, sf).select("id", "title", "url", "year", "seq")
+    p.limit(1).write.json(at)
+    records.write_papers(p, at, "json")
+    return spark.read.schema(p.schema).json(at)
+
+
+@query("l3_compact", "select url, status, seq from state", over="ledger")
+def l3_compact(spark, sf):
+    """The ledger compacted onto itself: its path holds every event twice before and the latest state after."""
+    at = scratch(spark, "ledger")
+    e = adapters.ledger_events(spark, sf)
+    e.unionByName(e).unionByName(e).write.parquet(at)
+    ledger.ledger_compact(spark.read.parquet(at), at, 1.0)
+    return spark.read.schema(e.schema).parquet(at).select("url", "status", "seq")
+
+
 @query("i10_csv_lines", """select id, '"' || replace(title, '"', '""') || '","' || url || '","' || replace(array_to_string(authors, ','), '"', '""') || '","' || replace(abstract, '"', '""') || '","' || code || '","' || conf || '","' || year || '"' as line from papers""")
 def i10(spark, sf):
     return papers(spark, sf).select("id", records.csv_line().alias("line"))
@@ -334,7 +373,7 @@ def i12(spark, sf):
     line = F.to_json(F.struct("url", "status", "chars", "ts"))
     old = F.concat(F.lit("{\""), F.col("url"), F.lit("\": "), F.to_json(F.struct("status", "chars", "ts")), F.lit("}"))
     value = F.when(F.col("seq") % 10 == 3, '{"_meta": {"schema": 4}}').when(F.col("seq") % 10 == 4, old).otherwise(line)
-    return records.read_ledger(e.select(value.alias("value"), "seq")).select("url", "status", F.floor(F.col("seq") / 1048576).alias("line"))
+    return records.read_ledger(e.select(value.alias("value"), "seq")).select("url", "status", F.col("seq.seq").alias("line"))
 
 
 @query("i13_extract_listing")
@@ -347,12 +386,9 @@ def i13(spark, sf):
 @query("l8_ledger_stream", "select url, status, seq from state", over="ledger")
 def l8(spark, sf):
     """The ledger written as two event files, then folded by the stream."""
-    import uuid
-
     from ..streaming import ledger_stream as L
 
-    home = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillspark-stream"
-    at = f"{home.rstrip('/')}/ledger-stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "ledger-stream")
     e = adapters.ledger_events(spark, sf)
     e.repartition(2, (F.col("seq") % 2)).write.parquet(f"{at}/events")
     query = L.ledger_stream(spark, f"{at}/events", f"{at}/state", f"{at}/checkpoint", e.schema)

@@ -73,6 +73,27 @@ def d5(spark, sf):
     return merge.sync_report(r.filter("seq % 10 <> 0"), r.filter("seq % 9 <> 0"))
 
 
+@query("d3_merged_rows", f"""select conf, paper_name, paper_url, paper_abstract, n_authors, paper_code, seq from (
+  select conf, paper_url as u, arg_min(paper_name, o) as paper_name, arg_min(paper_url, o) as paper_url,
+    case when count(*) = 1 then min(paper_abstract) else arg_max(coalesce(paper_abstract, ''), length(coalesce(paper_abstract, '')) * 1000000000 - o) end as paper_abstract,
+    len(arg_max(paper_authors, len(paper_authors) * 1000000000 - o)) as n_authors,
+    case when count(*) = 1 then min(paper_code) else coalesce(arg_min(paper_code, o) filter (where {REAL}), '#') end as paper_code, min(o) % 100000000 as seq
+  from (select *, seq + case when seq % 4 = 0 then 0 else 100000000 end as o from raw where conf in (select conf from raw where seq % 4 = 0)) where trim(paper_url) <> '' group by 1, 2)
+  union all select conf, paper_name, paper_url, paper_abstract, len(paper_authors), paper_code, seq from raw
+  where (seq % 4 <> 0 and conf not in (select conf from raw where seq % 4 = 0)) or (trim(paper_url) = '' and conf in (select conf from raw where seq % 4 = 0))""", over="raw")
+def d3_rows(spark, sf):
+    r = raw(spark, sf)
+    out = merge.merge_incremental(r.filter("seq % 4 = 0"), r.filter("seq % 4 <> 0"))
+    return out.select("conf", "paper_name", "paper_url", "paper_abstract", F.size("paper_authors").alias("n_authors"), "paper_code", "seq")
+
+
+@query("d5_official_titles", f"""select r.conf, count(*) filter (where k.t is not null) as matched, count(*) filter (where k.t is null) as new from (select conf, paper_name, {key('paper_name')} as t from raw where seq % 3 = 0) r
+  left join (select distinct conf, {key('paper_name')} as t from raw where seq % 5 <> 0) k on k.conf = r.conf and k.t = r.t where r.t <> '' group by r.conf""", over="raw")
+def d5_titles(spark, sf):
+    r = raw(spark, sf)
+    return merge.official_titles(r.filter("seq % 5 <> 0"), r.filter("seq % 3 = 0"))
+
+
 @query("d6_catalog_merge", "select conf as name, count(*) as n from (select distinct conf from raw) group by conf", over="raw")
 def d6(spark, sf):
     c = catalog(spark, sf)
@@ -248,9 +269,9 @@ def w9(spark, sf):
     return worklist.collect_due(c, seen, c.limit(0).select("name"), "2024-06-01", []).select("name")
 
 
-@query("w10_sample_strata", "select (case when year < 2010 then 'old' else 'new' end) as stratum, least(count(*), 20) as n from papers group by 1")
+@query("w10_sample_strata", "select (case when year < 2010 then 'old' else 'new' end) as stratum, least(count(*), case when stratum = 'old' then 36 else 12 end) as n from papers group by 1")
 def w10(spark, sf):
-    out = worklist.sample_strata(papers(spark, sf), {"old": F.col("year") < 2010, "new": F.lit(True)}, 40, 42)
+    out = worklist.sample_strata(papers(spark, sf), {"old": (F.col("year") < 2010, 18), "new": (F.lit(True), 6)}, 48, 42)
     return out.groupBy("stratum").agg(F.count("*").alias("n"))
 
 

@@ -15,6 +15,7 @@ MATCH = f"(({HAS('title', 'the')} and {HAS('title', 'on')}) or ({HAS('abstract',
 SCORE = " + ".join(f"case when {HAS(c, w)} then {k} else 0 end" for c, k in (("title", 3), ("abstract", 1)) for w in ("the", "on"))
 REAL = "trim(code) not in ('', '#')"
 U = HOST.format(u="url")
+FIELD = f"(select p.*, coalesce(f, '{A.OTHER}') as field from papers p left join ({_FIELDS}) d on p.conf = d.v)"
 
 
 @query("i4_materialise_papers", "select id, conf, year, title, url, authors_text, code, seq, len(authors) as n_authors from papers")
@@ -22,8 +23,20 @@ def i4(spark, sf):
     return papers(spark, sf).select("id", "conf", "year", "title", "url", "authors_text", "code", "seq", F.size("authors").alias("n_authors"))
 
 
-@query("s1_search", f"""select row_number() over (order by score desc, year desc, id) as rank, id, title, conf, year, score
-  from (select *, {SCORE} as score from papers where {MATCH} and year >= 2000) order by score desc, year desc, id limit 20 offset 20""")
+_W = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+_TF = lambda w: f"len(list_filter(t, lambda x: x = '{w}')) * 3.0 + len(list_filter(a, lambda x: x = '{w}')) * 2.0 + len(list_filter(b, lambda x: x = '{w}'))"
+
+
+def _bm25(one: str, two: str) -> str:
+    return f""", w as (select id, {_W('title')} as t, {_W('authors_text')} as a, {_W('abstract')} as b from papers),
+  f as (select id, {_TF(one)} as t0, {_TF(two)} as t1, len(t) + len(a) + len(b) as size from w),
+  s as (select count(*) as n, avg(size) as mean, count(*) filter (where t0 > 0) as d0, count(*) filter (where t1 > 0) as d1 from f),
+  bm as (select id, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * size / mean))
+    + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) as bm25 from f, s)"""
+
+
+@query("s1_search", f"""{_bm25('the', 'on')} select row_number() over (order by score desc, year desc, bm25 desc, id) as rank, id, title, conf, year, score
+  from (select p.*, bm25, {SCORE} as score from papers p join bm using (id) where {MATCH} and year >= 2000) order by score desc, year desc, bm25 desc, id limit 20 offset 20""")
 def s1(spark, sf):
     page, _ = S.search(papers(spark, sf), "the on", since=2000, page=2, size=20)
     return page.select("rank", "id", "title", "conf", "year", "score")
@@ -62,10 +75,10 @@ def s7(spark, sf):
     return S.union_legs([p.filter(S.token_match("ing", "title") & P.term("title", "ing")), p.filter(P.term("year", "2010"))], 100)[0].select("id", "year")
 
 
-@query("s8_gram_index", f"""select gram, count(*) as n from (select distinct id, substr(f, i, 3) as gram from (
-  select id, unnest([{N('title')}, {N('abstract')}, {N('authors_text')}]) as f from papers) t, range(1, 200000) r(i) where i <= length(f) - 2) group by gram""")
+@query("s8_gram_index", f"""select gram, field, count(*) as n from (select distinct id, field, substr(f, i, 3) as gram from (
+  select id, unnest(['title', 'abstract', 'authors_text']) as field, unnest([{N('title')}, {N('abstract')}, {N('authors_text')}]) as f from papers) t, range(1, 200000) r(i) where i <= length(f) - 2) group by gram, field""")
 def s8(spark, sf):
-    return S.build_gram_index(papers(spark, sf)).groupBy("gram").agg(F.count("*").alias("n"))
+    return S.build_gram_index(papers(spark, sf)).groupBy("gram", "field").agg(F.count("*").alias("n"))
 
 
 @query("s9_narrowed_search", f"select id from papers where {HAS('title', 'tion')} or {HAS('abstract', 'tion')}")
@@ -74,17 +87,15 @@ def s9(spark, sf):
     return S.narrowed_search(p, S.build_gram_index(p), "tion").select("id")
 
 
-_W = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-_TF = lambda w: f"len(list_filter(t, lambda x: x = '{w}')) * 3.0 + len(list_filter(a, lambda x: x = '{w}')) + len(list_filter(b, lambda x: x = '{w}')) * 2.0"
+@query("s9_narrowed_by_author", f"select id from papers where (({HAS('title', 'the')} and {HAS('title', 'on')}) or ({HAS('abstract', 'the')} and {HAS('abstract', 'on')})) and ({HAS('authors_text', 'the')} or {HAS('authors_text', 'and')})")
+def s9_author(spark, sf):
+    p = papers(spark, sf)
+    return S.narrowed_search(p, S.build_gram_index(p), "the on", author="the and").select("id")
 
 
-@query("s10_bm25", f""", w as (select id, {_W('title')} as t, {_W('authors_text')} as a, {_W('abstract')} as b from papers),
-  f as (select id, {_TF('the')} as t0, {_TF('and')} as t1, len(t) + len(a) + len(b) as size from w),
-  s as (select count(*) as n, avg(size) as mean, count(*) filter (where t0 > 0) as d0, count(*) filter (where t1 > 0) as d1 from f)
-  select id, round(x, 6) as bm25 from (select id, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * size / mean))
-    + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * size / mean)) as x from f, s) where x > 0""")
+@query("s10_bm25", f"{_bm25('the', 'and')} select id, bm25 from bm where bm25 > 0")
 def s10(spark, sf):
-    return S.bm25(papers(spark, sf), "the and").select("id", F.round("bm25", 6).alias("bm25"))
+    return S.bm25(papers(spark, sf), "the and")
 
 
 @query("s11_get_by_ids", "select id, title from papers where seq < 40")
@@ -138,6 +149,11 @@ def p7(spark, sf):
     return p.filter(P.search_filter(author="the de")).select("id")
 
 
+@query("p7_refine_fields", f"select id from {FIELD} where field in ('Speech', 'Artificial Intelligence') and trim(abstract) <> ''")
+def p7_fields(spark, sf):
+    return P.refine(papers(spark, sf), with_abstract=True, fields=["Speech", "Artificial Intelligence"]).select("id")
+
+
 @query("p9_saved_queries", """select 1 as query_id, count(*) as hits from papers where contains(lower(title), 'ing') and not contains(lower(abstract), 'des')
   union all select 2, count(*) from papers where contains(lower(title), 'eau') or (year = 2010 and contains(lower(authors_text), 'th')) union all select 3, 0""")
 def p9(spark, sf):
@@ -160,9 +176,6 @@ def a3(spark, sf):
     return A.result_tree(papers(spark, sf).filter("year > 2005"))
 
 
-FIELD = f"(select p.*, coalesce(f, 'other') as field from papers p left join ({_FIELDS}) d on p.conf = d.v)"
-
-
 @query("a4_field_facet", f"select field, count(*) as n from {FIELD} group by field")
 def a4(spark, sf):
     return A.field_facet(papers(spark, sf))
@@ -185,13 +198,13 @@ def a7(spark, sf):
     return A.corpus_stats(papers(spark, sf))
 
 
-@query("a8_year_field_matrix", "select y as year, " + ", ".join(f"(select count(*) from {FIELD} where year = y and field = '{f}') as {f}" for f in [*A.FIELD_VENUES, "other"]) + " from range(2000, (select max(year) + 1 from papers)) r(y)")
+@query("a8_year_field_matrix", "select y as year, " + ", ".join(f"(select count(*) from {FIELD} where year = y and field = '{f}') as \"{f}\"" for f in [*A.FIELD_VENUES, A.OTHER]) + " from range(2000, (select max(year) + 1 from papers)) r(y)")
 def a8(spark, sf):
     return A.year_field_matrix(papers(spark, sf))
 
 
-@query("a9_series_summary", f"""select coalesce(f, 'other') as field, s as series, min(y) as first, max(y) as last, count(distinct y) as editions
-  from (select regexp_extract(conf, '^([A-Za-z]+)', 1) as s, cast(regexp_extract(conf, '([0-9]{{4}})', 1) as int) as y from raw) left join ({_FIELDS}) d on s = d.v group by 1, 2""", over="raw")
+@query("a9_series_summary", f"""select *, count(*) over (partition by field) as series_in_field, field <> '{A.OTHER}' as assigned from (select coalesce(f, '{A.OTHER}') as field, s as series, min(y) as first, max(y) as last, count(distinct y) as editions
+  from (select regexp_extract(conf, '^([A-Za-z]+)', 1) as s, cast(regexp_extract(conf, '([0-9]{{4}})', 1) as int) as y from raw) left join ({_FIELDS}) d on s = d.v group by 1, 2)""", over="raw")
 def a9(spark, sf):
     return A.series_summary(raw(spark, sf).select(F.col("conf").alias("name")).distinct())
 
@@ -209,6 +222,16 @@ def a11(spark, sf):
     return A.missing_profile(papers(spark, sf))
 
 
+@query("a11_missing_report", f""", m as (select *, {U} as h from papers where trim(abstract) = ''), g as (
+  select 'host' as kind, h as key, count(*) as n from m group by h union all select 'doi', case when h = 'doi.org' then 'doi' else 'other' end, count(*) from m group by 2
+  union all select 'year', year::varchar, count(*) from m group by year union all select 'conf', conf, count(*) from m group by conf)
+  select kind, key, n, n / sum(n) over (partition by kind) as share from g qualify kind in ('host', 'doi') or (kind = 'year' and row_number() over (partition by kind order by key) <= 10)
+    or (kind = 'conf' and row_number() over (partition by kind order by n desc, key) <= 10)
+  union all select 'all', 'missing', count(*) filter (where trim(abstract) = ''), count(*) filter (where trim(abstract) = '') / count(*) from papers""")
+def a11_report(spark, sf):
+    return A.missing_report(papers(spark, sf))
+
+
 @query("a12_host_share", f"select host, n, 100 * n / sum(n) over () as percent, rank() over (order by n desc) as rank from (select {HOST.format(u='url')} as host, count(*) as n from pages group by 1)", over="")
 def a12(spark, sf):
     from ..operators.adapters import table

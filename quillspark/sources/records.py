@@ -91,6 +91,13 @@ def slice_abstract_section(text: Column, most: int = 2000) -> Column:
     return F.when((body != "") & ~bad, body)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path, if the session still runs."""
+    if spark.sparkContext._jsc is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def replace_verified(df: DataFrame, path: str, write=lambda w, p: w.parquet(p), read=lambda s, p: s.read.parquet(p)) -> int:
     """Write beside path, read back and compare counts, then swap; on a difference the old data stay."""
     spark = df.sparkSession
@@ -146,7 +153,7 @@ LEDGER = "url string, status string, source string, chars int, attempts int, rea
 
 def read_ledger(lines: DataFrame) -> DataFrame:
     """Events of lines(value, seq): one event a line (v3, v4), a list of urls (v1), or a map of them (v2).
-    Malformed lines, _meta lines and lines without a url are skipped."""
+    Malformed lines, _meta lines and lines without a url are skipped. seq is (seq of the line, pos within it)."""
     body = lines.filter(F.col("value").isNotNull())
     has = lambda p: F.get_json_object("value", p)
     kind = F.expr("schema_of_variant(try_parse_json(value))")
@@ -157,4 +164,4 @@ def read_ledger(lines: DataFrame) -> DataFrame:
     urls = parsed.filter(F.col("kind").startswith("OBJECT") & has("$.url").isNull() & has("$._meta").isNull())
     urls = urls.select("seq", F.posexplode(F.map_entries(F.from_json("value", f"map<string, struct<{LEDGER.replace(' ', ':').replace(',:', ',').removeprefix('url:string,')}>>"))).alias("pos", "m"))
     urls = urls.filter("m.value is not null").select("seq", "pos", F.struct(F.col("m.key").alias("url"), "m.value.*").alias("e"))
-    return event.unionByName(old).unionByName(urls).filter("e.url is not null and e.url <> ''").select("e.*", (F.col("seq") * (1 << 20) + F.col("pos")).alias("seq"))
+    return event.unionByName(old).unionByName(urls).filter("e.url is not null and e.url <> ''").select("e.*", F.struct("seq", "pos").alias("seq"))

@@ -142,10 +142,47 @@ def test_merge(raw):
 
 
 def test_official_titles_need_surnames(spark):
-    a = spark.createDataFrame([("IJCAI2020", "On β", ["Ann Müller"], "https://e.org/1", "", "#", 1), ("IJCAI2020", "Twin", ["X Y"], "https://e.org/2", "", "#", 2)], RAW)
-    b = spark.createDataFrame([("IJCAI2020", "ON Β", ["A. Mueller"], "https://doi.org/10.1/1", "long", "#", 1), ("IJCAI2020", "Twin", ["P Q"], "https://e.org/3", "", "#", 2)], RAW)
+    a = spark.createDataFrame([("IJCAI2020", "On β", ["Ann Müller"], "https://www.ijcai.org/proceedings/2020/1", "", "#", 1), ("IJCAI2020", "Twin", ["X Y"], "https://www.ijcai.org/proceedings/2020/2", "", "#", 2)], RAW)
+    b = spark.createDataFrame([("IJCAI2020", "ON Β", ["A. Mueller"], "https://doi.org/10.1/1", "long", "#", 1), ("IJCAI2020", "Twin", ["P Q"], "https://www.ijcai.org/proceedings/2020/3", "", "#", 2)], RAW)
     out = merge.merge_official(a, b, "ijcai").collect()
-    assert sorted(r["paper_url"] for r in out) == ["https://doi.org/10.1/1", "https://e.org/2", "https://e.org/3"]
+    url = "https://www.ijcai.org/proceedings/2020/"
+    assert sorted(r["paper_url"].replace("https://ijcai.org", "https://www.ijcai.org") for r in out) == ["https://doi.org/10.1/1", url + "2", url + "3"]
+
+
+def test_official_titles_need_pages_of_papers(spark):
+    """Titles of one name stay apart where an address is no page of an IJCAI paper."""
+    a = spark.createDataFrame([("IJCAI2020", "On x", ["A B"], "https://e.org/1", "", "#", 1)], RAW)
+    b = spark.createDataFrame([("IJCAI2020", "On x", ["A B"], "https://doi.org/10.1/1", "long", "#", 1)], RAW)
+    assert merge.merge_official(a, b, "ijcai").count() == 2 and merge.merge_official(a, b, "cvf").count() == 1
+
+
+def test_seq_of_any_size_keeps_the_order(spark):
+    """seq may be as large as a long: sides don't mix and the number comes back."""
+    big = 2**62
+    a = spark.createDataFrame([("KDD2020", "New", ["A"], "https://e.org/1", "", "#", big + 5)], RAW)
+    b = spark.createDataFrame([("KDD2020", "Old", ["A", "B"], "https://e.org/1", "text", "#", 3)], RAW)
+    out = merge.merge_incremental(a, b).collect()
+    assert [(r["paper_name"], r["seq"], r["paper_abstract"]) for r in out] == [("New", big + 5, "text")]
+    lines = spark.createDataFrame([('{"url": "u", "status": "failed"}', 3 * 2**33), ('["u", "v"]', 2**62)], "value string, seq long")
+    got = {r["url"]: (r["status"], r["seq"]["seq"], r["seq"]["pos"]) for r in ledger.ledger_latest(records.read_ledger(lines)).collect()}
+    assert got == {"u": ("success", 2**62, 0), "v": ("success", 2**62, 1)}
+
+
+def test_near_takes_the_nearest_pair(spark):
+    d = spark.createDataFrame([(1, "a x x b"), (2, "a x x x b"), (3, "b a"), (4, "a a x a"), (5, "a"), (6, "b x x x x a x b")], "id int, abstract string")
+    ids = lambda p: {r["id"] for r in d.filter(p).collect()}
+    assert ids(P.near("abstract", "a", "b", 2)) == {1, 3, 6} and ids(P.near("abstract", "a", "a", 0)) == {4} and ids(P.near("abstract", "a", "b", 3)) == {1, 2, 3, 6}
+
+
+def test_strata_have_scaled_quotas(spark):
+    d = spark.createDataFrame([(str(i), 2000 + i % 3, f"https://h{i % 2}.org/{i:03d}") for i in range(100)], "id string, year int, url string")
+    out = worklist.sample_strata(d, {"even": (F.col("url").contains("h0"), 18), "rest": (F.lit(True), 6)}, 12, 42).collect()
+    assert [sum(r["stratum"] == s for r in out) for s in ("even", "rest")] == [9, 3]
+    rows = sorted(((r.year, r.url) for r in d.filter(F.col("url").contains("h0")).collect()))
+    for r in out:
+        if r["stratum"] == "even":
+            place = rows.index((r["year"], r["url"]))
+            assert int(r["slice"] * 50 / 9) <= place < int((r["slice"] + 1) * 50 / 9)
 
 
 def test_ledger(spark):
