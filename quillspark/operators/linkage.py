@@ -164,6 +164,21 @@ def fill_from_bibliography(papers: DataFrame, biblio: DataFrame, min_chars: int
     return j.withColumn("code", code).withColumn("abstract", F.when(fill, F.col("b")).otherwise(F.col("abstract"))).select(*papers.columns)
 
 
+def fill_from_id_table(papers: DataFrame, table: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """M12's second source, for what the bibliography left empty: table(acl_id, title, year, abstract) by the id at the
+    end of the address, if titles agree (0.85) and years, where both are known, lie within one; then a code link."""
+    t = table.select(F.col("acl_id").alias("k"), F.col("title").alias("t_title"), F.col("year").alias("t_year"), C.clean_abstract(F.col("abstract")).alias("b"))
+    t = t.filter((C.text("k") != "") & (F.length("b") >= min_chars))
+    one = t.groupBy("k").agg(F.max_by(F.struct("t_title", "t_year", "b"), F.struct(F.length("b"), "b", "t_title")).alias("t")).select("k", "t.*")
+    own = C.canonical_host(F.col("url")) == "aclanthology.org"
+    j = papers.withColumn("k", F.when(own, F.regexp_extract(C.normalise_url(F.col("url")), "([^/]+)$", 1))).join(one, "k", "left")
+    near = F.coalesce(F.abs(F.col("t_year") - F.col("year")) <= 1, F.lit(True))
+    fill = (F.trim(C.text("abstract")) == "") & F.col("b").isNotNull() & near & F.coalesce(title_gate(F.col("title"), F.col("t_title"), 0.85), F.lit(False))
+    j = j.withColumn("fill", fill)
+    code = F.when(F.col("fill") & ~P.has_code(F.col("code")), F.coalesce(F.nullif(C.github_link(F.col("b")), F.lit("")), "code")).otherwise(F.col("code"))
+    return j.withColumn("code", code).withColumn("abstract", F.when(F.col("fill"), F.col("b")).otherwise(F.col("abstract"))).select(*papers.columns)
+
+
 def link_by_identity(local: DataFrame, external: DataFrame) -> DataFrame:
     """(xid, id, status, method) of every external row. local: id, conf, url, title; external: xid, conf, url, title.
 

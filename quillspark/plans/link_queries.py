@@ -115,6 +115,18 @@ def m11(spark, sf):
     return linkage.evaluate_by_title(p, c).select("id", "outcome")
 
 
+@query("m12_fill_from_id_table", """, x as (select *, case when seq % 2 = 0 then '2020.acl-main.' || (seq + 1) end as acl from papers)
+  select id, case when acl is null or seq % 3 <> 0 or seq % 5 = 0 then '' else 'text of the table that is surely longer than sixty characters, ' || seq end as abstract from x where length(title) > 20""")
+def m12_table(spark, sf):
+    """Papers without abstract, half with an anthology address; the table has every third, one in five of a far year."""
+    p = papers(spark, sf).filter(F.length("title") > 20).withColumn("abstract", F.lit(""))
+    own = F.concat(F.lit("2020.acl-main."), (F.col("seq") + 1).cast("string"))
+    p = p.withColumn("url", F.when(F.col("seq") % 2 == 0, F.concat(F.lit("https://aclanthology.org/"), own, F.lit("/"))).otherwise(F.col("url")))
+    text = F.concat(F.lit("text of the table that is surely longer than sixty characters, "), F.col("seq").cast("string"))
+    table = p.filter("seq % 3 = 0").select(own.alias("acl_id"), F.upper("title").alias("title"), (F.col("year") + F.when(F.col("seq") % 5 == 0, 7).otherwise(1)).alias("year"), text.alias("abstract"))
+    return linkage.fill_from_id_table(p, table).select("id", "abstract")
+
+
 @query("m12_fill_from_bibliography", f"""{EXT}, b as (select {NORM_URL.replace('paper_url', 'url')} as u, {TEXT} as t from ext where url <> '' qualify row_number() over (partition by u order by length(t) desc, t desc) = 1)
   select id, case when trim(p.abstract) = '' and b.t is not null then b.t else p.abstract end as abstract from papers p left join b on {NORM_URL.replace('paper_url', 'p.url')} = b.u""")
 def m12(spark, sf):
@@ -323,10 +335,20 @@ def i7(spark, sf):
     return PG.outcome_by_host(PG.extract_pages(adapters.table(spark, sf, "pages"), rules))
 
 
-@query("i8_slice_abstract")
+@query("i7_pages_by_host")
+def i7_hosts(spark, sf):
+    """A rule for each host of the pages, of two layouts; every fifth host has none."""
+    pages = adapters.table(spark, sf, "pages")
+    h = F.pmod(F.xxhash64("host"), F.lit(5))
+    hosts = pages.select(C.canonical_host(F.col("url")).alias("host")).distinct().filter(h != 0)
+    layout = F.when(h < 3, F.array(F.lit("article"), F.lit("meta:description"))).otherwise(F.array(F.lit("main"), F.lit("p")))
+    return PG.extract_pages(pages, hosts.select("host", layout.alias("selectors"))).select("url", "ok", "reason", "abstract")
+
+
+@query("i8_slice_abstract", "select seq, left(trim(regexp_replace(paper_abstract, '\\s+', ' ', 'g')), 2000) as abstract from raw where trim(paper_abstract) <> '' and not regexp_matches(lower(trim(paper_abstract)), '^(copyright|permission to make|all rights reserved|©)')", over="raw")
 def i8(spark, sf):
     text = F.concat(F.lit("Title\nAbstract\n"), F.col("paper_abstract"), F.lit("\n1 Introduction\nrest"))
-    return raw(spark, sf).select("seq", records.slice_abstract_section(text).alias("abstract"))
+    return raw(spark, sf).select("seq", records.slice_abstract_section(text).alias("abstract")).filter("abstract is not null")
 
 
 @query("i3_preflight", "select count(*) as rows, count(*) filter (where seq % 997 = 5) as errors from raw", over="raw")
@@ -383,6 +405,17 @@ def i13(spark, sf):
     return PG.extract_listing(p, rules).groupBy("page").agg(F.count("*").alias("n"))
 
 
+@query("i13_listing_records")
+def i13_records(spark, sf):
+    """Entries merged by address; every third page has a detail page with a DOI, code and abstract, every other conf a tag."""
+    p = adapters.table(spark, sf, "pages").withColumn("conf", F.concat(F.lit("ACL"), (F.lit(2010) + F.col("page_id") % 10).cast("string")))
+    rules = p.select(C.canonical_host(F.col("url")).alias("host")).distinct().withColumn("entry", F.lit("p")).withColumn("separator", F.lit(","))
+    entries = PG.extract_listing(p, rules)
+    details = p.filter("page_id % 3 = 0").select("url", F.concat(F.lit("10.9/"), F.col("page_id").cast("string")).alias("doi"), F.lit("https://github.com/a/b").alias("code"), F.lit("From the page.").alias("abstract"))
+    tags = p.filter("page_id % 2 = 0").select("conf", F.regexp_extract("url", "([^/]+)/?$", 1).alias("tag")).distinct()
+    return PG.listing_records(entries, tags, details).select("conf", "paper_name", "paper_url", "paper_abstract", "paper_code")
+
+
 @query("l8_ledger_stream", "select url, status, seq from state", over="ledger")
 def l8(spark, sf):
     """The ledger written as two event files, then folded by the stream."""

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import predicates as P
+from ..operators.merge import FIELDS, merged
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIPPED = {"script", "style", "noscript", "template"}
@@ -130,3 +132,28 @@ def extract_listing(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     out = j.mapInPandas(parse, "conf string, paper_name string, paper_authors array<string>, paper_url string, page string, pos int")
     return out.filter((F.col("paper_name") != "") & (C.classify_url(F.col("paper_url")) != "venue-index"))
+
+
+def listing_records(entries: DataFrame, tags: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
+    """I13, the rest of it: papers_raw rows (with seq, the place in the listings) of extract_listing()'s entries.
+
+    tags(conf, tag): of a conf with tags only entries stay whose address ends in an id that one of its tags begins.
+    details(url, doi, code, abstract): what an entry's own page says, which overrides its address (by the DOI), code and
+    abstract. Entries of one conf and address are merged field by field, volumes and front matter dropped.
+    """
+    url = C.normalise_url(F.col("paper_url"))
+    e = entries.withColumn("u", url).withColumn("paper_abstract", F.lit("")).withColumn("paper_code", F.lit("#"))
+    if tags is not None:
+        own = tags.groupBy("conf").agg(F.collect_set("tag").alias("tags"))
+        last = F.lower(F.regexp_extract("u", "([^/]+)$", 1))
+        e = e.join(own, "conf", "left").filter(F.col("tags").isNull() | F.exists("tags", lambda t: last.startswith(F.lower(t)))).drop("tags")
+    if details is not None:
+        d = details.select(C.normalise_url(F.col("url")).alias("u"), "doi", "code", "abstract").filter("u <> ''")
+        d = d.groupBy("u").agg(*(F.max(F.nullif(F.trim(c), F.lit(""))).alias(c) for c in ("doi", "code", "abstract")))
+        e = e.join(d, "u", "left").withColumn("paper_url", F.coalesce(F.concat(F.lit("https://doi.org/"), "doi"), "paper_url"))
+        e = e.withColumn("paper_abstract", F.coalesce("abstract", "paper_abstract")).withColumn("paper_code", F.coalesce("code", "paper_code"))
+    # pages in the order of a hash of their address: one order, whatever the partitions
+    e = e.withColumn("page_no", F.shiftright(F.xxhash64("page"), 24)).withColumn("seq", (F.col("page_no") % (1 << 38)) * (1 << 24) + F.col("pos"))
+    key = F.coalesce(F.nullif(C.normalise_url(F.col("paper_url")), F.lit("")), F.concat_ws("|", F.lit("row"), "page", F.col("pos").cast("string")))
+    out = e.withColumn("k", key).groupBy("conf", "k").agg(*merged())
+    return P.drop_on_collect(out.select("conf", *FIELDS, "seq"))

@@ -342,3 +342,33 @@ def test_audit_and_revert(spark):
     rows, events = repair.revert(now, before, repair.select_reverts(out), state)
     assert [(r["paper_url"], r["paper_abstract"]) for r in rows.collect()] == [("https://web.archive.org/web/1/http://x.org/1", "")]
     assert [(r["reason"], r["attempts"]) for r in events.collect()] == [("title_mismatch", 2)]
+
+
+def test_listing_records(spark):
+    rows = [("ACL2020", "On trees", ["Ann Lee"], "https://aclanthology.org/2020.acl-main.1/", "p1", 0), ("ACL2020", "On trees", ["Ann Lee", "Bo Xu"], "https://www.aclanthology.org/2020.acl-main.1", "p1", 1),
+            ("ACL2020", "Preface", [], "https://aclanthology.org/2020.acl-main.9", "p1", 2), ("ACL2020", "Of a workshop", [], "https://aclanthology.org/2020.ws-1.4", "p1", 3), ("KDD2020", "No tag", [], "https://k.org/1", "p2", 0)]
+    entries = spark.createDataFrame(rows, "conf string, paper_name string, paper_authors array<string>, paper_url string, page string, pos int")
+    tags = spark.createDataFrame([("ACL2020", "2020.acl-main")], "conf string, tag string")
+    details = spark.createDataFrame([("https://k.org/1", "10.1/k", "https://github.com/a/b", " Text. "), ("https://k.org/2", "", None, None)], "url string, doi string, code string, abstract string")
+    out = {r["paper_name"]: r for r in pages.listing_records(entries, tags, details).collect()}
+    assert set(out) == {"On trees", "No tag"} and len(out["On trees"]["paper_authors"]) == 2
+    assert (out["No tag"]["paper_url"], out["No tag"]["paper_code"], out["No tag"]["paper_abstract"]) == ("https://doi.org/10.1/k", "https://github.com/a/b", "Text.")
+    assert {r["paper_name"] for r in pages.listing_records(entries).collect()} == {"On trees", "Of a workshop", "No tag"}
+
+
+def test_one_search_field_holds_all_grams(spark):
+    rows = [("1", "alpha beta", "", "gamma delta"), ("2", "alpha", "beta", "gamma"), ("3", "", "alpha beta", "zeta"), ("4", "alpha beta", "", "")]
+    p = spark.createDataFrame(rows, "id string, title string, abstract string, authors_text string").withColumn("authors", F.array()).withColumn("conf", F.lit("X")).withColumn("year", F.lit(2000))
+    index = search.build_gram_index(p)
+    ids = lambda *a, **k: {r["id"] for r in search.gram_candidates(index, *a, **k).collect()}
+    assert ids("alpha beta") == {"1", "3", "4"} and ids("alpha beta", author="gamma zeta") == {"1", "3"} and ids("alpha", author="ga zeta") == {"1", "2", "3", "4"}
+    assert search.gram_candidates(index, "", author="ab") is None
+    ranked = search.with_bm25(p, "alpha gamma").orderBy(F.desc("bm25")).collect()
+    assert ranked[0]["id"] in ("1", "2") and ranked[-1]["id"] == "3"
+
+
+def test_rules_past_ten_thousand_are_used(spark):
+    rules = spark.range(10_050).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".org")).alias("host"), F.array(F.lit("p")).alias("selectors"))
+    rows = [(f"https://h{i}.org/x", "<p>" + "long enough text " * 6 + "</p>") for i in (0, 9_999, 10_000, 10_049)]
+    out = pages.extract_pages(spark.createDataFrame(rows, "url string, html string"), rules).collect()
+    assert len(out) == 4 and all(r["ok"] for r in out)
