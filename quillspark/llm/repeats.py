@@ -34,7 +34,7 @@ GRAM = 16  # bytes that a trigger's hash covers
 PLACE = np.uint64(2**32 - 1)  # low bits of a hash give way to its place, so the leftmost of equal ones is least
 SEGMENT = 1 << 22
 HOT = 20_000  # triggers of one block that a task puts in order; see repeated_runs()
-KIND = "unit int, id long, row_key long, start long, end long"
+KIND = "hash long, more long, unit int, id long, row_key long, start long, end long"
 
 
 @dataclass
@@ -124,8 +124,9 @@ def shared_keys(rows: DataFrame, tapes: Callable) -> DataFrame:
     return rows.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-def contexts(rows: DataFrame, tapes: Callable, filters: Broadcast, is_hot: bool) -> DataFrame:
-    """One row per trigger with a wanted block: key, check (the block's second hash), unit, id, row_key, at (its window
+def contexts(rows: DataFrame, tapes: Callable, filters: Broadcast, salts: int) -> DataFrame:
+    """One row per trigger with a wanted block: key, check (the block's second hash), salt (0; for the blocks of too many
+    triggers one of 1 to salts), unit, id, row_key, at (its window
     that starts first), offset (of the trigger in that window), around (the phrase before the trigger, then what follows
     the block)."""
 
@@ -138,12 +139,11 @@ def contexts(rows: DataFrame, tapes: Callable, filters: Broadcast, is_hot: bool)
                     continue
                 key = tape.block(at, 0)
                 ok = wanted.has(key)
-                if hot is not None:
-                    ok &= hot.has(key) == is_hot
                 at, low, high, key = at[ok], low[ok], high[ok], key[ok]
                 if not len(at):
                     continue
                 check = tape.block(at, 1)
+                salt = np.zeros(len(at), np.int64) if hot is None else hot.has(key) * (1 + at % salts)
                 size = (high + tape.reach - low) * tape.unit
                 begin = np.concatenate([[0], np.cumsum(size)])
                 inner = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
@@ -153,13 +153,13 @@ def contexts(rows: DataFrame, tapes: Callable, filters: Broadcast, is_hot: bool)
                 row = np.searchsorted(tape.offsets, at, "right") - 1
                 owner = pa.array(row + tape.row0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.full(len(at), tape.unit, np.int32)),
+                    [pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(salt), pa.array(np.full(len(at), tape.unit, np.int32)),
                      batch.column("id").take(owner), batch.column("row_key").take(owner),
                      pa.array(at - high - tape.offsets[row] + tape.place), pa.array(high), around.cast(pa.binary())],
-                    ["key", "check", "unit", "id", "row_key", "at", "offset", "around"],
+                    ["key", "check", "salt", "unit", "id", "row_key", "at", "offset", "around"],
                 )
 
-    return rows.mapInArrow(cut, "key long, check long, unit int, id long, row_key long, at long, offset long, around binary")
+    return rows.mapInArrow(cut, "key long, check long, salt long, unit int, id long, row_key long, at long, offset long, around binary")
 
 
 def suffix_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +253,7 @@ def covered(rows: pd.DataFrame, row: np.ndarray, j: np.ndarray, span: int) -> pd
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(row)]]) - 1
+    last = np.concatenate([first[1:], [len(row)]])[: len(first)] - 1
     own = rows.iloc[row[first]]
     at = own["at"].to_numpy()
     return pd.DataFrame({**{c: own[c].to_numpy() for c in ("unit", "id", "row_key")}, "start": at + j[first], "end": at + j[last] + span})
@@ -264,7 +264,7 @@ def repeated_runs(rows: DataFrame, sizes: dict[int, tuple[int, int]], hot_rows:
     bytes as the symbols of unit 1 and words as those of unit 4.
 
     Blocks of at most `hot_rows` triggers are put in order by one task each. Those of a block that more share are not:
-    their windows are counted by two 64-bit hashes, map-side first, and looked up again, with the same result.
+    they are dealt over all tasks by a salt, and their windows counted by two 64-bit hashes, with the same result.
     """
     spark = rows.sparkSession
 
@@ -277,33 +277,34 @@ def repeated_runs(rows: DataFrame, sizes: dict[int, tuple[int, int]], hot_rows:
     hot = Bloom.of(keys.filter(F.col("n") > hot_rows), "key", n["hot"]) if n["hot"] else None
     filters = spark.sparkContext.broadcast((Bloom.of(keys, "key", n["keys"]), hot))  # of a bounded size
 
+    parts = shared.parts(spark, n["rows"], 25_000)
+
     def order(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [pd.DataFrame({c: pd.Series([], dtype="Int64") for c in ("hash", "more", "unit", "id", "row_key", "start", "end")})]
         for unit, (span, reach) in sizes.items():
-            own = group[group["unit"].to_numpy() == unit].reset_index(drop=True)
+            own = group[(group["unit"] == unit) & (group["salt"] == 0)].reset_index(drop=True)
+            if len(own):
+                runs = covered(own, *repeated_windows(own, reach, unit), span)
+                none = pd.array([None] * len(runs), "Int64")
+                found.append(runs.assign(hash=none, more=none))
+            own = group[(group["unit"] == unit) & (group["salt"] > 0)].reset_index(drop=True)
             if len(own):
-                found.append(covered(own, *repeated_windows(own, reach, unit), span))
+                row, j, one, two = window_hashes(own, reach, unit)
+                start = own["at"].to_numpy()[row] + j
+                ids = {c: own[c].to_numpy()[row] for c in ("unit", "id", "row_key")}
+                hashes = {"hash": pd.array(one.view(np.int64), "Int64"), "more": pd.array(two.view(np.int64), "Int64")}
+                found.append(pd.DataFrame({**hashes, **ids, "start": start, "end": start + span}))
         return pd.concat(found, ignore_index=True)
 
-    plain = contexts(rows, tapes, filters, False)
-    parts = shared.parts(spark, n["rows"], 50_000)
-    found = plain.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(by_group("key", order, 8_000), KIND)
+    dealt = contexts(rows, tapes, filters, parts).repartition(parts, "key", "salt").sortWithinPartitions("key")
+    out = dealt.mapInPandas(by_group("key", order, 8_000), KIND)
+    columns = ["unit", "id", "row_key", "start", "end"]
     if hot is None:
-        return found
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in batches:
-            for unit, (span, reach) in sizes.items():
-                own = group[group["unit"].to_numpy() == unit].reset_index(drop=True)
-                if len(own):
-                    row, j, one, two = window_hashes(own, reach, unit)
-                    start = own["at"].to_numpy()[row] + j
-                    ids = {c: own[c].to_numpy()[row] for c in ("unit", "id", "row_key")}
-                    yield pd.DataFrame({"hash": one.view(np.int64), "more": two.view(np.int64), **ids, "start": start, "end": start + span})
-
-    windows = contexts(rows, tapes, filters, True).mapInPandas(explode, "hash long, more long, " + KIND)
+        return out.select(*columns)
+    out = shared.stored(out, "repeat-runs")
+    windows = out.filter("hash is not null")
     again = windows.groupBy("hash", "more").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "more")
-    return found.unionByName(windows.join(again, ["hash", "more"]).select("unit", "id", "row_key", "start", "end"))
+    return out.filter("hash is null").select(*columns).unionByName(windows.join(again, ["hash", "more"]).select(*columns))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[list[int]]:

@@ -209,3 +209,25 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session)
+
+
+# 10
+def test_a_large_group_of_unequal_near_copies(spark):
+    """5,000 variants of one text, no two equal, are one component; pairs of other texts keep to themselves."""
+    from quillspark.llm import near_dedup
+
+    rng = random.Random(28)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        w[rng.randrange(150)] = f"own{i}"
+        rows.append((1_000_000 + i, " ".join(w)))
+    for i in range(100):
+        w = [f"p{i}x{j}" for j in range(100)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:50], "other", *w[51:]]))]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(d, words=3, percent=85).collect()}
+    assert all(out[1_000_000 + i] == 1_000_000 for i in range(5000))
+    assert all(out[2 * i] == out[2 * i + 1] == 2 * i for i in range(100))
