@@ -222,6 +222,13 @@ def import_codes(papers: DataFrame, listings: DataFrame) -> tuple[DataFrame, Dat
     return out, filled.unionByName(rest).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def changed_beyond_code(before: DataFrame, after: DataFrame) -> DataFrame:
+    """M14's check: rows that `after` has, or lacks, in any column but code; none, if only codes changed."""
+    columns = [c for c in before.columns if c != "code"]
+    a, b = before.select(*columns), after.select(*columns)
+    return b.exceptAll(a).unionByName(a.exceptAll(b))
+
+
 def repair_codes(papers: DataFrame, listings: DataFrame, blocked: DataFrame) -> DataFrame:
     """Rows whose code is a blocked(repo): kept if the abstract or a matched listing names it, replaced by the one
     valid alternative of the listing, else cleared. Adds `action`."""
@@ -251,20 +258,32 @@ def quarantine_repos(papers: DataFrame, blocked: DataFrame | None = None, least:
 
 def export_missing(papers: DataFrame, listings: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, counts by reason): papers with a valid code that the listings lack by any key or title, but for
-    quarantined and excluded(id) ones."""
-    code = C.classify_code_url(F.col("code"))
-    link = link_by_identity(papers, listings)
-    there = link.filter("status = 'matched'").select("id").distinct().withColumn("there", F.lit(True))
-    same_title = listings.select("conf", C.plain_title_key(F.col("title")).alias("t")).filter("t <> ''").distinct().withColumn("titled", F.lit(True))
+    ambiguous, excluded(id) and quarantined ones.
+
+    The identity keys of a paper are walked in order: one that the listings have makes it listed, one that several papers
+    have makes it ambiguous; then the title, the other way round. Papers without title or url are ambiguous as well.
+    """
+    keys = lambda df: df.select("conf", *(["id"] if "id" in df.columns else []), F.posexplode(C.identity_keys(F.col("url"))).alias("pos", "k"))
+    own = keys(papers.select("conf", "id", "url"))
+    shared = own.groupBy("conf", "k").agg(F.count_distinct("id").alias("n")).filter("n > 1").withColumn("many", F.lit(True))
+    listed = keys(listings.select("conf", "url")).select("conf", "k").distinct().withColumn("listed", F.lit(True))
+    met = own.join(listed, ["conf", "k"], "left").join(shared, ["conf", "k"], "left").filter("listed or many")
+    by_key = met.groupBy("id").agg(F.min_by(F.when(F.col("listed"), "listed").otherwise("ambiguous"), "pos").alias("by_key"))
+    code, title = C.classify_code_url(F.col("code")), C.plain_title_key(F.col("title"))
+    titles = lambda df: df.select("conf", title.alias("t")).filter("t <> ''")
+    same = titles(listings).distinct().withColumn("titled", F.lit(True))
+    twins = titles(papers).groupBy("conf", "t").agg(F.count("*").alias("n")).filter("n > 1").withColumn("twin", F.lit(True)).drop("n")
     bad = quarantine_repos(papers).select("conf", "repo").withColumn("bad", F.lit(True))
     j = (
-        papers.withColumn("c", code).withColumn("t", C.plain_title_key(F.col("title"))).withColumn("repo", C.normalise_repo(F.col("code")))
-        .join(there, "id", "left").join(same_title, ["conf", "t"], "left").join(bad, ["conf", "repo"], "left")
+        papers.withColumn("c", code).withColumn("t", title).withColumn("repo", C.normalise_repo(F.col("code")))
+        .join(by_key, "id", "left").join(same, ["conf", "t"], "left").join(twins, ["conf", "t"], "left").join(bad, ["conf", "repo"], "left")
         .join(exclusions.select("id").distinct().withColumn("excluded", F.lit(True)), "id", "left")
     )
+    unnamed = (F.trim(C.text("title")) == "") | (F.trim(C.text("url")) == "")
     reason = (
-        F.when(F.col("c.reason") != "", F.col("c.reason")).when(F.col("there"), "listed").when(F.col("titled"), "same_title")
-        .when(F.col("bad"), "quarantined").when(F.col("excluded"), "excluded").otherwise("export")
+        F.when(F.col("by_key").isNotNull(), F.col("by_key")).when(F.col("twin"), "ambiguous").when(F.col("titled"), "same_title")
+        .when(F.col("c.reason") != "", F.col("c.reason")).when(F.col("excluded"), "excluded").when(F.col("bad"), "quarantined")
+        .when(unnamed, "ambiguous").otherwise("export")
     )
     j = j.withColumn("reason", reason)
     return j.filter("reason = 'export'").select("id", "conf", "title", "url", F.col("c.url").alias("code")), j.groupBy("reason").agg(F.count("*").alias("n"))

@@ -140,14 +140,29 @@ def get_by_ids(papers: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]
     return joined.filter("known").drop("known").orderBy("pos"), joined.filter("known is null").select("pos", "id")
 
 
-def apply_scores(df: DataFrame, scores: DataFrame) -> DataFrame:
+def places_by_range(df: DataFrame, keys: list[Column], path: str) -> DataFrame:
+    """df with `place`, its number from 1 on in the order of the keys, without a task that holds all: rows are written to
+    path in ranges of the keys, numbered inside each range and moved by the ranges before it."""
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_own", F.monotonically_increasing_id() % (1 << 33))
+    ranged.write.parquet(path)
+    rows = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    n = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    moved = rows.join(F.broadcast(n.select("_part", before.alias("_before"))), "_part")
+    return moved.withColumn("place", F.col("_before") + F.col("_own") + 1).drop("_part", "_own", "_before")
+
+
+def apply_scores(df: DataFrame, scores: DataFrame, path: str | None = None) -> DataFrame:
     """df(id, pos) with a relevance 0..1 from scores(paper_id, score) on scales 0-1, 0-10 or 0-100.
 
-    Negative scores count as 0; scores over 100 and NaN are dropped. Scored rows come first, the rest keep their order at 0.5.
+    Negative scores count as 0; scores over 100 and NaN are dropped. Scored rows come first, the rest keep their order at
+    0.5. df may be one result page, or with a path for places_by_range() a table of any size.
     """
     s = F.col("score")
     unit = F.when(s < 0, 0.0).when(s <= 1, s).when(s <= 10, s / 10).when(s <= 100, s / 100)
     usable = scores.filter(s.isNotNull() & ~F.isnan(s) & (s <= 100)).groupBy(F.col("paper_id").alias("id")).agg(F.max(unit).alias("unit"))
     out = df.join(usable, "id", "left")
-    order = Window.orderBy(F.col("unit").isNull(), F.desc("unit"), "pos")  # a result page; S5 bounds it
-    return out.withColumn("place", F.row_number().over(order)).withColumn("relevance", F.coalesce("unit", F.lit(0.5))).drop("unit")
+    keys = [F.col("unit").isNull().asc(), F.desc("unit"), F.asc("pos")]
+    placed = places_by_range(out, keys, path) if path else out.withColumn("place", F.row_number().over(Window.orderBy(*keys)))
+    return placed.withColumn("relevance", F.coalesce("unit", F.lit(0.5))).drop("unit")

@@ -159,6 +159,12 @@ def m14(spark, sf):
     return linkage.import_codes(papers(spark, sf), listings(spark, sf))[0].select("id", "code")
 
 
+@query("m14_only_codes_change", "select id, title from papers where false")
+def m14_check(spark, sf):
+    p = papers(spark, sf)
+    return linkage.changed_beyond_code(p, linkage.import_codes(p, listings(spark, sf))[0].select(*p.columns)).select("id", "title")
+
+
 @query("m15_repair_codes", f"""{_LINK}, g as (select id, count(*) filter (where xid % 8 <> 0) as n, min('https://github.com/c/p' || xid) filter (where xid % 8 <> 0) as c from l where status = 'matched' group by id)
   select p.id, case when p.seq % 21 <> 0 then 'untouched' when g.n = 1 then 'replaced' else 'cleared' end as action, case when p.seq % 21 <> 0 then p.code when g.n = 1 then g.c else '#' end as code
   from papers p left join g on p.id = g.id""")
@@ -176,8 +182,11 @@ def m16(spark, sf):
     return linkage.quarantine_repos(papers(spark, sf).withColumn("code", code), least=3)
 
 
-@query("m17_export_missing", f"""{_LINK}, j as (select p.id, case when trim(p.code) in ('', '#') then 'empty' when exists (select 1 from l where l.id = p.id and status = 'matched') then 'listed'
-  when exists (select 1 from xt where xt.conf = p.conf and xt.t = p.t) then 'same_title' when p.seq % 35 = 0 then 'excluded' else 'export' end as reason from k p) select id from j where reason = 'export'""")
+@query("m17_export_missing", f"""{_LINK}, xu as (select distinct conf, u from k where seq % 2 = 0 and seq % 3 <> 0),
+  j as (select p.id, case when xu.u is not null then 'listed' when ku.n > 1 then 'ambiguous' when kt.n > 1 then 'ambiguous' when xt.t is not null then 'same_title'
+    when trim(p.code) in ('', '#') then 'empty' when p.seq % 35 = 0 then 'excluded' else 'export' end as reason
+  from k p left join xu on p.conf = xu.conf and p.u = xu.u left join ku on p.conf = ku.conf and p.u = ku.u left join kt on p.conf = kt.conf and p.t = kt.t left join xt on p.conf = xt.conf and p.t = xt.t)
+  select id from j where reason = 'export'""")
 def m17(spark, sf):
     p = papers(spark, sf)
     return linkage.export_missing(p, listings(spark, sf), p.filter("seq % 35 = 0").select("id"))[0].select("id")
@@ -295,6 +304,15 @@ def i1(spark, sf):
     return good.select("seq", "conf", "paper_name", F.size("paper_authors").alias("n_authors"))
 
 
+@query("i1_read_papers", "select conf, paper_name, paper_url, len(paper_authors) as n_authors, paper_abstract, paper_code from raw where seq % 97 <> 5 and seq % 89 <> 7", over="raw")
+def i1_files(spark, sf):
+    """Written as gzip JSON lines, read with seq frozen, checked."""
+    at = scratch(spark, "lines")
+    json_lines(spark, sf).select("value").write.text(f"{at}/gz", compression="gzip")
+    good, _, _ = records.validate(records.read_papers(spark, f"{at}/gz", f"{at}/frozen"), 0.1)
+    return good.select("conf", "paper_name", "paper_url", F.size("paper_authors").alias("n_authors"), "paper_abstract", "paper_code")
+
+
 @query("i2_rejects", "select seq from raw where seq % 97 = 5 or seq % 89 = 7", over="raw")
 def i2(spark, sf):
     return records.validate(records.parse_papers(json_lines(spark, sf)), 0.1)[1].select("seq")
@@ -302,13 +320,24 @@ def i2(spark, sf):
 
 @query("i5_nested_notes", "select 'n' || (seq // 2) as id, max(length(paper_abstract)) as longest from raw where seq % 3 <> 0 group by 1", over="raw")
 def i5(spark, sf):
+    return notes_of(spark, sf).select("id", F.length("paper_abstract").alias("longest"))
+
+
+def notes_of(spark, sf):
     r = raw(spark, sf)
     boxed = lambda c: F.struct(c.alias("value"))
     venue = F.when(F.col("seq") % 3 == 0, "Submitted").otherwise("ICLR poster")
     new = F.to_json(F.struct(F.concat(F.lit("n"), F.floor(F.col("seq") / 2).cast("string")).alias("id"), F.struct(boxed(venue).alias("venue"), boxed(F.col("paper_name")).alias("title"), boxed(F.col("paper_abstract")).alias("abstract"), boxed(F.col("paper_authors")).alias("authors")).alias("content")))
     flat = F.to_json(F.struct(F.concat(F.lit("n"), F.floor(F.col("seq") / 2).cast("string")).alias("id"), F.struct(venue.alias("venue"), F.col("paper_name").alias("title"), F.col("paper_abstract").alias("abstract"), F.col("paper_authors").alias("authors")).alias("content")))
     notes = r.select(F.when(F.col("seq") % 2 == 0, new).otherwise(flat).alias("value"), "seq")
-    return records.read_nested_notes(notes).select("id", F.length("paper_abstract").alias("longest"))
+    return records.read_nested_notes(notes)
+
+
+@query("i5_notes_rows", """select 'n' || (seq // 2) as id, 'https://openreview.net/forum?id=n' || (seq // 2) as paper_url, arg_min(paper_name, seq) as paper_name,
+  arg_max(paper_abstract, length(paper_abstract) * 100000000 - seq) as paper_abstract, len(arg_max(paper_authors, len(paper_authors) * 100000000 - seq)) as n_authors, '#' as paper_code, min(seq) as seq
+  from raw where seq % 3 <> 0 group by seq // 2""", over="raw")
+def i5_rows(spark, sf):
+    return notes_of(spark, sf).select("id", "paper_url", "paper_name", "paper_abstract", F.size("paper_authors").alias("n_authors"), "paper_code", "seq")
 
 
 @query("i6_inverted_index", "select seq, paper_name as t from raw where paper_name <> '' and len(list_distinct(string_split(paper_name, ' '))) = len(string_split(paper_name, ' ')) and not contains(paper_name, '  ')", over="raw")

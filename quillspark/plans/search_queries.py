@@ -7,7 +7,7 @@ from ..functions import predicates as P
 from ..operators import search as S
 from ..operators import stats as A
 from .column_queries import _FIELDS, HOST
-from .common import papers, query, raw
+from .common import papers, query, raw, scratch
 
 N = lambda c: f"trim(regexp_replace(replace(lower({c}), '-', ' '), '\\s+', ' ', 'g'))"
 HAS = lambda c, w: f"contains({N(c)}, '{w}')"
@@ -119,6 +119,17 @@ def s12(spark, sf):
     return S.apply_scores(top.select("id", "pos"), scores).select("id", "relevance", "place")
 
 
+@query("s12_apply_scores_whole", """, x as (select id, seq as pos, case when seq % 3 = 0 then case when seq % 2 = 0 then (seq % 100) / 100.0 else (seq % 97)::double end end as s from papers),
+  y as (select *, case when s < 0 then 0.0 when s <= 1 then s when s <= 10 then s / 10 when s <= 100 then s / 100 end as u from x)
+  select id, coalesce(u, 0.5)::double as relevance, row_number() over (order by (u is null), u desc, pos) as place from y""")
+def s12_whole(spark, sf):
+    """All papers in the order of seq, every third scored; places are numbered by range."""
+    p = papers(spark, sf).select("id", F.col("seq").alias("pos"), "seq")
+    score = F.when(F.col("seq") % 2 == 0, (F.col("seq") % 100) / 100).otherwise((F.col("seq") % 97).cast("double"))
+    scores = p.filter("seq % 3 = 0").select(F.col("id").alias("paper_id"), score.alias("score"))
+    return S.apply_scores(p.select("id", "pos"), scores, scratch(spark, "scores")).select("id", "relevance", "place")
+
+
 JOINED = "lower(title || ' ' || abstract || ' ' || authors_text || ' ' || conf)"
 
 

@@ -33,10 +33,14 @@ def parse_papers(lines: DataFrame) -> DataFrame:
     return j.select(*cols, "seq", F.when(bad, F.col("value")).alias("_corrupt_record"))
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (plain or gzip). Input order counts, so seq (file, then line) should be frozen by one write."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("seq"))
-    return parse_papers(lines.select("value", "seq"))
+def read_papers(spark: SparkSession, path: str, frozen: str | None = None) -> DataFrame:
+    """JSON lines (plain or gzip). Input order counts, so seq rises along each file's lines; with a path `frozen` the
+    lines are written there once, and seq is the same whenever they are read."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
+    if frozen:
+        lines.write.parquet(frozen)
+        lines = spark.read.schema(lines.schema).parquet(frozen)
+    return parse_papers(lines)
 
 
 def validate(raw: DataFrame, max_error_ratio: float = 0.0) -> tuple[DataFrame, DataFrame, dict]:
