@@ -38,7 +38,7 @@ def byte_alphabet() -> list[str]:
 class WordBpe:
     """Encoder and decoder of a `tokenizers` file whose BPE marks word ends."""
 
-    def __init__(self, path: str, cache: int = 64_000_000) -> None:
+    def __init__(self, path: str, cache: int = 128_000_000) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -62,7 +62,7 @@ class WordBpe:
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\t-\ra-z0-9]+").findall
         self.white = regex.compile(r"\p{White_Space}+")
-        self.cache, self.held = cache, 0  # bytes that may be kept, and that are: of words, chunks and their ids
+        self.cache, self.held = cache, 0  # bytes that may be kept, and that are: of words, chunks, their ids and entries
         self.known_words, self.known_chunks = {}, {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ class WordBpe:
         for ws in short.values():
             words.update(zip(ws, self.batch([w.encode("utf-8") for w in ws]), strict=True))
         new = {x: b"".join(map(words.__getitem__, ws)) for x, ws in cut.items()}
-        self.held += sum(2 * (len(x) + len(ids)) for x, ids in new.items())
+        self.held += sum(300 + 2 * (len(x) + len(ids)) for x, ids in new.items())
         self.known_chunks.update(new)
 
     def split(self, text: str) -> list[str]:
