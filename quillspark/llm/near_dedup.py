@@ -11,6 +11,7 @@ confirmed on the full sets, and pairs already known to be connected are skipped.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,20 +46,22 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, words: int) -> DataFrame:
-    """id, row, key, check, n, tokens of every row of (id, row, text); a text without words has n 0 and nulls otherwise."""
+    """id, row, key, check, n, tokens, sketch (the lowest byte of each token) of every row of (id, row, text); a text
+    without words has n 0 and nulls otherwise."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key: list[int | None] = [None] * batch.num_rows
             check: list[int | None] = [None] * batch.num_rows
-            n, tokens = [0] * batch.num_rows, [None] * batch.num_rows
+            n, tokens, sketch = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             for r, s in shingle_sets(batch.column("text"), words):
-                (key[r], check[r]), n[r], tokens[r] = set_key(s), len(s), minwise(s).tobytes()
+                (key[r], check[r]), n[r], own = set_key(s), len(s), minwise(s)
+                tokens[r], sketch[r] = own.tobytes(), own.astype(np.uint8).tobytes()
             numbers = [pa.array(x, pa.int64()) for x in (key, check, n)]
-            columns = [batch.column("id"), batch.column("row"), *numbers, pa.array(tokens, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "key", "check", "n", "tokens"])
+            columns = [batch.column("id"), batch.column("row"), *numbers, pa.array(tokens, pa.binary()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "key", "check", "n", "tokens", "sketch"])
 
-    return rows.mapInArrow(sign, "id long, row long, key long, check long, n long, tokens binary")
+    return rows.mapInArrow(sign, "id long, row long, key long, check long, n long, tokens binary, sketch binary")
 
 
 def children(path: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -192,117 +195,89 @@ def in_groups(rows: DataFrame, column: str, parts: int, work: Callable, size: in
     return rows.repartition(parts, column).sortWithinPartitions(column).mapInPandas(by_group(column, work, size), "a long, b long")
 
 
-def apart(rows: DataFrame, near: float) -> DataFrame:
-    """path, size, heads of rows of the same: a head within `near` of an earlier one is dropped. Fewer heads only mean
-    that fewer classes stay behind."""
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("tokens", pa.binary())]))
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for heads in batch.column("heads").to_pylist():
-                own: list[dict] = []
-                for h in sorted(heads, key=lambda h: h["key"]):
-                    tokens = np.frombuffer(h["tokens"], np.uint32)
-                    if all((tokens == np.frombuffer(o["tokens"], np.uint32)).mean() < near for o in own):
-                        own.append(h)
-                kept.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size"), pa.array(kept, kind)], ["path", "size", "heads"])
-
-    return rows.mapInArrow(thin, "path long, size long, heads array<struct<key:long,tokens:binary>>")
+def apart(heads: np.ndarray, near: float) -> list[int]:
+    """Heads (rows of tokens) without those within `near` of an earlier one. Fewer heads only mean that fewer classes
+    stay behind."""
+    kept: list[int] = []
+    for i in range(len(heads)):
+        if not kept or (heads[kept] == heads[i]).mean(1).max() < near:
+            kept.append(i)
+    return kept
 
 
-def meet_heads(rows: DataFrame, near: float, far: float) -> DataFrame:
-    """One row for each row (path, key, tokens, heads) of a large node: path, key, head (the nearest one, if within
-    `far`), others (bits: the places of the other heads within `far`), child (the path that the class goes on to).
+def meet_heads(near: float, far: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For runs of rows (group, path, key, tokens, heads) of large nodes: one row for each, key, head (the nearest one, if
+    within `far`) and child (the path that the class goes on to); and once a group the pairs of heads that one class is
+    near to, as key and head.
 
     A class within `near` of a head stays behind and has no child: by the triangle inequality whatever it is linked
     with lies within `far` of that head and is joined to it as well. So a crowd of near copies doesn't branch on and on.
     """
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            heads = batch.column("heads")
-            n = np.diff(heads.offsets.to_numpy())
-            row = np.repeat(np.arange(len(key)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            flat = heads.flatten()
-            head = flat.field("key").to_numpy()
-            theirs = np.frombuffer(b"".join(flat.field("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            alike = (tokens[row] == theirs).mean(1)
-            by = np.lexsort((place, -alike, row))  # the nearest head of each row first
-            first = by[np.cumsum(n) - n]
-            others = np.zeros(len(key), np.int64)
-            more = alike >= far
-            more[first] = False
-            np.bitwise_or.at(others, row[more], np.int64(1) << place[more])
-            child = children(batch.column("path").to_numpy().view(np.uint64), tokens).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), batch.column("key"), pa.array(head[first], mask=alike[first] < far), pa.array(others),
-                 pa.array(child, mask=alike[first] >= near)],
-                ["path", "key", "head", "others", "child"],
-            )
-
-    return rows.mapInArrow(go, "path long, key long, head long, others long, child long")
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        group, keys = rows["group"].to_numpy(), rows["key"].to_numpy()
+        tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32).reshape(-1, TOKENS)
+        child = children(rows["path"].to_numpy().view(np.uint64), tokens).view(np.int64)
+        head, behind, pairs = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool), []
+        joined = np.zeros(len(rows), bool)
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        for lo, hi in zip(edge, [*edge[1:], len(rows)], strict=True):
+            own = sorted(rows["heads"].iloc[lo], key=lambda h: h["key"])
+            theirs = np.stack([np.frombuffer(h["tokens"], np.uint32) for h in own])
+            kept = apart(theirs, near)
+            names, theirs = np.array([own[i]["key"] for i in kept], np.int64), theirs[kept]
+            alike = (tokens[lo:hi, None] == theirs[None]).mean(2)
+            first = alike.argmax(1)
+            best = alike[np.arange(hi - lo), first]
+            head[lo:hi], joined[lo:hi], behind[lo:hi] = names[first], best >= far, best >= near
+            row, other = np.nonzero((alike >= far) & (np.arange(len(kept)) != first[:, None]))
+            pairs.append(np.unique(np.stack([names[first[row]], names[other]]), axis=1))
+        both = np.concatenate(pairs, 1)
+        return pd.DataFrame({
+            "key": np.concatenate([keys, both[0]]),
+            "head": pd.Series(np.concatenate([head, both[1]])).astype("Int64").where(np.concatenate([joined, np.ones(both.shape[1], bool)])),
+            "child": pd.Series(np.concatenate([child, np.zeros(both.shape[1], np.int64)])).astype("Int64").where(np.concatenate([~behind, np.zeros(both.shape[1], bool)])),
+        })
+
+    return work
 
 
 def candidate_edges(classes: DataFrame, percent: int, trees: int, limit: int, depth: int, heads: int = 10) -> DataFrame:
-    """Edges (a, b) of keys that span the candidate clusters of classes(key, n, tokens)."""
+    """Edges (a, b) of keys that span the candidate clusters of classes(key, tokens, sketch)."""
     spark = classes.sparkSession
     # what is linked with a class at `near` of a head is nearer than near - (1 - threshold); sketches may err
     near = percent / 100 - 0.1
     far = near - (1 - percent / 100) - 0.2
-    found = None
+    small, edges = [], []
     level = branched(classes.select("key", "tokens"), trees)
     for d in range(depth):
         counts = level.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         nodes, n = shared.stored_with(level.join(counts, "path"), "near-nodes", small=F.count_if(F.col("size") <= limit), large=F.count_if(F.col("size") > limit))
-        small = nodes.filter(F.col("size") <= limit).join(classes.select("key", "tokens"), "key")
-        small = small.select("path", "key", F.col("tokens").alias("sketch"))
-        edges = [in_groups(low_bytes(small), "path", shared.parts(spark, n["small"], 100_000), compare_nodes(percent / 100 - MARGIN), 20_000)]
+        small.append((nodes.filter(F.col("size") <= limit).select("path", "key"), n["small"]))
+        if not n["large"]:
+            break
         large = nodes.filter(F.col("size") > limit)
-        if n["large"] and d < depth - 1:
-            whole = large.select("path", "key", "size").join(classes.select("key", "tokens"), "key")
-            # one head of each of a few slices of a node, so that partial aggregation finds them
-            one = F.min_by(F.struct("key", "tokens"), F.xxhash64("key"))
-            some = whole.groupBy("path", F.pmod(F.xxhash64("key", F.lit(d)), F.lit(heads)).alias("slice")).agg(F.first("size").alias("size"), one.alias("h"))
-            some = apart(some.groupBy("path").agg(F.first("size").alias("size"), F.collect_list("h").alias("heads")), near)
-            # a node of many classes is dealt over several tasks, its heads copied to each
-            copies = F.ceil(F.col("size") / SHARE)
-            some = some.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("size")
-            whole = whole.withColumn("salt", F.pmod(F.xxhash64("key", "path"), copies)).drop("size")
-            met = shared.stored(meet_heads(whole.join(some, ["path", "salt"]), near, far), "near-met")
-            edges.append(met.filter("head <> key").select(F.col("key").alias("a"), F.col("head").alias("b")))
-            # heads that a class is near to are joined once for each node, not for each class
-            pairs = met.filter("others <> 0").groupBy("path", "head").agg(F.bit_or("others").alias("others"))
-            pairs = pairs.join(some.filter("salt = 0").select("path", F.col("heads.key").alias("keys")), "path")
-            near_too = F.filter("keys", lambda k, i: F.getbit("others", i) == 1)
-            edges.append(pairs.select(F.col("head").alias("a"), F.explode(near_too).alias("b")))
-            level = met.filter("child is not null").select(F.col("child").alias("path"), "key")
-        elif n["large"]:
+        if d == depth - 1:
             first = large.groupBy("path").agg(F.min("key").alias("b"))
             edges.append(large.join(first, "path").select(F.col("key").alias("a"), "b"))
-        for e in edges:
-            found = e if found is None else found.unionByName(e)
-        if not n["large"]:
             break
-    return found
-
-
-def low_bytes(rows: DataFrame) -> DataFrame:
-    """Sketches: the lowest byte of each token."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, 4 * TOKENS)[:, ::4]
-            short = [x.tobytes() for x in np.ascontiguousarray(whole)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("key"), pa.array(short, pa.binary())], ["path", "key", "sketch"])
-
-    return rows.mapInArrow(cut, "path long, key long, sketch binary")
+        # a node of many classes is dealt over several tasks, its heads copied to each
+        copies = F.ceil(F.col("size") / SHARE)
+        whole = large.join(classes.select("key", "tokens"), "key").withColumn("salt", F.pmod(F.xxhash64("key", "path"), copies))
+        # one head of each of a few slices of a node, so that partial aggregation finds them
+        slice_ = F.pmod(F.xxhash64("key", F.lit(d)), F.lit(heads))
+        picks = [F.min_by(F.struct("key", "tokens"), F.when(slice_ == i, F.xxhash64("key"))).alias(f"h{i}") for i in range(heads)]
+        some = whole.groupBy("path").agg(F.first("size").alias("size"), *picks)
+        some = some.select("path", F.array_compact(F.array(*(f"h{i}" for i in range(heads)))).alias("heads"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"))
+        met = whole.select("path", "salt", "key", "tokens").join(some, ["path", "salt"])
+        met = met.select(F.xxhash64("path", "salt").alias("group"), "path", "key", "tokens", "heads").sortWithinPartitions("group")
+        met = shared.stored(met.mapInPandas(by_group("group", meet_heads(near, far), 2_000), "key long, head long, child long"), "near-met")
+        edges.append(met.filter("head <> key").select(F.col("key").alias("a"), F.col("head").alias("b")))
+        level = met.filter("child is not null").select(F.col("child").alias("path"), "key")
+    rows = sum(n for _, n in small)
+    alike = functools.reduce(DataFrame.unionByName, (x for x, _ in small)).join(classes.select("key", "sketch"), "key").select("path", "key", "sketch")
+    found = in_groups(alike, "path", shared.parts(spark, rows, 100_000), compare_nodes(percent / 100 - MARGIN), 20_000)
+    return functools.reduce(DataFrame.unionByName, edges, found)
 
 
 def full_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> DataFrame:
@@ -349,11 +324,11 @@ def near_dedup(
     signed = shared.stored(signatures(rows, words), "near-signatures")
     place = shared.place(F.col("id"), F.col("row"), 2**63)
     classes = signed.filter("key is not null").groupBy("key", "check").agg(
-        F.min("id").alias("id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens")
+        F.min("id").alias("id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")
     )
     # stored with a number of each class, which stands for it in the trees
     classes = shared.stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    numbered = classes.select(F.col("node").alias("key"), "n", "tokens")
+    numbered = classes.select(F.col("node").alias("key"), "tokens", "sketch")
     clusters = components(candidate_edges(numbered, percent, trees, limit, depth))
     members = shared.stored(clusters.join(classes.select("node", "key", "check", "n"), "node"), "near-members")
     sizes = members.groupBy("root").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
