@@ -33,6 +33,7 @@ from .sets import Bloom
 GRAM = 16  # bytes that a trigger's hash covers
 PLACE = np.uint64(2**32 - 1)  # low bits of a hash give way to its place, so the leftmost of equal ones is least
 SEGMENT = 1 << 22
+LOOKUPS = 16  # tasks that look up one hot window
 HOT = 20_000  # triggers of one block that a task puts in order; see repeated_runs()
 KIND = "hash long, more long, unit int, id long, row_key long, start long, end long"
 
@@ -304,7 +305,10 @@ def repeated_runs(rows: DataFrame, sizes: dict[int, tuple[int, int]], hot_rows:
     out = shared.stored(out, "repeat-runs")
     windows = out.filter("hash is not null")
     again = windows.groupBy("hash", "more").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "more")
-    return out.filter("hash is null").select(*columns).unionByName(windows.join(again, ["hash", "more"]).select(*columns))
+    # a window that very many rows have is looked up by several tasks
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOOKUPS - 1).cast("long"))))
+    windows = windows.withColumn("salt", F.pmod(F.xxhash64("row_key", "start"), F.lit(LOOKUPS).cast("long")))
+    return out.filter("hash is null").select(*columns).unionByName(windows.join(again, ["hash", "more", "salt"]).select(*columns))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
