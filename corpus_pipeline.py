@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, near_dedup, packing, pii, quality, shared
@@ -12,8 +13,19 @@ QUALITY_LEAST = 0.3
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a unique number of each row, stored so that a row has the same one whenever it is read."""
-    return shared.stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    """docs with a unique number of each row, from 0 on, the same whenever a row is read.
+
+    Where docs are files, as between stages, it is made of the file's number and the row's place in the file; other
+    tables are stored with their numbers.
+    """
+    try:
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:  # no files
+        return shared.stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    names = placed.select("file").distinct()
+    files = shared.stored(names.withColumn("no", F.row_number().over(Window.orderBy("file")).cast("long")), "pipeline-files")  # a row for each file
+    files = F.broadcast(files) if files.count() <= 100_000 else files
+    return placed.join(files, "file").select(*COLUMNS, (F.col("no") * F.lit(2**36) + F.col("at")).alias("row"))
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
