@@ -55,3 +55,17 @@ def test_places_at_the_ends_of_the_range(spark):
     for null_id in (-(2**63) - 1, 2**63):
         for r in d.withColumn("place", shared.place(F.col("id"), F.col("row"), null_id)).collect():
             assert int(r["place"]) == (null_id if r["id"] is None else r["id"]) * 2**63 + r["row"]
+
+
+def test_numbers_of_rows_in_files(spark, tmp_path):
+    """Unique, the same at every read and under other columns, and stages on files do what they do on other tables."""
+    rows = [(None, "copy", "en"), (None, "other", "en"), (3, "Copy", "en"), (3, "copy", "de"), (3, "third", "en"), (None, "twin", "en"), (None, "twin", "en")]
+    documents(spark, rows).repartition(3).write.parquet(f"{tmp_path}/docs")
+    d = spark.read.parquet(f"{tmp_path}/docs")
+    numbered = corpus_pipeline.numbered(d)
+    first = sorted((r["row"], str(r["text"])) for r in numbered.select("row", "text").collect())
+    assert len({n for n, _ in first}) == len(rows)
+    assert [n for n, _ in first] == sorted(r["row"] for r in corpus_pipeline.numbered(d).select("row").collect())
+    assert {r["row"] for r in numbered.filter("text = 'twin'").select("row").collect()} == {n for n, t in first if t == "twin"}
+    out = kept(corpus_pipeline.drop_copies(spark, d, str(tmp_path)))
+    assert [(i, t.lower()) for i, t in out] == [(3, "copy"), (3, "third"), (None, "other"), (None, "twin")]
