@@ -9,6 +9,7 @@ linked parts instead.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -22,10 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import hashing, shared
 
 WIDTH = 32  # bytes of a word that the batched form takes
 NONE = np.int32(2**31 - 1)  # rank of a pair that never merges
+WHITE, LETTER, NUMBER, OTHER = range(4)
 
 
 def byte_alphabet() -> list[str]:
@@ -35,12 +37,24 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+@functools.cache
+def kinds() -> np.ndarray:
+    """The kind of every code point: white space, letter, number, or any other sign."""
+    import regex
+
+    out = np.full(0x110000, OTHER, np.uint8)
+    valid = [*range(0xD800), *range(0xE000, 0x110000)]
+    text, code = "".join(map(chr, valid)), np.array(valid)
+    for kind, pattern in ((WHITE, r"\p{White_Space}+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, text):
+            out[code[m.start() : m.end()]] = kind
+    return out
+
+
 class WordBpe:
     """Encoder and decoder of a `tokenizers` file whose BPE marks word ends."""
 
     def __init__(self, path: str, cache: int = 128_000_000) -> None:
-        import regex
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -58,12 +72,8 @@ class WordBpe:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks, self.made = key[order], order.astype(np.int32), pairs[:, 2].astype(np.int32)
         self.pairs = dict(zip(key.tolist(), range(len(key)), strict=True))
-        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
-        self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\t-\ra-z0-9]+").findall
-        self.white = regex.compile(r"\p{White_Space}+")
-        self.cache, self.held = cache, 0  # bytes that may be kept, and that are: of words, chunks, their ids and entries
-        self.known_words, self.known_chunks = {}, {}
+        self.kinds, self.tables = kinds(), [np.random.default_rng(i).integers(1, 2**63, 0x110000, np.uint64) * np.uint64(2) + np.uint64(1) for i in (7, 8)]
+        self.cache, self.held, self.known_words = cache, 0, {}  # bytes that may be kept of words and their ids, and that are
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of parts; NONE where they don't merge or a part is -1."""
@@ -134,51 +144,83 @@ class WordBpe:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks (texts without white space) that are new."""
-        cut = {}
-        for x in chunks:
-            y = self.normal(x)
-            cut[x] = [y] if y.isascii() and y.isalpha() else (self.ascii_words if y.isascii() else self.words)(y)
-        words = self.known_words
+    def learn_words(self, words: set[str]) -> None:
+        """Encode the words that are new."""
         short: dict[int, list[str]] = {}
-        for w in {w for ws in cut.values() for w in ws if w not in words}:
+        for w in words:
             size = len(w) if w.isascii() else len(w.encode("utf-8"))
             if size > WIDTH:
-                words[w] = np.array(self.long_word(w.encode("utf-8")), "<u4").tobytes()
+                self.known_words[w] = np.array(self.long_word(w.encode("utf-8")), "<u4").tobytes()
             else:
                 short.setdefault((size + 3) // 4, []).append(w)
         for ws in short.values():
-            words.update(zip(ws, self.batch([w.encode("utf-8") for w in ws]), strict=True))
-        new = {x: b"".join(map(words.__getitem__, ws)) for x, ws in cut.items()}
-        self.held += sum(300 + 2 * (len(x) + len(ids)) for x, ids in new.items())
-        self.known_chunks.update(new)
+            self.known_words.update(zip(ws, self.batch([w.encode("utf-8") for w in ws]), strict=True))
+        self.held += sum(200 + len(w) + len(self.known_words[w]) for w in words)
 
-    def split(self, text: str) -> list[str]:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the pattern
-            return [x for x in self.white.split(text) if x]
-        return text.split()
+    def cut(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every word of a row of code points that ends in white space: runs of letters, runs of other
+        signs, single digits, and contractions, which begin where an apostrophe begins a run."""
+        kind = self.kinds[cp]
+        begin = kind != WHITE
+        begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        at = np.flatnonzero(begin & (cp == ord("'")))
+        one, two = cp[at + 1], cp[np.minimum(at + 2, len(cp) - 1)]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((two == ord("e")) & np.isin(one, [ord("r"), ord("v")])) | ((one == ord("l")) & (two == ord("l")))
+        at, width = at[short | long], np.where(short, 2, 3)[short | long]
+        begin[at + 1] = False
+        begin[at + width] = kind[at + width] != WHITE
+        last = kind != WHITE
+        last[:-1] &= (kind[1:] == WHITE) | begin[1:]
+        return np.flatnonzero(begin), np.flatnonzero(last) + 1
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special strings. The distinct words of all texts are encoded once: words are told apart
+        by a 64-bit hash that a second one confirms, and meet earlier blocks' words as strings."""
+        normal = [self.normal(x) for x in texts]
+        joined = "\n".join([*normal, ""])
+        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        if not len(cp):
+            return [b""] * len(texts)
+        start, end = self.cut(cp)
+        one, two = (hashing.windows(hashing.prefix(cp, t), start, end) for t in self.tables)
+        code, seen = pd.factorize(hashing.mix(one + (end - start).astype(np.uint64)))
+        first = np.zeros(len(seen), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        if (two != two[first][code]).any():  # two words of one hash
+            return [self.plain([x])[0] for x in texts] if len(texts) > 1 else [self.one_by_one(joined, start, end)]
+        words = [joined[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        if new := set(words).difference(self.known_words):
+            self.learn_words(new)
+        ids = [self.known_words[w] for w in words]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = size[code]
+        to = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat((np.cumsum(size) - size)[code] - to[:-1], n) + np.arange(to[-1])].tobytes()
+        stop = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)) + 1)
+        stops = (4 * to[np.searchsorted(start, stop)]).tolist()
+        return [out[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+
+    def one_by_one(self, joined: str, start: np.ndarray, end: np.ndarray) -> bytes:
+        words = [joined[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+        if new := set(words).difference(self.known_words):
+            self.learn_words(new)
+        return b"".join(map(self.known_words.__getitem__, words))
 
     def block(self, texts: list[str]) -> list[bytes]:
-        """Ids of a block of texts, a few MB at most."""
+        """Ids of a block of texts, a few MB at most; special strings become their ids."""
         if self.held > self.cache:
             self.known_words.clear()
-            self.known_chunks.clear()
             self.held = 0
-        known = self.known_chunks
-        cut: list[list[str]] = []
-        for text in texts:
-            if "<|" in text and (found := self.at_special.findall(text)):
-                chunks = []
-                for plain, mark in zip(self.at_special.split(text), [*found, ""], strict=True):
-                    chunks += [*self.split(plain), *([mark + " "] if mark else [])]
-                known.update((k + " ", i.to_bytes(4, "little")) for k, i in self.special.items())
-            else:
-                chunks = self.split(text)
-            cut.append(chunks)
-        if new := {x for chunks in cut for x in chunks if x not in known}:
-            self.learn(new)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        parts = [self.at_special.split(x) if "<|" in x else [x] for x in texts]
+        ids = iter(self.plain([x for xs in parts for x in xs]))
+        out = []
+        for text, xs in zip(texts, parts, strict=True):
+            marks = self.at_special.findall(text) if len(xs) > 1 else []
+            own = [next(ids) for _ in xs]
+            out.append(own[0] + b"".join(self.special[m].to_bytes(4, "little") + x for m, x in zip(marks, own[1:], strict=True)))
+        return out
 
     def encode(self, texts: Iterable[str], chars: int = 4_000_000) -> Iterator[bytes]:
         block, size = [], 0
