@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import predicates as P
 
 WEIGHTS = {"title": 3, "authors_text": 2, "abstract": 1}
-FIELDS = {"title": ["title", "abstract"], "author": ["authors_text"], "abstract": ["abstract"], "any": list(WEIGHTS)}
+FIELDS: dict[str, list[str]] = {"title": ["title", "abstract"], "author": ["authors_text"], "abstract": ["abstract"], "any": list(WEIGHTS)}
 
 
 def token_match(query: str, field: str = "title") -> Column:
@@ -41,16 +43,29 @@ def order_keys(query: str = "", sort: str = "year", descending: bool = True) ->
 
 
 def search(
-    papers: DataFrame, query: str = "", field: str = "title", sort: str = "year", descending: bool = True, page: int = 1, size: int = 20, **filters
-) -> tuple[DataFrame, DataFrame]:
-    """(the page with rank and score, one row with the total of matches)."""
-    ranked = with_bm25(papers, query) if eligible(query) else papers.withColumn("bm25", F.lit(0.0))
-    found = ranked.filter(token_match(query, field) & P.search_filter(**filters)).withColumn("score", relevance(query, field))
+    papers: DataFrame, query: str = "", field: str = "title", sort: str = "year", descending: bool = True, page: int = 1, size: int = 20,
+    index: GramIndex | None = None, **filters,
+) -> tuple[DataFrame, DataFrame]:
+    """(the page with rank and score, one row with the total of matches). With an index (S8) candidates and BM25
+    come from its postings; without one the table itself is counted for BM25, and only where a page is asked for."""
+    matches = token_match(query, field) & P.search_filter(**filters)
+    author = filters.get("author") or ""
+    rows = papers
+    if index is not None and (ids := gram_candidates(index.postings, query, field, author)) is not None:
+        rows = papers.join(ids, "id", "left_semi")
+    found = rows.filter(matches)
+    if not eligible(query):
+        ranked = found.withColumn("bm25", F.lit(0.0))
+    elif index is None:
+        ranked = with_bm25(found, query, field, author, corpus=papers)
+    else:
+        ranked = found.join(bm25_of_index(index, query, field, author), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    ranked = ranked.withColumn("score", relevance(query, field))
     keys = order_keys(query, sort, descending)
-    rows = found.orderBy(*keys).offset((page - 1) * size).limit(size)
+    top = ranked.orderBy(*keys).offset((page - 1) * size).limit(size)
     # numbered after the limit, so the single task holds one page
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)) + (page - 1) * size
-    return rows.withColumn("rank", rank), found.agg(F.count("*").alias("total"))
+    return top.withColumn("rank", rank), found.agg(F.count("*").alias("total"))
 
 
 def sorted_results(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
@@ -67,30 +82,72 @@ def union_legs(legs: list[DataFrame], cap: int = 5000) -> tuple[DataFrame, DataF
 
 
 def eligible(query: str) -> list[str]:
-    """Words of a query that trigrams can find."""
-    return [w for w in dict.fromkeys(C.tokens(query)) if len(w) >= 3 and query.strip() != "#"]
+    """Words of a query that trigrams can find, repeats included."""
+    return [w for w in C.tokens(query) if len(w) >= 3 and query.strip() != "#"]
 
 
 def grams_of(word: str) -> list[str]:
     return sorted({word[i : i + 3] for i in range(len(word) - 2)})
 
 
+class GramIndex(NamedTuple):
+    """postings(gram, field, id, positions), and one row (n, total) with the numbers of papers and of trigrams;
+    lengths(id, size) has the trigrams of each paper."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    totals: DataFrame
+
+
+def index_text(c: Column) -> Column:
+    """What is indexed of a field: white space collapsed, lower case, hyphens as spaces (which then are not collapsed)."""
+    return F.translate(F.lower(F.trim(F.regexp_replace(C.text(c), r"\s+", " "))), "-", " ")
+
+
+def gram_count(c: Column) -> Column:
+    return F.greatest(F.length(c) - 2, F.lit(0))
+
+
 def build_gram_index(papers: DataFrame) -> DataFrame:
-    """Distinct (gram, field, id) of trigrams of the normalised title, abstract and authors; write it by range of gram."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    fields = F.array(*(F.struct(F.lit(c).alias("field"), C.normalise_text(F.col(c)).alias("text")) for c in WEIGHTS))
-    each = papers.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.explode(F.array_distinct(grams(F.col("f.text")))).alias("gram"))
-    return each.filter(F.length("gram") == 3).select("gram", "field", "id")
+    """(gram, field, id, positions) of the trigrams of the indexed title, abstract and authors."""
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), index_text(F.col(c)).alias("text")) for c in WEIGHTS))
+    each = papers.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.text")
+    n = gram_count(F.col("text"))
+    at = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.substring("text", i, F.lit(3)).alias("gram"), i.cast("int").alias("at")))
+    # one paper's field is one row: its grams are put together without a shuffle of single positions
+    each = each.filter(n > 0).select("id", "field", F.explode(at).alias("g")).select("id", "field", "g.gram", "g.at")
+    return each.groupBy("gram", "field", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+
+
+def gram_index(papers: DataFrame) -> GramIndex:
+    lengths = papers.select("id", reduce(add, (gram_count(index_text(F.col(c))) for c in WEIGHTS)).cast("long").alias("size"))
+    return GramIndex(build_gram_index(papers), lengths, lengths.agg(F.count("*").alias("n"), F.sum("size").alias("total")))
+
+
+def write_gram_index(papers: DataFrame, path: str) -> None:
+    """Write the index; postings by range of (gram, field, id), so that a query reads the row groups of its grams and no
+    file holds all of a gram that every paper has."""
+    index = gram_index(papers)
+    index.lengths.write.parquet(f"{path}/lengths")
+    keys = ["gram", "field", "id"]
+    index.postings.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{path}/postings")
+    lengths = papers.sparkSession.read.schema(index.lengths.schema).parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").alias("n"), F.sum("size").alias("total")).write.parquet(f"{path}/totals")
+
+
+def read_gram_index(spark: SparkSession, path: str) -> GramIndex:
+    kinds = {"postings": "gram string, field string, id string, positions array<int>", "lengths": "id string, size long", "totals": "n long, total long"}
+    return GramIndex(*(spark.read.schema(kinds[k]).parquet(f"{path}/{k}") for k in GramIndex._fields))
 
 
 def gram_candidates(postings: DataFrame, query: str = "", field: str = "title", author: str = "") -> DataFrame | None:
     """Ids in which one and the same enabled field holds all grams of every word of 3 characters or more. The author
     filter holds if any of its words does, so it narrows only if all of them are long enough. None if nothing narrows."""
     ids = None
-    if words := eligible(query):
+    if words := dict.fromkeys(eligible(query)):
         grams = sorted({g for w in words for g in grams_of(w)})
         some = postings.filter(F.col("gram").isin(grams) & F.col("field").isin(FIELDS[field]))  # reaches the range-clustered files
-        found = some.groupBy("id", "field").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
+        found = some.groupBy("id", "field").agg(F.count("gram").alias("n")).filter(F.col("n") == len(grams))  # a row for each gram
         ids = found.select("id").distinct()
     names = list(dict.fromkeys(C.tokens(author)))
     if names and all(len(w) >= 3 for w in names):
@@ -108,29 +165,97 @@ def narrowed_search(papers: DataFrame, postings: DataFrame, query: str, field: s
     return rows.filter(token_match(query, field) & P.search_filter(author=author))
 
 
-def with_bm25(papers: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """papers and their bm25 (S10), to six decimals: over words of title, authors and abstract, weighted 3, 2 and 1, with
-    exact document frequencies of the whole table."""
-    words = list(dict.fromkeys(C.tokens(query)))
-    split = lambda c: F.filter(F.split(F.lower(C.text(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    size = reduce(add, (F.size(split(c)) for c in WEIGHTS))
-    times = lambda w: reduce(add, (F.size(F.filter(split(c), lambda x: x == w)) * float(v) for c, v in WEIGHTS.items()))
-    names = [f"_t{i}" for i in range(len(words))]
-    rows = papers.withColumns({"_size": size, **{n: times(w) for n, w in zip(names, words, strict=True)}})
-    stats = rows.agg(F.count("*").alias("_n"), F.avg("_size").alias("_mean"), *(F.count_if(F.col(n) > 0).alias(f"{n}_d") for n in names))
+def phrases(query: str, field: str, author: str = "") -> list[tuple[str, str, bool]]:
+    """(column, word, whether it is of the author filter) of each phrase that BM25 counts. The filter takes part if all
+    of its words are long enough."""
+    names = C.tokens(author)
+    own = [(c, w, False) for c in FIELDS[field] for w in eligible(query)]
+    return own + [("authors_text", w, True) for w in names if all(len(x) >= 3 for x in names)]
+
+
+def occurrences(text: Column, word: str) -> Column:
+    """How often the word stands in a text, inside words and overlapping itself too."""
+    quoted = re.sub(r"(\W)", r"\\\1", word)
+    return F.regexp_count(text, F.lit(f"(?={quoted})"))
+
+
+def phrase_score(hits: Column, weight: int, rows_with: Column, size: Column, n: Column, total: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """BM25 of one phrase; hits are weighted by their column, a phrase that most rows have still counts a little."""
+    idf = F.log((n - rows_with + 0.5) / (rows_with + 0.5))
+    often = hits * float(weight)
+    return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * often * (k1 + 1) / (often + k1 * (1 - b + b * size * n / total))
+
+
+def summed(parts: list[tuple[str, bool, Column, Column]]) -> Column:
+    """Sum of (column, of the author filter, hits, score): the query's phrases of a column count where all are there."""
+    whole = {c: P.all_true(h > 0 for d, a, h, _ in parts if d == c and not a) for c in {c for c, a, _, _ in parts if not a}}
+    each = [F.when((h > 0) if a else whole[c], score).otherwise(0.0) for c, a, h, score in parts]
+    return F.round(reduce(add, each, F.lit(0.0)), 12)
+
+
+def with_bm25(papers: DataFrame, query: str, field: str = "title", author: str = "", corpus: DataFrame | None = None) -> DataFrame:
+    """papers and their bm25 (S10), counted in the texts themselves: over substring phrases of the enabled columns,
+    weighted 3, 2 and 1, with document frequencies and lengths of the whole corpus (default: papers)."""
+    wanted = phrases(query, field, author)
+    if not wanted:
+        return papers.withColumn("bm25", F.lit(0.0))
+    corpus = papers if corpus is None else corpus
+    texts = {c: index_text(F.col(c)) for c in WEIGHTS}
+    keys = list(dict.fromkeys((c, w) for c, w, _ in wanted))
+    plain = corpus.select(*(t.alias(c) for c, t in texts.items()))
+    stats = plain.agg(
+        F.count("*").alias("_n"), F.sum(reduce(add, (gram_count(F.col(c)) for c in texts))).alias("_total"),
+        *(F.count_if(F.col(c).contains(w)).alias(f"_d{i}") for i, (c, w) in enumerate(keys)),
+    )
+    size = reduce(add, (gram_count(t) for t in texts.values()))
+    rows = papers.withColumns({"_size": size, **{f"_h{i}": occurrences(texts[c], w) for i, (c, w) in enumerate(keys)}})
     both = rows.crossJoin(F.broadcast(stats))  # one row of totals
-
-    def part(name: str) -> Column:
-        t, d = F.col(name), F.col(f"{name}_d")
-        idf = F.greatest(F.log((F.col("_n") - d + 0.5) / (d + 0.5)), F.lit(1e-6))
-        return idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("_size") / F.greatest("_mean", F.lit(1.0))))
-
-    return both.select(*papers.columns, F.round(reduce(add, map(part, names), F.lit(0.0)), 6).alias("bm25"))
-
-
-def bm25(papers: DataFrame, query: str) -> DataFrame:
-    """(id, bm25) of the papers that hold a word of the query."""
-    return with_bm25(papers.select("id", *WEIGHTS), query).select("id", "bm25").filter("bm25 > 0")
+    parts = []
+    for c, w, a in wanted:
+        i = keys.index((c, w))
+        score = phrase_score(F.col(f"_h{i}"), WEIGHTS[c], F.col(f"_d{i}"), F.col("_size"), F.col("_n"), F.col("_total"))
+        parts.append((c, a, F.col(f"_h{i}"), score))
+    return both.select(*papers.columns, summed(parts).alias("bm25"))
+
+
+def phrase_hits(postings: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """(id, field, h0, h1, ...): how often the word of each (field, word) stands in the field, from the positions of its
+    trigrams; only rows of a field that holds a trigram of its words."""
+    grams = sorted({g for _, w in keys for g in grams_of(w)})
+    fields = sorted({c for c, _ in keys})
+    some = postings.filter(F.col("gram").isin(grams) & F.col("field").isin(fields))
+    held = some.groupBy("id", "field").agg(*(F.first(F.when(F.col("gram") == g, F.col("positions")), ignorenulls=True).alias(f"g{i}") for i, g in enumerate(grams)))
+
+    def hits(c: str, w: str) -> Column:
+        shifted = lambda g, by: F.transform(f"g{grams.index(g)}", lambda p: p - by)
+        starts = [shifted(w[j : j + 3], j) for j in range(len(w) - 2)]
+        return F.when(F.col("field") == c, F.coalesce(F.size(reduce(F.array_intersect, starts)), F.lit(0))).otherwise(0)
+
+    # a missing trigram makes the intersection null, whose size is null or -1
+    return held.select("id", "field", *(F.greatest(hits(c, w), F.lit(0)).alias(f"h{i}") for i, (c, w) in enumerate(keys)))
+
+
+def bm25_of_index(index: GramIndex, query: str, field: str = "title", author: str = "") -> DataFrame:
+    """S10 from an index: (id, bm25) of the papers in which a phrase counts. It reads the postings of the query's own
+    trigrams, and the lengths of the papers that hold them."""
+    wanted = phrases(query, field, author)
+    keys = list(dict.fromkeys((c, w) for c, w, _ in wanted))
+    if not keys:
+        return index.lengths.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    hits = phrase_hits(index.postings, keys)
+    by_id = hits.groupBy("id").agg(*(F.sum(f"h{i}").alias(f"h{i}") for i in range(len(keys))))
+    stats = hits.agg(*(F.count_if(F.col(f"h{i}") > 0).alias(f"d{i}") for i in range(len(keys))))
+    both = by_id.join(index.lengths, "id").crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(index.totals))  # a row each
+    parts = []
+    for c, w, a in wanted:
+        i = keys.index((c, w))
+        parts.append((c, a, F.col(f"h{i}"), phrase_score(F.col(f"h{i}"), WEIGHTS[c], F.col(f"d{i}"), F.col("size"), F.col("n"), F.col("total"))))
+    return both.select("id", summed(parts).alias("bm25")).filter("bm25 > 0")
+
+
+def bm25(papers: DataFrame, query: str, field: str = "title", author: str = "") -> DataFrame:
+    """S10 without an index: (id, bm25) of the papers in which a phrase counts."""
+    return with_bm25(papers.select("id", *WEIGHTS), query, field, author).select("id", "bm25").filter("bm25 > 0")
 
 
 def get_by_ids(papers: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
