@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +11,30 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY_LEAST = 0.3
 
 
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether each row of docs is another row of a file: files without more than filters and columns on top. A join,
+    union or explode can show one row of a file several times, and so can a folder that is named twice."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while not plan.children().isEmpty():
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation" or not hasattr(plan.relation(), "location"):
+        return False
+    roots = plan.relation().location().rootPaths()
+    roots = [roots.apply(i).toString() for i in range(roots.size())]
+    return not any(x == y or x.startswith(y.rstrip("/") + "/") for i, x in enumerate(roots) for j, y in enumerate(roots) if i != j)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a unique number of each row, from 0 on, the same whenever a row is read.
 
     Where docs are files, as between stages, it is made of the file's number and the row's place in the file; other
-    tables are stored with their numbers.
+    tables (joins, unions, exploded rows) are stored with their numbers.
     """
-    try:
-        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    except AnalysisException:  # no files
+    if not plain_scan(docs):
         return shared.stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     names = placed.select("file").distinct()
     files = shared.stored(names.withColumn("no", F.row_number().over(Window.orderBy("file")).cast("long")), "pipeline-files")  # a row for each file
     files = F.broadcast(files) if files.count() <= 100_000 else files
