@@ -69,3 +69,27 @@ def test_numbers_of_rows_in_files(spark, tmp_path):
     assert {r["row"] for r in numbered.filter("text = 'twin'").select("row").collect()} == {n for n, t in first if t == "twin"}
     out = kept(corpus_pipeline.drop_copies(spark, d, str(tmp_path)))
     assert [(i, t.lower()) for i, t in out] == [(3, "copy"), (3, "third"), (None, "other"), (None, "twin")]
+
+
+def test_numbers_of_derived_rows(spark, tmp_path):
+    """Exploded, joined and united rows, and files read twice, are rows of their own; of copies one stays."""
+    documents(spark, [(i, f"text {i // 2}", "en") for i in range(40)]).repartition(3).write.parquet(f"{tmp_path}/docs")
+    d = spark.read.parquet(f"{tmp_path}/docs")
+    two = spark.createDataFrame([("a",), ("b",)], "x string")
+    columns = corpus_pipeline.COLUMNS
+    derived = {
+        "explode": d.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))),
+        "join": d.join(two, F.lit(True)),
+        "union": d.unionByName(d),
+        "cached": d.unionByName(d).cache(),
+        "twice": spark.read.parquet(f"{tmp_path}/docs", f"{tmp_path}/docs"),
+        "filter": d.filter("doc_id >= 0").select(*reversed(columns), F.lit(1).alias("more")),
+    }
+    for name, rows in derived.items():
+        n = rows.count()
+        numbers = corpus_pipeline.numbered(rows).select("row").collect()
+        assert len(numbers) == n and len({r["row"] for r in numbers}) == n, name
+        out = kept(corpus_pipeline.drop_copies(spark, rows, str(tmp_path)))
+        assert sorted(i for i, _ in out) == [*range(1, 40, 2)], name
+    assert corpus_pipeline.plain_scan(d) and corpus_pipeline.plain_scan(derived["filter"])
+    assert not any(corpus_pipeline.plain_scan(derived[x]) for x in ("explode", "join", "union", "cached", "twice"))
