@@ -33,7 +33,7 @@ def materialise_papers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merged(*order: str) -> list[Column]:
     """D1 as aggregates: title and url of the first row, longest abstract and author list (the earlier wins ties), first
     real code link, else the first non-empty code, else '#'. A group of one row is left as it is. Rows come in the order of
-    the given columns (seq, if none is)."""
+    the given columns (seq, if none is; without it the first place of all of them is the group's seq)."""
     order = order or ("seq",)
     o = F.struct(*order)
     alone = F.count("*") == 1
@@ -48,7 +48,7 @@ def merged(*order: str) -> list[Column]:
         F.when(alone, one("paper_abstract")).otherwise(longest(abstract, F.length(abstract))).alias("paper_abstract"),
         F.when(alone, one("paper_authors")).otherwise(longest(authors, F.size(authors))).alias("paper_authors"),
         F.when(alone, one("paper_code")).otherwise(best).alias("paper_code"),
-        F.min(o)["seq"].alias("seq"),
+        (F.min(o)["seq"] if "seq" in order else F.min(o)).alias("seq"),
         F.count("*").alias("merged_rows"),
     ]
 

@@ -445,6 +445,25 @@ def i13_records(spark, sf):
     return PG.listing_records(entries, tags, details).select("conf", "paper_name", "paper_url", "paper_abstract", "paper_code")
 
 
+@query("i13_entries_by_element", """select url as page, regexp_replace(trim(x.name), '\\s*\\.$', '') as paper_name, regexp_extract(url, '^https?://[^/]+') || x.href as paper_url, i - 1 as pos
+  from (select url, unnest(list_transform(range(1, len(names) + 1), lambda k: {'href': hrefs[k], 'name': names[k]})) as x, unnest(range(1, len(names) + 1)) as i
+  from (select url, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) as hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) as names from pages))
+  where trim(x.name) not in ('', '.')""", over="")
+def i13_elements(spark, sf):
+    """The menu of every page as a listing: entries, titles and addresses each by a selector."""
+    p = adapters.table(spark, sf, "pages").withColumn("conf", F.lit("ACL2020")).withColumnRenamed("page_id", "seq")
+    rules = p.select(C.canonical_host(F.col("url")).alias("host")).distinct().select("host", F.lit("nav > ul > li").alias("entry"), F.lit("a").alias("title"), F.lit("> a @href").alias("link"))
+    return PG.extract_listing(p, rules).select("page", "paper_name", "paper_url", F.col("pos").cast("long").alias("pos"))
+
+
+@query("i7_page_titles", """select url, case when length(t) >= 60 then t end as abstract, length(t) >= 60 as ok from (
+  select url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) as t from pages)""", over="")
+def i7_titles(spark, sf):
+    """Titles of 60 characters or more, by a path of tags, of all pages."""
+    rules = spark.createDataFrame([("*", ["html > head > title"])], "host string, selectors array<string>")
+    return PG.extract_pages(adapters.table(spark, sf, "pages"), rules).select("url", "abstract", "ok")
+
+
 @query("l8_ledger_stream", "select url, status, seq from state", over="ledger")
 def l8(spark, sf):
     """The ledger written as two event files, then folded by the stream."""

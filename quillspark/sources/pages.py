@@ -4,104 +4,60 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import predicates as P
 from ..operators.merge import FIELDS, merged
+from . import html
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SKIPPED = {"script", "style", "noscript", "template"}
 MIN_CHARS = 60
 MOST_BROADCAST = 10_000  # rules
 
 
-class Blocks(HTMLParser):
-    """Texts and attributes of a page's elements, flat: (tag, id and classes, text, href of the first link), and metas."""
-
-    def __init__(self, page: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.done: list[tuple[str, set[str], str, str]] = []
-        self.metas: dict[str, str] = {}
-        self.stack: list[list] = []
-        try:
-            self.feed(page)
-            self.close()
-        except (AssertionError, ValueError):  # a broken declaration: what was read so far counts
-            pass
-        while self.stack:
-            self.leave()
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        own = {k: v or "" for k, v in attrs}
-        if tag == "meta":
-            self.metas.setdefault((own.get("name") or own.get("property") or "").lower(), own.get("content", ""))
-        if tag == "a" and "href" in own:
-            for x in self.stack:
-                x[3] = x[3] or own["href"]
-        if tag not in VOID:
-            names = {*own.get("class", "").split(), *({"#" + own["id"]} if own.get("id") else ())}
-            self.stack.append([tag, names, [], own.get("href", "") if tag == "a" else ""])
-
-    def leave(self) -> None:
-        tag, names, text, href = self.stack.pop()
-        self.done.append((tag, names, re.sub(r"\s+", " ", "".join(text)).strip(), href))
-
-    def handle_endtag(self, tag: str) -> None:
-        if any(x[0] == tag for x in self.stack):
-            while self.stack[-1][0] != tag:
-                self.leave()
-            self.leave()
-
-    def handle_data(self, data: str) -> None:
-        if not any(x[0] in SKIPPED for x in self.stack):
-            for x in self.stack:
-                x[2].append(data)
-
-
-def pick(page: Blocks, selector: str) -> list[tuple[str, str]]:
-    """(text, href) of the elements of a selector: tag, .class, #id, tag.class, or meta:name."""
-    if selector.startswith("meta:"):
-        found = page.metas.get(selector[5:].lower())
-        return [(found, "")] if found else []
-    tag, _, name = selector.replace("#", ".#").partition(".")
-    return [(text, href) for t, names, text, href in page.done if (not tag or t == tag) and (not name or name in names)]
-
-
 def dimension(rules: DataFrame) -> DataFrame:
     """All rules; marked for broadcast where they are counted to be few, else joined as Spark chooses."""
     few = rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     return F.broadcast(rules) if few else rules
 
 
+def optional(df: DataFrame, name: str, kind: str) -> Column:
+    """The column of a table of rules, null where it has none."""
+    return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
 def extract_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, host, abstract, ok, reason) per page. rules: host, selectors (array, tried in order); host '*' is for
-    pages without a rule of their own. A leading label is stripped; texts under MIN_CHARS don't count. Reasons:
-    venue_index, no_rule, empty_abstract (a layout matched, its text was short), no_abstract_available."""
+    """(url, host, abstract, ok, reason) per page. rules: host, selectors (array, in order; sources/html.py has their
+    forms); host '*' is for pages without a rule of their own. The first text of MIN_CHARS or more counts, or with
+    `longest` the longest of all. A label Abstract (with `every_label` all of them) is taken off as an element; a word
+    that only begins so stays. Reasons: venue_index, no_rule, empty_abstract (a layout matched, its text was short),
+    no_abstract_available."""
     host = C.canonical_host(F.col("url"))
-    own = rules.filter("host <> '*'").select(F.col("host").alias("h"), "selectors")
-    rest = [r["selectors"] for r in rules.filter("host = '*'").limit(1).collect()]
-    spare = F.array(*map(F.lit, rest[0])) if rest else F.lit(None).cast("array<string>")
+    options = [optional(rules, "longest", "boolean").alias("longest"), optional(rules, "every_label", "boolean").alias("every_label")]
+    rules = rules.select("host", F.struct("selectors", *options).alias("rule"))
+    own = rules.filter("host <> '*'").select(F.col("host").alias("h"), F.col("rule").alias("own"))
+    spare = rules.filter("host = '*'").limit(1).select(F.col("rule").alias("spare"))
     j = pages.select("url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), C.classify_url(F.col("url")).alias("kind"))
-    j = j.join(dimension(own), F.col("host") == F.col("h"), "left").withColumn("selectors", F.coalesce("selectors", spare))
+    j = j.join(dimension(own), F.col("host") == F.col("h"), "left").join(F.broadcast(spare), F.lit(True), "left")  # one row at most
+    rule = F.coalesce("own", "spare")
+    j = j.select("url", "html", "host", "kind", rule["selectors"].alias("selectors"), *(F.coalesce(rule[c], F.lit(False)).alias(c) for c in ("longest", "every_label")))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for html, kind, selectors in zip(batch["html"], batch["kind"], batch["selectors"], strict=True):
-                if kind == "venue-index":
+            for r in batch.itertuples():
+                if r.kind == "venue-index":
                     out.append((None, "venue_index"))
-                elif selectors is None or not len(selectors):
+                elif r.selectors is None or not len(r.selectors):
                     out.append((None, "no_rule"))
                 else:
-                    page = Blocks(html)
-                    texts = [re.sub(r"(?i)^abstract\s*[:.—-]?\s*", "", t).strip() for s in selectors for t, _ in pick(page, s)]
-                    good = next((t for t in texts if len(t) >= MIN_CHARS), None)
-                    out.append((good, "") if good else (None, "empty_abstract" if texts else "no_abstract_available"))
+                    root = html.Page(r.html).root
+                    texts = [t for s in r.selectors for t in html.passages(root, s, r.every_label)]
+                    good = [t for t in texts if len(t) >= MIN_CHARS]
+                    best = max(good, key=len) if good and r.longest else next(iter(good), None)
+                    out.append((best, "") if best else (None, "empty_abstract" if texts else "no_abstract_available"))
             yield pd.DataFrame({"url": batch["url"], "host": batch["host"], "abstract": [a for a, _ in out], "reason": [r for _, r in out]})
 
     got = j.mapInPandas(parse, "url string, host string, abstract string, reason string")
@@ -112,11 +68,44 @@ def outcome_by_host(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy("host", "ok", "reason").agg(F.count("*").alias("n"))
 
 
+ENTRY = ("entry", "title", "link", "authors", "abstract", "separator")
+
+
+def entry_parts(root: html.Element, entry: html.Element, rule: dict) -> tuple[str, list[str], str, str]:
+    """(title, authors, address, abstract) of an entry; a rule without `title` has them in one text, parted by `separator`."""
+    link = next(iter(html.values(entry, rule["link"] or "a[href] @href")), "")
+    if not link and not rule["link"]:
+        link = entry.attrs.get("href", "")
+    if rule["title"]:
+        title = next((t for t in html.values(entry, rule["title"]) if t), "")
+        authors = html.values(entry, rule["authors"]) if rule["authors"] else []
+    else:
+        title, _, names = entry.text().partition(rule["separator"] or "\0")
+        title = re.sub(r"^(?:\d+\.|\[\d+\])\s+", "", title)  # the number of the entry
+        authors = names.split(",")
+    title = re.sub(r"\s*\.$", "", title.strip())
+    authors = [a for a in (re.sub(r"\s+", " ", re.sub(r"\d", "", a)).strip(" |") for a in authors) if a]
+    abstract = ""
+    if rule["abstract"]:
+        selector = rule["abstract"].replace("{key}", link.strip("/").replace(".", "--"))
+        abstract = next(iter(html.passages(root, selector)), "")
+    return title, authors, link, abstract
+
+
 def extract_listing(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """papers_raw rows (conf, paper_name, paper_authors, paper_url, page, pos) of stored listing pages(url, html,
-    conf). rules: host, entry, title, authors (selectors; entry holds one paper). Urls are made absolute; digits and a
-    closing period are stripped from titles."""
-    j = pages.select("url", "conf", F.coalesce("html", F.lit("")).alias("html"), C.canonical_host(F.col("url")).alias("host")).join(dimension(rules), "host")
+    """papers_raw rows (conf, paper_name, paper_authors, paper_url, paper_abstract, page, page_no, pos) of stored
+    listing pages(url, html, conf, and seq: their order, else that of the table).
+
+    rules: host, entry (a selector; each element holds one paper), and selectors inside an entry: title, link (with
+    @href), authors (one element or attribute each), abstract (in the whole page, {key} stands for the link with -- for
+    periods). A rule without title and authors takes them from the entry's text, parted by `separator`. Urls are made
+    absolute; a closing period goes from titles, digits go from names. Entries without title or with the address of a
+    volume are left out.
+    """
+    kept = rules.select("host", F.struct(*(optional(rules, c, "string").alias(c) for c in ENTRY)).alias("rule"))
+    number = F.col("seq").cast("long") if "seq" in pages.columns else F.monotonically_increasing_id()
+    j = pages.select("url", "conf", F.coalesce("html", F.lit("")).alias("html"), number.alias("page_no"), C.canonical_host(F.col("url")).alias("host"))
+    j = j.join(dimension(kept), "host").select("url", "conf", "html", "page_no", "rule.*")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import urljoin
@@ -124,25 +113,27 @@ def extract_listing(pages: DataFrame, rules: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                for pos, (text, href) in enumerate(pick(Blocks(r.html), r.entry)):
-                    title, _, names = text.partition(r.separator)
-                    title = re.sub(r"^[\d\s.]+|\.\s*$", "", title).strip()
-                    rows.append((r.conf, title, [a.strip() for a in names.split(",") if a.strip()], urljoin(r.url, href) if href else "", r.url, pos))
-            yield pd.DataFrame(rows, columns=["conf", "paper_name", "paper_authors", "paper_url", "page", "pos"])
+                rule = {c: getattr(r, c) or "" for c in ENTRY}
+                root = html.Page(r.html).root
+                for pos, x in enumerate(html.select(root, rule["entry"])):
+                    title, authors, link, abstract = entry_parts(root, x, rule)
+                    rows.append((r.conf, title, authors, urljoin(r.url, link) if link else "", abstract, r.url, r.page_no, pos))
+            yield pd.DataFrame(rows, columns=["conf", "paper_name", "paper_authors", "paper_url", "paper_abstract", "page", "page_no", "pos"])
 
-    out = j.mapInPandas(parse, "conf string, paper_name string, paper_authors array<string>, paper_url string, page string, pos int")
-    return out.filter((F.col("paper_name") != "") & (C.classify_url(F.col("paper_url")) != "venue-index"))
+    schema = "conf string, paper_name string, paper_authors array<string>, paper_url string, paper_abstract string, page string, page_no long, pos int"
+    return j.mapInPandas(parse, schema).filter((F.col("paper_name") != "") & (C.classify_url(F.col("paper_url")) != "venue-index"))
 
 
 def listing_records(entries: DataFrame, tags: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
-    """I13, the rest of it: papers_raw rows (with seq, the place in the listings) of extract_listing()'s entries.
+    """I13, the rest of it: papers_raw rows of extract_listing()'s entries, with seq, the first place in the listings, as a
+    struct (page_no, pos).
 
     tags(conf, tag): of a conf with tags only entries stay whose address ends in an id that one of its tags begins.
     details(url, doi, code, abstract): what an entry's own page says, which overrides its address (by the DOI), code and
     abstract. Entries of one conf and address are merged field by field, volumes and front matter dropped.
     """
     url = C.normalise_url(F.col("paper_url"))
-    e = entries.withColumn("u", url).withColumn("paper_abstract", F.lit("")).withColumn("paper_code", F.lit("#"))
+    e = entries.withColumn("u", url).withColumn("paper_abstract", F.coalesce(optional(entries, "paper_abstract", "string"), F.lit(""))).withColumn("paper_code", F.lit("#"))
     if tags is not None:
         own = tags.groupBy("conf").agg(F.collect_set("tag").alias("tags"))
         last = F.lower(F.regexp_extract("u", "([^/]+)$", 1))
@@ -152,8 +143,6 @@ def listing_records(entries: DataFrame, tags: DataFrame | None = None, details:
         d = d.groupBy("u").agg(*(F.max(F.nullif(F.trim(c), F.lit(""))).alias(c) for c in ("doi", "code", "abstract")))
         e = e.join(d, "u", "left").withColumn("paper_url", F.coalesce(F.concat(F.lit("https://doi.org/"), "doi"), "paper_url"))
         e = e.withColumn("paper_abstract", F.coalesce("abstract", "paper_abstract")).withColumn("paper_code", F.coalesce("code", "paper_code"))
-    # pages in the order of a hash of their address: one order, whatever the partitions
-    e = e.withColumn("page_no", F.shiftright(F.xxhash64("page"), 24)).withColumn("seq", (F.col("page_no") % (1 << 38)) * (1 << 24) + F.col("pos"))
-    key = F.coalesce(F.nullif(C.normalise_url(F.col("paper_url")), F.lit("")), F.concat_ws("|", F.lit("row"), "page", F.col("pos").cast("string")))
-    out = e.withColumn("k", key).groupBy("conf", "k").agg(*merged())
+    key = F.coalesce(F.nullif(C.normalise_url(F.col("paper_url")), F.lit("")), F.concat_ws("|", F.lit("row"), F.col("page_no").cast("string"), F.col("pos").cast("string")))
+    out = e.withColumn("k", key).groupBy("conf", "k").agg(*merged("page_no", "pos"))
     return P.drop_on_collect(out.select("conf", *FIELDS, "seq"))

@@ -347,7 +347,7 @@ def test_audit_and_revert(spark):
 def test_listing_records(spark):
     rows = [("ACL2020", "On trees", ["Ann Lee"], "https://aclanthology.org/2020.acl-main.1/", "p1", 0), ("ACL2020", "On trees", ["Ann Lee", "Bo Xu"], "https://www.aclanthology.org/2020.acl-main.1", "p1", 1),
             ("ACL2020", "Preface", [], "https://aclanthology.org/2020.acl-main.9", "p1", 2), ("ACL2020", "Of a workshop", [], "https://aclanthology.org/2020.ws-1.4", "p1", 3), ("KDD2020", "No tag", [], "https://k.org/1", "p2", 0)]
-    entries = spark.createDataFrame(rows, "conf string, paper_name string, paper_authors array<string>, paper_url string, page string, pos int")
+    entries = spark.createDataFrame(rows, "conf string, paper_name string, paper_authors array<string>, paper_url string, page string, pos int").withColumn("page_no", F.lit(0).cast("long"))
     tags = spark.createDataFrame([("ACL2020", "2020.acl-main")], "conf string, tag string")
     details = spark.createDataFrame([("https://k.org/1", "10.1/k", "https://github.com/a/b", " Text. "), ("https://k.org/2", "", None, None)], "url string, doi string, code string, abstract string")
     out = {r["paper_name"]: r for r in pages.listing_records(entries, tags, details).collect()}
