@@ -30,10 +30,10 @@ def materialise_papers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return papers, counts
 
 
-def merged(*order: str) -> list[Column]:
-    """D1 as aggregates: title and url of the first row, longest abstract and author list (the earlier wins ties), first
-    real code link, else the first non-empty code, else '#'. A group of one row is left as it is. Rows come in the order of
-    the given columns (seq, if none is; without it the first place of all of them is the group's seq)."""
+def merged_columns(*order: str) -> dict[str, Column]:
+    """D1 as aggregates by name: title and url of the first row, longest abstract and author list (the earlier wins ties),
+    first real code link, else the first non-empty code, else '#'. A group of one row is left as it is. Rows come in the
+    order of the given columns (seq, if none is; without it the first place of all of them is the group's seq)."""
     order = order or ("seq",)
     o = F.struct(*order)
     alone = F.count("*") == 1
@@ -42,15 +42,42 @@ def merged(*order: str) -> list[Column]:
     authors = F.coalesce("paper_authors", F.array().cast("array<string>"))
     best = F.coalesce(F.min_by(code, F.when(P.has_code(F.col("paper_code")), o)), F.min_by(code, F.when(code != "", o)), F.lit("#"))
     one = lambda c: F.min_by(c, o)
-    return [
-        one("paper_name").alias("paper_name"),
-        one("paper_url").alias("paper_url"),
-        F.when(alone, one("paper_abstract")).otherwise(longest(abstract, F.length(abstract))).alias("paper_abstract"),
-        F.when(alone, one("paper_authors")).otherwise(longest(authors, F.size(authors))).alias("paper_authors"),
-        F.when(alone, one("paper_code")).otherwise(best).alias("paper_code"),
-        (F.min(o)["seq"] if "seq" in order else F.min(o)).alias("seq"),
-        F.count("*").alias("merged_rows"),
-    ]
+    return {
+        "paper_name": one("paper_name"),
+        "paper_url": one("paper_url"),
+        "paper_abstract": F.when(alone, one("paper_abstract")).otherwise(longest(abstract, F.length(abstract))),
+        "paper_authors": F.when(alone, one("paper_authors")).otherwise(longest(authors, F.size(authors))),
+        "paper_code": F.when(alone, one("paper_code")).otherwise(best),
+        "seq": F.min(o)["seq"] if "seq" in order else F.min(o),
+        "merged_rows": F.count("*"),
+    }
+
+
+def merged(*order: str) -> list[Column]:
+    """merged_columns() under their names."""
+    return [c.alias(name) for name, c in merged_columns(*order).items()]
+
+
+RUN = 100_000  # values of seq in a run
+
+
+def folds_before(rows: DataFrame, keys: list[str], sums: dict[str, Column], most: dict[str, Column], run: int = RUN) -> DataFrame:
+    """rows and, under the names of `sums` and `most`, the sum or maximum of a column over the rows of the same key with a
+    smaller seq (0 or null where there are none).
+
+    A key's rows are parted into runs of seq, so that no task holds more than a run of them: each run is summed up
+    (both folds are associative), the sums are carried over the runs of the key, and inside a run rows are folded in
+    order. A run has at most `run` rows, as seq numbers the rows of a table.
+    """
+    folds = {n: (c, F.sum) for n, c in sums.items()} | {n: (c, F.max) for n, c in most.items()}
+    rows = rows.withColumn("_run", F.floor(F.col("seq") / run)).withColumns({f"_{n}": c for n, (c, _) in folds.items()})
+    whole = rows.groupBy(*keys, "_run").agg(*(f(f"_{n}").alias(f"_w_{n}") for n, (_, f) in folds.items()))
+    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each run
+    carried = whole.select(*keys, "_run", *(f(f"_w_{n}").over(before).alias(f"_c_{n}") for n, (_, f) in folds.items()))
+    inside = Window.partitionBy(*keys, "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumns({f"_o_{n}": f(f"_{n}").over(inside) for n, (_, f) in folds.items()}).join(carried, [*keys, "_run"])
+    both = {n: F.coalesce(f"_o_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)) if n in sums else F.greatest(f"_o_{n}", f"_c_{n}") for n in folds}
+    return own.withColumns(both).drop("_run", *(f"{x}{n}" for n in folds for x in ("_", "_o_", "_c_")))
 
 
 def merge_fields(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,13 +100,10 @@ def dedupe_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = df.withColumn("k", clean_key())
     keyed = rows.filter(F.trim(C.text("conf")) != "")
     kept = keyed.groupBy("conf", "k").agg(*merged()).select("conf", *FIELDS, "seq")
-    before = Window.partitionBy("conf", "k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     size, n = F.length(C.text("paper_abstract")), F.size(F.coalesce("paper_authors", F.array().cast("array<string>")))
-    real = P.has_code(F.col("paper_code")).cast("int")
-    seen = keyed.select(
-        F.count("*").over(before).alias("earlier"), size.alias("size"), F.max(size).over(before).alias("best"),
-        n.alias("n"), F.max(n).over(before).alias("most"), real.alias("real"), F.max(real).over(before).alias("had"),
-    ).filter("earlier > 0")
+    each = keyed.select("conf", "k", "seq", size.alias("size"), n.alias("n"), P.has_code(F.col("paper_code")).cast("int").alias("real"))
+    seen = folds_before(each, ["conf", "k"], {"earlier": F.lit(1)}, {"best": F.col("size"), "most": F.col("n"), "had": F.col("real")})
+    seen = seen.filter("earlier > 0")
     stats = seen.agg(
         F.count("*").alias("rows_saved"),
         F.count_if((F.col("best") == 0) & (F.col("size") > 0)).alias("abstract_rescued"),
@@ -123,9 +147,11 @@ def merge_official(records: DataFrame, official: DataFrame, mode: str = "cvf") -
     keyed = first.withColumn("t", C.title_key(F.col("paper_name"), mode))
     names = C.author_surnames(F.col("paper_authors"))
     allowed = C.is_ijcai_url(F.col("paper_url")) if mode == "ijcai" else F.lit(True)
-    unique = F.sum("official").over(Window.partitionBy("conf", "t")) == 1
+    # untitled rows merge by url alone, and so need not meet
+    same_title = Window.partitionBy("conf", F.when(F.col("t") != "", F.col("t")).otherwise(F.col("u")))
+    unique = F.sum("official").over(same_title) == 1
     keyed = keyed.withColumn("names", names if mode == "ijcai" else F.array().cast("array<string>")).withColumn("ok", unique & allowed & (F.col("t") != ""))
-    theirs = F.max_by("names", "official").over(Window.partitionBy("conf", "t"))
+    theirs = F.max_by("names", "official").over(same_title)
     fits = (F.size("names") == 0) | (F.size(theirs) == 0) | F.arrays_overlap("names", theirs)
     group = F.when(F.col("ok") & fits, F.concat(F.lit("t:"), F.col("t"))).otherwise(F.concat(F.lit("u:"), F.col("u")))
     keyed = keyed.withColumn("g", group)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .linkage import title_ratio
-from .merge import merged
+from .merge import merged_columns
 
 COLUMNS = ["conf", "paper_name", "paper_url", "paper_abstract", "paper_authors", "paper_code", "seq"]
 
@@ -31,8 +31,10 @@ def repair_urls(papers: DataFrame, accepted: DataFrame) -> tuple[DataFrame, Data
     fill = F.col("new_url").isNotNull() & (F.trim(C.text("paper_abstract")) == "") & (F.trim(C.text("found")) != "")
     held = p.select("conf", F.col("paper_url").alias("new_url")).filter("new_url is not null").distinct().withColumn("exists", F.lit(True))
     moved = j.filter("new_url is not null").join(held, ["conf", "new_url"], "left")
-    first = F.row_number().over(Window.partitionBy("conf", "new_url").orderBy("seq")) == 1
-    moved = moved.withColumn("action", F.when(F.col("exists").isNotNull() | ~first, "merge").otherwise("rewrite"))
+    # the first row of each new url, as an aggregate: no task numbers the rows of a url that many share
+    first = moved.groupBy("conf", "new_url").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("first"))
+    moved = moved.join(first, "seq", "left")
+    moved = moved.withColumn("action", F.when(F.col("exists").isNotNull() | F.col("first").isNull(), "merge").otherwise("rewrite"))
     log = moved.select(
         "conf", F.col("paper_url").alias("old_url"), "new_url", "action", fill.alias("abstract_filled"), "source",
         *(F.when(F.col("action") == "merge", F.col(c)).alias(f"old_{c[6:]}") for c in ("paper_name", "paper_authors", "paper_abstract", "paper_code")), "seq",
@@ -42,7 +44,7 @@ def repair_urls(papers: DataFrame, accepted: DataFrame) -> tuple[DataFrame, Data
     target = moved.select("conf", F.col("new_url").alias("paper_url")).distinct()
     same = changed.join(target, ["conf", "paper_url"], "left_semi")
     same = same.withColumn("late", F.col("moved").cast("int"))  # rows that were there come first
-    one = same.groupBy("conf", "paper_url").agg(*(c for c in merged("late", "seq") if "AS paper_url" not in str(c)))
+    one = same.groupBy("conf", "paper_url").agg(*(c.alias(k) for k, c in merged_columns("late", "seq").items() if k != "paper_url"))
     out = one.select(*COLUMNS).unionByName(changed.join(target, ["conf", "paper_url"], "left_anti").select(*COLUMNS))
     return out, log
 

@@ -231,6 +231,12 @@ def a9(spark, sf):
     return A.series_summary(raw(spark, sf).select(F.col("conf").alias("name")).distinct())
 
 
+@query("a9_series_totals", f"""select field, count(*) as series, sum(editions)::bigint as editions from (select coalesce(f, '{A.OTHER}') as field, s as series, count(distinct y) as editions
+  from (select regexp_extract(conf, '^([A-Za-z]+)', 1) as s, cast(regexp_extract(conf, '([0-9]{{4}})', 1) as int) as y from raw) left join ({_FIELDS}) d on s = d.v group by 1, 2) group by rollup (field)""", over="raw")
+def a9_totals(spark, sf):
+    return A.series_totals(raw(spark, sf).select(F.col("conf").alias("name")).distinct())
+
+
 @query("a10_top_series", "select conf, count(*) as n from papers group by conf order by n desc, conf limit 10")
 def a10(spark, sf):
     return A.top_series(papers(spark, sf), 10)
