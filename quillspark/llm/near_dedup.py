@@ -27,6 +27,7 @@ TOKENS = 64  # minwise tokens of a set
 FACTORS = np.random.default_rng(17).integers(1, 2**62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MARGIN = 0.25  # sketches may fall short of the threshold by this much (5 deviations or more at 64 tokens and 0.8)
 SHARE = 500  # classes of a large node that one task holds against its heads, about
+HOT_ROWS, MOST_HOT = 100_000, 50_000  # rows of one set that are very many, and how many sets can have so many
 CLUSTER = 2048  # classes of a candidate cluster that one task compares; larger ones go by pairs of blocks
 
 
@@ -64,26 +65,42 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(sign, "id long, row long, key long, check long, n long, tokens binary, sketch binary")
 
 
-def children(path: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Path of the child that every row goes to from its node: its own token, at a place that the node's path chooses."""
-    at = (hashing.mix(path) % np.uint64(TOKENS)).astype(np.int64)
+def unused(path: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The place that a node's path chooses among the TOKENS ones that no node above it has used (bits of `used`)."""
+    free = ((used[:, None] >> np.arange(TOKENS, dtype=np.uint64)) & np.uint64(1)) == 0
+    nth = (hashing.mix(path) % free.sum(1).astype(np.uint64)).astype(np.int64)
+    return (free.cumsum(1) > nth[:, None]).argmax(1)
+
+
+def children(path: np.ndarray, used: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(path of the child that every row goes to from its node, places used down to it): the row's own token, at a new
+    place that the node's path chooses."""
+    at = unused(path, used)
     token = tokens[np.arange(len(path)), at].astype(np.uint64)
-    return hashing.mix(path * FACTORS[1] + (at.astype(np.uint64) << np.uint64(32)) + token)
+    child = hashing.mix(path * FACTORS[1] + (at.astype(np.uint64) << np.uint64(32)) + token)
+    return child, used | (np.uint64(1) << at.astype(np.uint64))
+
+
+def roots(trees: int) -> list[tuple[int, int]]:
+    """(tree, place) of the roots: every tree begins at a place of its own, up to TOKENS trees."""
+    return [(t + 1, int(p)) for t, p in enumerate(np.resize(np.random.default_rng(29).permutation(TOKENS), trees))]
 
 
 def branched(rows: DataFrame, trees: int) -> DataFrame:
-    """path, key of the first level of every tree, of rows (key, tokens)."""
+    """path, used, key of the first level of every tree, of rows (key, tokens)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            for tree in range(1, trees + 1):
-                child = children(np.full(batch.num_rows, tree, np.uint64), tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("key")], ["path", "key"])
+            for tree, at in roots(trees):
+                root = np.uint64(tree) * FACTORS[1] + (np.uint64(at) << np.uint64(32))
+                child = hashing.mix(root + tokens[:, at].astype(np.uint64))
+                used = np.full(batch.num_rows, np.uint64(1) << np.uint64(at))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(used.view(np.int64)), batch.column("key")], ["path", "used", "key"])
 
-    return rows.mapInArrow(go, "path long, key long")
+    return rows.mapInArrow(go, "path long, used long, key long")
 
 
 def by_group(column: str, work: Callable[[pd.DataFrame], pd.DataFrame], rows: int = 20_000) -> Callable:
@@ -206,9 +223,9 @@ def apart(heads: np.ndarray, near: float) -> list[int]:
 
 
 def meet_heads(near: float, far: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For runs of rows (group, path, key, tokens, heads) of large nodes: one row for each, key, head (the nearest one, if
-    within `far`) and child (the path that the class goes on to); and once a group the pairs of heads that one class is
-    near to, as key and head.
+    """For runs of rows (group, path, used, key, tokens, heads) of large nodes: one row for each, key, head (the nearest
+    one, if within `far`) and child (the path that the class goes on to, with the places used down to it); and once a
+    group the pairs of heads that one class is near to, as key and head.
 
     A class within `near` of a head stays behind and has no child: by the triangle inequality whatever it is linked
     with lies within `far` of that head and is joined to it as well. So a crowd of near copies doesn't branch on and on.
@@ -217,7 +234,7 @@ def meet_heads(near: float, far: float) -> Callable[[pd.DataFrame], pd.DataFrame
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         group, keys = rows["group"].to_numpy(), rows["key"].to_numpy()
         tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32).reshape(-1, TOKENS)
-        child = children(rows["path"].to_numpy().view(np.uint64), tokens).view(np.int64)
+        child, used = (x.view(np.int64) for x in children(rows["path"].to_numpy().view(np.uint64), rows["used"].to_numpy().view(np.uint64), tokens))
         head, behind, pairs = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool), []
         joined = np.zeros(len(rows), bool)
         edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -237,6 +254,7 @@ def meet_heads(near: float, far: float) -> Callable[[pd.DataFrame], pd.DataFrame
             "key": np.concatenate([keys, both[0]]),
             "head": pd.Series(np.concatenate([head, both[1]])).astype("Int64").where(np.concatenate([joined, np.ones(both.shape[1], bool)])),
             "child": pd.Series(np.concatenate([child, np.zeros(both.shape[1], np.int64)])).astype("Int64").where(np.concatenate([~behind, np.zeros(both.shape[1], bool)])),
+            "used": np.concatenate([used, np.zeros(both.shape[1], np.int64)]),
         })
 
     return work
@@ -269,11 +287,11 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, limit: int, de
         picks = [F.min_by(F.struct("key", "tokens"), F.when(slice_ == i, F.xxhash64("key"))).alias(f"h{i}") for i in range(heads)]
         some = whole.groupBy("path").agg(F.first("size").alias("size"), *picks)
         some = some.select("path", F.array_compact(F.array(*(f"h{i}" for i in range(heads)))).alias("heads"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"))
-        met = whole.select("path", "salt", "key", "tokens").join(some, ["path", "salt"])
-        met = met.select(F.xxhash64("path", "salt").alias("group"), "path", "key", "tokens", "heads").sortWithinPartitions("group")
-        met = shared.stored(met.mapInPandas(by_group("group", meet_heads(near, far), 2_000), "key long, head long, child long"), "near-met")
+        met = whole.select("path", "used", "salt", "key", "tokens").join(some, ["path", "salt"])
+        met = met.select(F.xxhash64("path", "salt").alias("group"), "path", "used", "key", "tokens", "heads").sortWithinPartitions("group")
+        met = shared.stored(met.mapInPandas(by_group("group", meet_heads(near, far), 2_000), "key long, head long, child long, used long"), "near-met")
         edges.append(met.filter("head <> key").select(F.col("key").alias("a"), F.col("head").alias("b")))
-        level = met.filter("child is not null").select(F.col("child").alias("path"), "key")
+        level = met.filter("child is not null").select(F.col("child").alias("path"), "used", "key")
     rows = sum(n for _, n in small)
     alike = functools.reduce(DataFrame.unionByName, (x for x, _ in small)).join(classes.select("key", "sketch"), "key").select("path", "key", "sketch")
     found = in_groups(alike, "path", shared.parts(spark, rows, 100_000), compare_nodes(percent / 100 - MARGIN), 20_000)
@@ -314,8 +332,9 @@ def near_dedup(
     kept. An empty table gives no rows; other columns are ignored.
     row_col names a column of unique numbers from 0 on: it comes back too, and of the rows that share the least id of a
     component only the one with the least number is kept.
-    Recall: a pair of similarity s meets in a tree of small nodes with chance s, so at 0.8 all 10 trees miss it with
-    1e-7; where it has to go on once or twice more inside large nodes, with 4e-5 and 8e-4 (at 0.85: 3e-6 and 7e-5).
+    Recall: a pair of similarity s meets in a tree of small nodes with chance s, and no two trees begin at one place, nor
+    does a path use one twice; so at 0.8 all 10 trees miss it with 1e-7; where it has to go on once or twice more inside
+    large nodes, with 4e-5 and 8e-4 (at 0.85: 6e-9, 3e-6 and 7e-5).
     Sets of more than `cluster` candidates are compared by pairs of blocks: exact, but each set goes to every block.
     """
     spark = docs.sparkSession
@@ -324,7 +343,8 @@ def near_dedup(
     signed = shared.stored(signatures(rows, words), "near-signatures")
     place = shared.place(F.col("id"), F.col("row"), 2**63)
     classes = signed.filter("key is not null").groupBy("key", "check").agg(
-        F.min("id").alias("id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")
+        F.min("id").alias("id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"),
+        F.count("*").alias("rows"),
     )
     # stored with a number of each class, which stands for it in the trees
     classes = shared.stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
@@ -342,10 +362,14 @@ def near_dedup(
     placed = sets.select("node", "root", "members", own.alias("own"), other.alias("other"))
     placed = placed.select(F.col("node").alias("key"), "members", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
     links = shared.stored(in_groups(placed, "group", shared.parts(spark, n, 5_000), confirm(percent), 2_000), "near-links")
-    label = classes.join(components(links), "node", "left").select("key", "check", "id", "place", F.coalesce("root", "node").alias("root"))
+    label = classes.join(components(links), "node", "left").select("key", "check", "rows", "id", "place", F.coalesce("root", "node").alias("root"))
     least = label.groupBy("root").agg(F.min("id").alias("component"), F.min("place").alias("first"))
-    label = label.join(least, "root").select("key", "check", "component", "first")
-    out = signed.select("id", "row", "key", "check", "n").join(label, ["key", "check"], "left")
+    label = shared.stored(label.join(least, "root").select("key", "check", "rows", "component", "first"), "near-labels")
+    # rows of one set find its label without a shuffle where they are very many: at most MOST_HOT sets are so large
+    hot = F.broadcast(label.filter(F.col("rows") > max(HOT_ROWS, -(-signed.count() // MOST_HOT))).drop("rows"))
+    rows = signed.select("id", "row", "key", "check", "n")
+    others = rows.join(hot.select("key", "check"), ["key", "check"], "left_anti").join(label.drop("rows"), ["key", "check"], "left")
+    out = rows.join(hot, ["key", "check"]).unionByName(others)
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -231,3 +231,31 @@ def test_a_large_group_of_unequal_near_copies(spark):
     out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(d, words=3, percent=85).collect()}
     assert all(out[1_000_000 + i] == 1_000_000 for i in range(5000))
     assert all(out[2 * i] == out[2 * i + 1] == 2 * i for i in range(100))
+
+
+# 10
+def test_places_are_drawn_without_replacement():
+    from quillspark.llm import near_dedup
+
+    assert len({p for _, p in near_dedup.roots(64)}) == 64 and near_dedup.roots(10) == near_dedup.roots(64)[:10]
+    rng = np.random.default_rng(30)
+    tokens = rng.integers(0, 2**32, (200, near_dedup.TOKENS), np.uint32)
+    path, used = rng.integers(1, 2**62, 200, np.uint64), np.ones(200, np.uint64)
+    for level in range(2, near_dedup.TOKENS + 1):
+        before = used
+        path, used = near_dedup.children(path, used, tokens)
+        assert (before & used == before).all() and all(int(u).bit_count() == level for u in used)
+
+
+def test_a_third_of_all_rows_of_one_set(spark, monkeypatch):
+    from quillspark.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(near_dedup, "MOST_HOT", 1000)
+    words = [f"w{i}" for i in range(40)]
+    near = [" ".join(words[:30]), " ".join([*words[:29], "other"])]
+    rows = [(i, near[0]) for i in range(100, 160)] + [(5, near[1])] + [(i, f"text number {i} has words of its own {i * 7}") for i in range(200, 300)] + [(1, ""), (2, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup.near_dedup(d, words=3).collect()}
+    assert len(out) == len(rows) and all(out[i] == (5, i == 5) for i in [5, *range(100, 160)])
+    assert all(out[i] == (i, True) for i in [*range(200, 300), 1, 2])
