@@ -226,33 +226,63 @@ def search_filter(confs: list[str] | None = None, since: int | None = None, unti
 
 
 # P9
-def match_saved_queries(papers: DataFrame, query_rows: DataFrame) -> DataFrame:
+def match_saved_queries(papers: DataFrame, query_rows: DataFrame, sample: int = 2000) -> DataFrame:
     """(query_id, hits): stored condition rows (query_id, leg, field, negate, value) counted over all papers at once.
 
-    A paper hits a query if it meets every row of one of its legs. The conditions are written by people and checked to be
-    at most MAX_CONDITIONS, so they travel as one array, of queries of legs; each paper is tested where it lies, gives one
-    row for each query that it hits, and those are counted before the exchange.
+    A paper hits a query if it meets every row of one of its legs. Legs are indexed: each is kept under one trigram of one
+    of its words, the one that the fewest of `sample` papers have (which papers these are decides only how many tests are
+    made). A paper is tested on the legs that its own trigrams name, and on the few without any word of three signs;
+    each leg is then checked in full where the paper lies. There are at most MAX_CONDITIONS rows, so the legs may be
+    broadcast.
     """
+    legs = indexed_legs(papers, query_rows, sample)
+    hits = candidate_legs(papers, legs).filter(F.forall("all", lambda c: condition_met(c)))
+    counts = hits.groupBy("query_id", "id").agg(F.lit(1)).groupBy("query_id").agg(F.count("*").alias("hits"))
+    return query_rows.select("query_id").distinct().join(counts, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def saved_texts(papers: DataFrame) -> DataFrame:
+    """id, year, texts (field -> lower-cased text) and whole (all four fields) of papers."""
+    fields = [F.lower(C.text(c)) for c in ("title", "abstract", "conf", "authors_text")]
+    texts = F.map_from_arrays(F.array(*map(F.lit, SAVED_FIELDS)), F.array(*fields))
+    return papers.select("id", F.col("year").cast("string").alias("year"), texts.alias("texts"), F.lower(F.concat_ws(" ", "title", "abstract", "authors_text", "conf")).alias("whole"))
+
+
+def condition_met(c: Column) -> Column:
+    own = F.when(c["field"] == "year", F.col("year") == c["value"]).otherwise(F.coalesce(F.try_element_at("texts", c["field"]), F.col("whole")).contains(c["value"]))
+    return F.coalesce(own, F.lit(False)) != c["negate"]
+
+
+def text_grams(c: Column) -> Column:
+    """Distinct trigrams of a text."""
+    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def indexed_legs(papers: DataFrame, query_rows: DataFrame, sample: int) -> DataFrame:
+    """query_id, leg, all (its conditions), gram (null: none of its conditions asks for three signs)."""
     if (n := query_rows.limit(MAX_CONDITIONS + 1).count()) > MAX_CONDITIONS:
         raise ValueError(f"over {n - 1} condition rows; split them into calls of {MAX_CONDITIONS}")
-    low = F.lower(F.col("value"))
-    condition = F.struct("field", F.coalesce("negate", F.lit(False)).alias("negate"), low.alias("value"))
+    condition = F.struct("field", F.coalesce("negate", F.lit(False)).alias("negate"), F.lower(F.col("value")).alias("value"))
     legs = query_rows.groupBy("query_id", "leg").agg(F.collect_list(condition).alias("all"))
-    queries = legs.groupBy("query_id").agg(F.collect_list("all").alias("legs")).agg(F.collect_list(F.struct("query_id", "legs")).alias("queries"))
-    texts = F.map_from_arrays(F.array(*map(F.lit, SAVED_FIELDS)), F.array(
-        F.lower(C.text("title")), F.lower(C.text("abstract")), F.lower(C.text("conf")), F.lower(C.text("authors_text")),
-    ))
-    whole = F.lower(F.concat_ws(" ", "title", "abstract", "authors_text", "conf"))
-    year = F.col("year").cast("string")
-    rows = papers.select(texts.alias("texts"), whole.alias("whole"), year.alias("year")).crossJoin(F.broadcast(queries))  # one row
-
-    def met(c: Column) -> Column:
-        own = F.when(c["field"] == "year", F.col("year") == c["value"]).otherwise(F.coalesce(F.try_element_at("texts", c["field"]), F.col("whole")).contains(c["value"]))
-        return F.coalesce(own, F.lit(False)) != c["negate"]
-
-    hit = F.filter("queries", lambda q: F.exists(q["legs"], lambda leg: F.forall(leg, met)))
-    counts = rows.select(F.explode(F.transform(hit, lambda q: q["query_id"])).alias("query_id")).groupBy("query_id").agg(F.count("*").alias("hits"))
-    return query_rows.select("query_id").distinct().join(counts, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+    asked = F.filter("all", lambda c: ~c["negate"] & (F.coalesce(c["field"], F.lit("")) != "year") & (F.length(c["value"]) >= 3))
+    grams = F.array_distinct(F.flatten(F.transform(asked, lambda c: text_grams(c["value"]))))
+    each = legs.select("query_id", "leg", F.explode(grams).alias("gram"))
+    seen = saved_texts(papers.limit(sample)).select(F.explode(text_grams(F.col("whole"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    rare = each.join(seen, "gram", "left").groupBy("query_id", "leg").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return legs.join(rare, ["query_id", "leg"], "left")
+
+
+def candidate_legs(papers: DataFrame, legs: DataFrame) -> DataFrame:
+    """The texts of each paper with each leg that it is tested on. A field's trigrams are trigrams of the whole text, as
+    that joins the fields."""
+    rows = saved_texts(papers)
+    few = F.broadcast(legs.select("gram", "query_id", "all"))  # at most MAX_CONDITIONS legs
+    named = legs.filter("gram is not null").agg(F.collect_set("gram").alias("known"))
+    own = rows.crossJoin(F.broadcast(named)).withColumn("gram", F.explode(F.array_intersect(text_grams(F.col("whole")), "known"))).drop("known")  # one row
+    by_gram = own.join(few.filter("gram is not null"), "gram").drop("gram")
+    always = F.broadcast(legs.filter("gram is null").agg(F.collect_list(F.struct("query_id", "all")).alias("rest")))  # one row
+    others = rows.crossJoin(always).select(*rows.columns, F.inline("rest"))
+    return by_gram.select(*rows.columns, "query_id", "all").unionByName(others)
 
 
 SAVED_FIELDS = ["title", "abstract", "conf", "author"]  # others are looked for in all four together

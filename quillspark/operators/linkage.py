@@ -100,13 +100,41 @@ def title_ratio(a: Column, b: Column) -> Column:
     return _ratio(C.plain_title_key(a), C.plain_title_key(b))
 
 
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def ratio_bound(x: Column, y: Column) -> Column:
+    """At least the ratio of two texts: what they can share is, sign by sign, no more than the rarer side has of it (signs
+    beyond SIGNS are counted together). 1 for two empty texts."""
+    shared = F.lit(0)
+    for c in SIGNS:
+        shared = shared + F.least(*(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for t in (x, y)))
+    rest = F.least(*(F.length(F.translate(t, SIGNS, "")) for t in (x, y)))
+    both = F.length(x) + F.length(y)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * (shared + rest) / both)
+
+
+def gate_parts(a: Column, b: Column, least: float) -> dict[str, Column]:
+    """The two keys, and which pairs of titles the gate settles by containment, leaves open by length, and after the bound
+    on shared signs."""
+    x, y = C.plain_title_key(a), C.plain_title_key(b)
+    named = (x != "") & (y != "")
+    cheap = named & (x.contains(y) | y.contains(x))
+    by_length = named & ~cheap & (2 * F.least(F.length(x), F.length(y)) >= least * (F.length(x) + F.length(y)))
+    return {"x": x, "y": y, "contained": cheap, "by_length": by_length, "open": by_length & (ratio_bound(x, y) >= least)}
+
+
 def title_gate(a: Column, b: Column, least: float) -> Column:
     """Equal, contained, or alike enough. The UDF sees only rows that the cheap tests leave open."""
-    x, y = C.plain_title_key(a), C.plain_title_key(b)
-    cheap = x.contains(y) | y.contains(x)
-    open_ = ~cheap & (2 * F.least(F.length(x), F.length(y)) >= least * (F.length(x) + F.length(y)))
-    ratio = _ratio(F.when(open_, x), F.when(open_, y))
-    return (x != "") & (y != "") & (cheap | (open_ & (ratio >= least)))
+    g = gate_parts(a, b, least)
+    ratio = _ratio(F.when(g["open"], g["x"]), F.when(g["open"], g["y"]))
+    return g["contained"] | (g["open"] & (ratio >= least))
+
+
+def gate_report(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """One row: pairs, and how many are contained, left open by length, and handed to the sequence matcher."""
+    g = gate_parts(F.col(a), F.col(b), least)
+    return pairs.agg(F.count("*").alias("pairs"), *(F.count_if(F.coalesce(g[k], F.lit(False))).alias(n) for k, n in (("contained", "contained"), ("by_length", "by_length"), ("open", "matched"))))
 
 
 def accept_candidates(papers: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
