@@ -226,17 +226,21 @@ def search_filter(confs: list[str] | None = None, since: int | None = None, unti
 
 
 # P9
-def match_saved_queries(papers: DataFrame, query_rows: DataFrame, sample: int = 2000) -> DataFrame:
+def match_saved_queries(papers: DataFrame, query_rows: DataFrame, sample: int = 2000, few: int = 64) -> DataFrame:
     """(query_id, hits): stored condition rows (query_id, leg, field, negate, value) counted over all papers at once.
 
     A paper hits a query if it meets every row of one of its legs. Legs are indexed: each is kept under one trigram of one
     of its words, the one that the fewest of `sample` papers have (which papers these are decides only how many tests are
-    made). A paper is tested on the legs that its own trigrams name, and on the few without any word of three signs;
-    each leg is then checked in full where the paper lies. There are at most MAX_CONDITIONS rows, so the legs may be
-    broadcast.
+    made). A paper is tested on the legs that its own trigrams name, and on those without any word of three signs; each
+    leg is then checked in full where the paper lies. Up to `few` conditions are all tried, as that is less than to cut a
+    paper into trigrams. There are at most MAX_CONDITIONS rows, so the legs may be broadcast.
     """
-    legs = indexed_legs(papers, query_rows, sample)
-    hits = candidate_legs(papers, legs).filter(F.forall("all", lambda c: condition_met(c)))
+    legs = indexed_legs(papers, query_rows, sample, few)
+    met = lambda conditions: F.forall(conditions, condition_met)
+    named = candidate_legs(papers, legs).filter(met("all")).select("query_id", "id")
+    rest = F.broadcast(legs.filter("gram is null").agg(F.collect_list(F.struct("query_id", "all")).alias("rest")))  # one row
+    others = saved_texts(papers).crossJoin(rest).select(F.explode(F.filter("rest", lambda q: met(q["all"]))["query_id"]).alias("query_id"), "id")
+    hits = named.unionByName(others)
     counts = hits.groupBy("query_id", "id").agg(F.lit(1)).groupBy("query_id").agg(F.count("*").alias("hits"))
     return query_rows.select("query_id").distinct().join(counts, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
@@ -254,35 +258,39 @@ def condition_met(c: Column) -> Column:
 
 
 def text_grams(c: Column) -> Column:
-    """Distinct trigrams of a text."""
-    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Trigrams of a text in their order, repeats included: its signs beside themselves moved by one and by two, which
+    takes time in proportion to the text (a substring would count from the text's begin each time)."""
+    signs, n = F.split(c, ""), F.greatest(F.length(c) - 2, F.lit(0))
+    moved = lambda by: F.slice(signs, by + 1, n)
+    joined = lambda x, y: F.concat(x, y)
+    return F.zip_with(F.zip_with(moved(0), moved(1), joined), moved(2), joined)
 
 
-def indexed_legs(papers: DataFrame, query_rows: DataFrame, sample: int) -> DataFrame:
-    """query_id, leg, all (its conditions), gram (null: none of its conditions asks for three signs)."""
+def indexed_legs(papers: DataFrame, query_rows: DataFrame, sample: int, few: int = 0) -> DataFrame:
+    """query_id, leg, all (its conditions), gram (null: none of its conditions asks for three signs, or there are no more
+    than `few` conditions)."""
     if (n := query_rows.limit(MAX_CONDITIONS + 1).count()) > MAX_CONDITIONS:
         raise ValueError(f"over {n - 1} condition rows; split them into calls of {MAX_CONDITIONS}")
     condition = F.struct("field", F.coalesce("negate", F.lit(False)).alias("negate"), F.lower(F.col("value")).alias("value"))
     legs = query_rows.groupBy("query_id", "leg").agg(F.collect_list(condition).alias("all"))
+    if n <= few:
+        return legs.withColumn("gram", F.lit(None).cast("string"))
     asked = F.filter("all", lambda c: ~c["negate"] & (F.coalesce(c["field"], F.lit("")) != "year") & (F.length(c["value"]) >= 3))
     grams = F.array_distinct(F.flatten(F.transform(asked, lambda c: text_grams(c["value"]))))
     each = legs.select("query_id", "leg", F.explode(grams).alias("gram"))
-    seen = saved_texts(papers.limit(sample)).select(F.explode(text_grams(F.col("whole"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    seen = saved_texts(papers.limit(sample)).select(F.explode(F.array_distinct(text_grams(F.col("whole")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     rare = each.join(seen, "gram", "left").groupBy("query_id", "leg").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     return legs.join(rare, ["query_id", "leg"], "left")
 
 
 def candidate_legs(papers: DataFrame, legs: DataFrame) -> DataFrame:
-    """The texts of each paper with each leg that it is tested on. A field's trigrams are trigrams of the whole text, as
-    that joins the fields."""
+    """The texts of each paper with each leg that its trigrams name. A field's trigrams are trigrams of the whole text,
+    as that joins the fields."""
     rows = saved_texts(papers)
-    few = F.broadcast(legs.select("gram", "query_id", "all"))  # at most MAX_CONDITIONS legs
-    named = legs.filter("gram is not null").agg(F.collect_set("gram").alias("known"))
-    own = rows.crossJoin(F.broadcast(named)).withColumn("gram", F.explode(F.array_intersect(text_grams(F.col("whole")), "known"))).drop("known")  # one row
-    by_gram = own.join(few.filter("gram is not null"), "gram").drop("gram")
-    always = F.broadcast(legs.filter("gram is null").agg(F.collect_list(F.struct("query_id", "all")).alias("rest")))  # one row
-    others = rows.crossJoin(always).select(*rows.columns, F.inline("rest"))
-    return by_gram.select(*rows.columns, "query_id", "all").unionByName(others)
+    some = legs.filter("gram is not null").select("gram", "query_id", "all")  # at most MAX_CONDITIONS legs
+    known = F.broadcast(some.agg(F.collect_set("gram").alias("known")))  # one row
+    own = rows.crossJoin(known).withColumn("gram", F.explode(F.array_intersect(text_grams(F.col("whole")), "known"))).drop("known")
+    return own.join(F.broadcast(some), "gram").drop("gram")
 
 
 SAVED_FIELDS = ["title", "abstract", "conf", "author"]  # others are looked for in all four together

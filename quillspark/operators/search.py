@@ -112,10 +112,7 @@ def build_gram_index(papers: DataFrame) -> DataFrame:
     """(gram, field, id, positions) of the trigrams of the indexed title, abstract and authors."""
     fields = F.array(*(F.struct(F.lit(c).alias("field"), index_text(F.col(c)).alias("text")) for c in WEIGHTS))
     each = papers.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.text")
-    n = gram_count(F.col("text"))
-    at = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.substring("text", i, F.lit(3)).alias("gram"), i.cast("int").alias("at")))
-    # one paper's field is one row: its grams are put together without a shuffle of single positions
-    each = each.filter(n > 0).select("id", "field", F.explode(at).alias("g")).select("id", "field", "g.gram", "g.at")
+    each = each.select("id", "field", F.posexplode(P.text_grams(F.col("text"))).alias("at", "gram")).withColumn("at", F.col("at") + 1)
     return each.groupBy("gram", "field", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 

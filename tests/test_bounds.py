@@ -76,7 +76,8 @@ def test_saved_queries_by_index(spark):
     for q in {a[0] for a in asked}:
         legs = {leg: [a[2:] for a in asked if a[:2] == (q, leg)] for leg in {a[1] for a in asked if a[0] == q}}
         want[q] = sum(any(all(met(r, *c) for c in cs) for cs in legs.values()) for r in rows)
-    assert {r["query_id"]: r["hits"] for r in P.match_saved_queries(papers, d).collect()} == want
+    for few in (0, 1000):
+        assert {r["query_id"]: r["hits"] for r in P.match_saved_queries(papers, d, few=few).collect()} == want
     assert {r["query_id"]: r["hits"] for r in P.match_saved_queries(papers.limit(0), d).collect()} == dict.fromkeys(want, 0)
 
 
