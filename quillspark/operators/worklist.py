@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import predicates as P
+from .search import places_by_range
 from .stats import venue_tier
 
 MAX_ATTEMPTS = 3
@@ -144,12 +145,26 @@ def collect_due(catalog: DataFrame, progress: DataFrame, cached: DataFrame, now:
     return j.filter(unseen | F.coalesce(stale, F.lit(False))).select("source", "name", "url")
 
 
-def sample_strata(df: DataFrame, strata: dict[str, Column | tuple[Column, int]], n: int, seed: int) -> DataFrame:
+def places_by_host(rows: DataFrame) -> DataFrame:
+    """rows(stratum, year, at, url, id) with `place`, the number by year, host, url and id inside the stratum, and `all`,
+    the rows of the stratum. A window holds one host's year of a stratum."""
+    part = ["stratum", "year", "at"]
+    counts = rows.groupBy(*part).agg(F.count("*").alias("own"))
+    order = Window.partitionBy("stratum").orderBy("year", "at")
+    counts = counts.select(*part, (F.sum("own").over(order) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy("stratum")).alias("all"))
+    safe = lambda d, name: d.withColumn(name, F.coalesce("year", F.lit(-1)))  # noqa: E731  null years match
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("url", "id"))
+    rows = safe(rows.withColumn("own", place), "y").join(safe(counts, "y").drop("year"), ["stratum", "y", "at"])
+    return rows.withColumn("place", F.col("before") + F.col("own"))
+
+
+def sample_strata(df: DataFrame, strata: dict[str, Column | tuple[Column, int]], n: int, seed: int, path: str | None = None) -> DataFrame:
     """A stratified sample. strata: name -> (condition, base quota), or a condition of quota 1; a row falls to the first stratum it fits, and
     quotas are scaled from their sum to n, each at least 1. A stratum's rows, by year and url, are cut into as many slices
     of equal size, and the row with the least seeded hash is taken from each; a stratum within its quota is taken whole.
 
-    Places are numbered inside (stratum, year, host) and moved by what comes before it, so no task holds a stratum.
+    With a path, places are numbered in ranges of all rows (places_by_range), so no task holds one host's year of a
+    stratum. Without one they are numbered inside (stratum, year, host) and moved by what comes before it.
     """
     strata = {k: v if isinstance(v, tuple) else (v, 1) for k, v in strata.items()}
     first, quota = F.lit(None).cast("string"), F.lit(1)
@@ -158,14 +173,13 @@ def sample_strata(df: DataFrame, strata: dict[str, Column | tuple[Column, int]],
         first = F.when(fits, name).otherwise(first)
         quota = F.when(F.col("stratum") == name, max(1, round(n * base / total))).otherwise(quota)
     rows = df.withColumn("stratum", first).filter("stratum is not null").withColumn("at", F.regexp_extract(C.text("url"), "^(?:[^/]*//)?[^/]*/?", 0))
-    part = ["stratum", "year", "at"]
-    counts = rows.groupBy(*part).agg(F.count("*").alias("own"))
-    order = Window.partitionBy("stratum").orderBy("year", "at")
-    counts = counts.select(*part, (F.sum("own").over(order) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy("stratum")).alias("all"))
-    safe = lambda d, name: d.withColumn(name, F.coalesce("year", F.lit(-1)))  # noqa: E731  null years match
-    place = F.row_number().over(Window.partitionBy(*part).orderBy("url", "id"))
-    rows = safe(rows.withColumn("own", place), "y").join(safe(counts, "y").drop("year"), ["stratum", "y", "at"])
-    rows = rows.withColumn("place", F.col("before") + F.col("own")).withColumn("quota", quota)
+    if path:
+        placed = places_by_range(rows.select("stratum", "year", "at", "url", "id"), [F.asc(c) for c in ("stratum", "year", "at", "url", "id")], path)
+        of = placed.groupBy("stratum").agg((F.min("place") - 1).alias("before"), F.count("*").alias("all"))  # a row for each stratum
+        rows = placed.join(F.broadcast(of), "stratum").withColumn("place", F.col("place") - F.col("before"))
+    else:
+        rows = places_by_host(rows)
+    rows = rows.withColumn("quota", quota)
     slice_ = F.when(F.col("all") <= F.col("quota"), F.col("place") - 1).otherwise(F.ceil(F.col("place") * F.col("quota") / F.col("all")) - 1)
     rows = rows.withColumn("slice", slice_)
     pick = F.min_by(F.struct("id", "year", "url"), F.md5(F.concat_ws("|", F.lit(str(seed)), "url", "id")))

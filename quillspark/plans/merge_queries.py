@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import predicates as P
 from ..operators import adapters, ledger, merge, stats, worklist
+from ..sources import corpus
 from .column_queries import DOI, HOST, key
-from .common import catalog, papers, query, raw, state
+from .common import ORACLES, catalog, papers, query, raw, scratch, state
 
 REAL = "trim(coalesce(paper_code, '')) not in ('', '#')"
 
@@ -87,6 +88,16 @@ def d3_rows(spark, sf):
     return out.select("conf", "paper_name", "paper_url", "paper_abstract", F.size("paper_authors").alias("n_authors"), "paper_code", "seq")
 
 
+@query("d3_merge_stored", ORACLES["d3_merged_rows"], over="")
+def d3_stored(spark, sf):
+    """D3 on a corpus in buckets of conferences: only touched buckets are read and written, and all are read back."""
+    r, path = raw(spark, sf), scratch(spark, "corpus")
+    corpus.create_corpus(r.filter("seq % 4 <> 0"), path)
+    corpus.merge_into(r.filter("seq % 4 = 0"), path)
+    out = corpus.read_corpus(spark, path)
+    return out.select("conf", "paper_name", "paper_url", "paper_abstract", F.size("paper_authors").alias("n_authors"), "paper_code", "seq")
+
+
 @query("d5_official_titles", f"""select r.conf, count(*) filter (where k.t is not null) as matched, count(*) filter (where k.t is null) as new from (select conf, paper_name, {key('paper_name')} as t from raw where seq % 3 = 0) r
   left join (select distinct conf, {key('paper_name')} as t from raw where seq % 5 <> 0) k on k.conf = r.conf and k.t = r.t where r.t <> '' group by r.conf""", over="raw")
 def d5_titles(spark, sf):
@@ -271,7 +282,7 @@ def w9(spark, sf):
 
 @query("w10_sample_strata", "select (case when year < 2010 then 'old' else 'new' end) as stratum, least(count(*), case when stratum = 'old' then 36 else 12 end) as n from papers group by 1")
 def w10(spark, sf):
-    out = worklist.sample_strata(papers(spark, sf), {"old": (F.col("year") < 2010, 18), "new": (F.lit(True), 6)}, 48, 42)
+    out = worklist.sample_strata(papers(spark, sf), {"old": (F.col("year") < 2010, 18), "new": (F.lit(True), 6)}, 48, 42, scratch(spark, "strata"))
     return out.groupBy("stratum").agg(F.count("*").alias("n"))
 
 
