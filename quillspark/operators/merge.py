@@ -120,7 +120,12 @@ def merge_incremental(new: DataFrame, old: DataFrame) -> DataFrame:
 
     Front matter is dropped on the new side only; new rows come before old ones.
     """
-    fresh = P.drop_on_collect(new).select("conf", *FIELDS, "seq").withColumn("side", F.lit(0))
+    return merge_cleaned(P.drop_on_collect(new), old)
+
+
+def merge_cleaned(new: DataFrame, old: DataFrame) -> DataFrame:
+    """D3 for new rows without front matter. They are read three times."""
+    fresh = new.select("conf", *FIELDS, "seq").withColumn("side", F.lit(0))
     touched = fresh.select("conf").distinct()
     cached = old.select("conf", *FIELDS, "seq").withColumn("side", F.lit(1))
     both = fresh.unionByName(cached.join(touched, "conf", "left_semi"))

@@ -92,7 +92,7 @@ def d3_rows(spark, sf):
 def d3_stored(spark, sf):
     """D3 on a corpus in buckets of conferences: only touched buckets are read and written, and all are read back."""
     r, path = raw(spark, sf), scratch(spark, "corpus")
-    corpus.create_corpus(r.filter("seq % 4 <> 0"), path)
+    corpus.create_corpus(r.filter("seq % 4 <> 0"), path, buckets=16)
     corpus.merge_into(r.filter("seq % 4 = 0"), path)
     out = corpus.read_corpus(spark, path)
     return out.select("conf", "paper_name", "paper_url", "paper_abstract", F.size("paper_authors").alias("n_authors"), "paper_code", "seq")

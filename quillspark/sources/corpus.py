@@ -13,9 +13,10 @@ import json
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates as P
-from ..operators.merge import FIELDS, merge_incremental
+from ..operators.merge import FIELDS, merge_cleaned
 from ..streaming.ledger_stream import Folder, clean
 
 BUCKETS = 256
@@ -30,8 +31,9 @@ def bucket_of(conf: Column, buckets: int) -> Column:
 def read_corpus(spark: SparkSession, path: str, some: set[int] | None = None) -> DataFrame | None:
     """The rows of a corpus (of some buckets), as the newest manifest names them; None where there are none."""
     folder = Folder(spark, path)
-    files = folder.base(folder.manifest(), some)
-    return spark.read.parquet(*files).select(*COLUMNS) if files else None
+    manifest = folder.manifest()
+    files = folder.base(manifest, some)
+    return spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(*files) if files else None
 
 
 def sizes(df: DataFrame, buckets: int) -> dict[int, int]:
@@ -56,7 +58,7 @@ def put_version(folder: Folder, df: DataFrame, old: dict, expected: dict[int, in
         raise ValueError(f"wrote {written.get['n']} rows and read {sum(again.values())}; {folder.path} is as before")
     kept = lambda of: {b: x for b, x in of.items() if int(b) not in expected}
     manifest = {
-        "batch": number, "count": buckets,
+        "batch": number, "count": buckets, "schema": df.select(*COLUMNS).schema.jsonValue(),
         "buckets": kept(old["buckets"]) | {str(b): number for b in again}, "rows": kept(old["rows"]) | {str(b): n for b, n in again.items()},
     }
     folder.put(f"manifests/{number}", json.dumps(manifest))
@@ -82,17 +84,21 @@ def merge_into(new: DataFrame, path: str, each: int = ROWS_A_FILE) -> dict:
     """D3 on a stored corpus: merge_incremental(new, corpus), reading and writing only the buckets of the conferences
     that `new` has after its front matter is dropped. Returns the manifest; nothing is written if there are none.
 
-    `new` is read three times, so it should be a stored table or cheap to compute.
+    The new rows are stored beside the corpus once their front matter is dropped, as the merge reads them three times.
     """
     spark = new.sparkSession
     folder = Folder(spark, path)
     old = folder.manifest()
     if "count" not in old:
         raise ValueError(f"{path} holds no corpus")
-    coming = sizes(P.drop_on_collect(new), old["count"])
-    if not coming:
-        return old
-    held = read_corpus(spark, path, set(coming))
-    held = new.select(*COLUMNS).limit(0) if held is None else held
-    expected = {b: n + old["rows"].get(str(b), 0) for b, n in coming.items()}
-    return put_version(folder, merge_incremental(new, held), old, expected, each)
+    folder.remove("incoming")
+    P.drop_on_collect(new).select(*COLUMNS).write.parquet(f"{folder.path}/incoming")
+    fresh = spark.read.schema(new.select(*COLUMNS).schema).parquet(f"{folder.path}/incoming")
+    coming = sizes(fresh, old["count"])
+    if coming:
+        held = read_corpus(spark, path, set(coming))
+        held = fresh.limit(0) if held is None else held
+        expected = {b: n + old["rows"].get(str(b), 0) for b, n in coming.items()}
+        old = put_version(folder, merge_cleaned(fresh, held), old, expected, each)
+    folder.remove("incoming")
+    return old
