@@ -9,7 +9,8 @@ a block of whole phrases; only triggers whose block comes again are looked at fu
 Within a block's rows the distinct phrases are the dictionary, whose suffix array is made by prefix doubling; the parse
 suffixes are put in order with their longest common prefixes. Windows in the order of phrase suffix, then parse suffix,
 stand in corpus order: those that agree with a neighbour there on phrase suffix and enough of the parse are repeated.
-Blocks are told apart by two independent 64-bit hashes; everything around them is compared symbol by symbol.
+Blocks are told apart by two independent 64-bit hashes; everything around them is compared symbol by symbol. Triggers in
+equal surroundings on the same stretch of a task's text (copies, periodic text) are joined before the exchange.
 
 Symbols are bytes for what is removed, and words for what is only counted: passages of over `words` words.
 """
@@ -58,6 +59,11 @@ class Tape:
         """One of two hashes of the block from each trigger on."""
         return hashing.mix(hashing.windows(self.prefixes(which), at, at + self.span - self.reach))
 
+    def around(self, at: np.ndarray, low: np.ndarray, high: np.ndarray, which: int) -> np.ndarray:
+        """One of two hashes of all that the windows of each trigger cover, and of the trigger's place in it."""
+        whole = hashing.mix(hashing.windows(self.prefixes(which), at - high, at - low + self.span))
+        return hashing.mix(hashing.mix(whole + low.astype(np.uint64)) ^ high.astype(np.uint64))
+
 
 def byte_tapes(column: pa.Array, span: int, reach: int) -> Iterator[Tape]:
     """Blocks of rows as bytes; a long row in segments that overlap by all but one byte of a window."""
@@ -109,16 +115,34 @@ def triggers(value: np.ndarray, offsets: np.ndarray, span: int, reach: int) -> t
     return at, at - start[last], at - start[first]
 
 
+def alike(tape: Tape, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, again): the first of each kind of triggers that stand in equal surroundings on this tape, and a mask of
+    the triggers whose kind comes several times there. All windows of the latter are repeated, so one trigger of each
+    kind is enough for the comparison with the rest of the corpus. Kinds are told apart by two 64-bit hashes."""
+    one = tape.around(at, low, high, 0)
+    if len(np.unique(one)) == len(one):
+        return np.arange(len(at)), np.zeros(len(at), bool)
+    two = tape.around(at, low, high, 1)
+    by = np.lexsort((two, one))
+    new = np.ones(len(by), bool)
+    new[1:] = (one[by[1:]] != one[by[:-1]]) | (two[by[1:]] != two[by[:-1]])
+    kind = np.cumsum(new) - 1
+    again = np.empty(len(by), bool)
+    again[by] = np.bincount(kind)[kind] > 1
+    return np.sort(by[new]), again
+
+
 def shared_keys(rows: DataFrame, tapes: Callable) -> DataFrame:
-    """(key, n) of the blocks of phrases that stand at several triggers; counted in each task before the exchange."""
+    """(key, n) of the blocks of phrases that stand at several triggers, of which those in equal surroundings on one
+    tape count once; counted in each task before the exchange."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.zeros(0, np.uint64)]
             for tape in tapes(batch.column("text")):
-                at, _, _ = triggers(tape.value, tape.offsets, tape.span, tape.reach)
+                at, low, high = triggers(tape.value, tape.offsets, tape.span, tape.reach)
                 if len(at):
-                    keys.append(tape.block(at, 0))
+                    keys.append(tape.block(at[alike(tape, at, low, high)[0]], 0))
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
@@ -126,10 +150,29 @@ def shared_keys(rows: DataFrame, tapes: Callable) -> DataFrame:
 
 
 def contexts(rows: DataFrame, tapes: Callable, filters: Broadcast, salts: int) -> DataFrame:
-    """One row per trigger with a wanted block: key, check (the block's second hash), salt (0; for the blocks of too many
+    """Rows of two kinds. One for each kind of triggers of a tape with a wanted block: key, check (the block's second hash), salt (0; for the blocks of too many
     triggers one of 1 to salts), unit, id, row_key, at (its window
     that starts first), offset (of the trigger in that window), around (the phrase before the trigger, then what follows
-    the block)."""
+    the block). And one for each stretch that windows repeated on its own tape cover: unit, id, row_key, at (its start),
+    offset (its end), any key and null around."""
+
+    def rows_of(batch: pa.RecordBatch, tape: Tape, row: np.ndarray, key, check, salt, at, offset, around: pa.Array) -> pa.RecordBatch:
+        owner = pa.array(row + tape.row0)
+        ids = [batch.column("id").take(owner), batch.column("row_key").take(owner)]
+        unit = np.full(len(row), tape.unit, np.int32)
+        arrays = [pa.array(x) for x in (key.view(np.int64), check.view(np.int64), salt, unit)]
+        return pa.RecordBatch.from_arrays([*arrays, *ids, pa.array(at), pa.array(offset), around], ["key", "check", "salt", "unit", "id", "row_key", "at", "offset", "around"])
+
+    def stretches(batch: pa.RecordBatch, tape: Tape, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        row = np.searchsorted(tape.offsets, at, "right") - 1
+        start, end = at - high, at - low + tape.span
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+        begins = np.flatnonzero(new)
+        row, moved = row[begins], tape.place - tape.offsets[row[begins]]
+        start, end = start[begins] + moved, end[np.append(begins[1:], len(at)) - 1] + moved
+        dealt = hashing.mix((row + tape.row0).astype(np.uint64) * np.uint64(2**32) + start.astype(np.uint64))
+        return rows_of(batch, tape, row, dealt, dealt, np.zeros(len(row), np.int64), start, end, pa.nulls(len(row), pa.binary()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, hot = filters.value
@@ -138,6 +181,10 @@ def contexts(rows: DataFrame, tapes: Callable, filters: Broadcast, salts: int) -
                 at, low, high = triggers(tape.value, tape.offsets, tape.span, tape.reach)
                 if not len(at):
                     continue
+                first, again = alike(tape, at, low, high)
+                if again.any():
+                    yield stretches(batch, tape, at[again], low[again], high[again])
+                at, low, high = at[first], low[first], high[first]
                 key = tape.block(at, 0)
                 ok = wanted.has(key)
                 at, low, high, key = at[ok], low[ok], high[ok], key[ok]
@@ -152,13 +199,7 @@ def contexts(rows: DataFrame, tapes: Callable, filters: Broadcast, salts: int) -
                 source = np.repeat((at - high) * tape.unit, size) + inner + np.where(inner >= before, (tape.span - tape.reach) * tape.unit, 0)
                 around = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(begin), pa.py_buffer(tape.symbols[source])])
                 row = np.searchsorted(tape.offsets, at, "right") - 1
-                owner = pa.array(row + tape.row0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(salt), pa.array(np.full(len(at), tape.unit, np.int32)),
-                     batch.column("id").take(owner), batch.column("row_key").take(owner),
-                     pa.array(at - high - tape.offsets[row] + tape.place), pa.array(high), around.cast(pa.binary())],
-                    ["key", "check", "salt", "unit", "id", "row_key", "at", "offset", "around"],
-                )
+                yield rows_of(batch, tape, row, key, check, salt, at - high - tape.offsets[row] + tape.place, high, around.cast(pa.binary()))
 
     return rows.mapInArrow(cut, "key long, check long, salt long, unit int, id long, row_key long, at long, offset long, around binary")
 
@@ -282,6 +323,11 @@ def repeated_runs(rows: DataFrame, sizes: dict[int, tuple[int, int]], hot_rows:
 
     def order(group: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({c: pd.Series([], dtype="Int64") for c in ("hash", "more", "unit", "id", "row_key", "start", "end")})]
+        known = group[group["around"].isna()]
+        if len(known):
+            none = pd.array([None] * len(known), "Int64")
+            found.append(known[["unit", "id", "row_key"]].assign(start=known["at"], end=known["offset"], hash=none, more=none))
+            group = group[group["around"].notna()]
         for unit, (span, reach) in sizes.items():
             own = group[(group["unit"] == unit) & (group["salt"] == 0)].reset_index(drop=True)
             if len(own):
@@ -323,20 +369,23 @@ def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, reach: int = 128, words: int = 50, hot_rows: int = HOT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, reach: int = 128, words: int | None = 50, hot_rows: int = HOT
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), n_passages.
 
     Removed is every byte under a `span`-byte string that also starts elsewhere in the corpus or the same text; matches
     never cross texts, and all are judged on the input. n_passages counts the stretches of a text that are covered by
     strings of `words` + 1 words (between ASCII white space) which also start elsewhere; they may be shorter than `span`
-    and are counted, not removed. A null text counts as empty; rows that are equal in full are copies of each other. An
+    and are counted, not removed; with words None there is no such column. A null text counts as empty; rows that are equal in full are copies of each other. An
     empty table gives no rows; other columns are ignored.
     """
+    if span - reach < GRAM:
+        raise ValueError(f"span must exceed reach by {GRAM} or more")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
     known = rows.withColumn("id", F.coalesce("id", F.lit(0)))
-    found = repeated_runs(known, {1: (span, reach), 4: (words + 1, (words + 1) // 3)}, hot_rows)
+    sizes = {1: (span, reach)} | ({4: (words + 1, (words + 1) // 3)} if words else {})
+    found = repeated_runs(known, sizes, hot_rows)
     spans = found.groupBy("row_key", "id").agg(F.collect_set(F.struct("unit", "start", "end")).alias("runs"))
     joined = rows.join(spans.withColumnRenamed("id", "own"), ["row_key"], "left")
     joined = joined.filter(F.col("own").isNull() | (F.col("own") == F.coalesce("id", F.lit(0))))
@@ -359,9 +408,9 @@ def remove_repeats(
             )
 
     out = joined.select("id", "text", "runs").mapInArrow(strike, "id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long")
-    return out.withColumnRenamed("id", id_col)
+    return (out if words else out.drop("n_passages")).withColumnRenamed("id", id_col)
 
 
 def op4_remove_repeats(spark, sf_dir):
-    out = remove_repeats(shared.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
+    out = remove_repeats(shared.table(spark, sf_dir, "documents"), words=None)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
