@@ -17,6 +17,9 @@ from ..functions import columns as C
 from ..functions import predicates as P
 
 MIN_CHARS = 60
+# What an extract holds that took in a notice or went on into the paper
+NOTICE = r"permission to make digital|copyright held by"
+INTRO = r"1\. introduction|i\. introduction|1 introduction"
 
 
 def unambiguous_index(rows: DataFrame, key: str, fingerprint: Column, order: str = "seq") -> DataFrame:
@@ -349,16 +352,22 @@ def pick_source(papers: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def compare_texts(extracted: DataFrame, reference: DataFrame) -> DataFrame:
-    """Verdict per id: PASS (ratio 0.80 or the first 200 characters contained), REVIEW (0.5), FAIL, NOREF; and
-    whether the extract leaks past the abstract."""
-    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(C.text(c)), r"-\s*\n\s*", ""), r"(?U)[^\w]+", "")
+    """Verdict per id: FAIL (no extract), NOREF (no reference), PASS (ratio 0.80, or the first 200 characters of one
+    side stand in the other), REVIEW (0.5), FAIL; and whether the extract holds a copyright notice or leaks past the
+    abstract. Texts are compared in lower case, words joined over hyphens, anything between words as one space. The ratio
+    is null where the beginning settles the verdict or a reference is missing."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(C.text(c)), r"(?U)-\s+", ""), r"(?U)[^\w]+", " "))
     j = extracted.select("id", F.col("text").alias("e")).join(reference.select("id", F.col("text").alias("r")), "id", "left")
     j = j.withColumn("x", plain("e")).withColumn("y", plain("r"))
-    inside = (F.length("y") > 0) & (F.col("x").contains(F.left("y", F.lit(200))))
-    ratio = _ratio(F.when((F.col("y") != "") & ~inside, F.col("x")), F.when((F.col("y") != "") & ~inside, F.col("y")))
-    verdict = F.when(F.col("y") == "", "NOREF").when(inside | (F.col("ratio") >= 0.80), "PASS").when(F.col("ratio") >= 0.5, "REVIEW").otherwise("FAIL")
-    leak = C.text("e").rlike(r"(?i)\b(introduction|keywords|index terms)\b")
-    return j.withColumn("ratio", ratio).select("id", "ratio", verdict.alias("verdict"), leak.alias("leak"))
+    begins = (F.col("x") != "") & (F.col("y") != "") & (F.col("y").contains(F.left("x", F.lit(200))) | F.col("x").contains(F.left("y", F.lit(200))))
+    empty, alone = C.text("e") == "", C.text("r") == ""
+    measured = ~empty & ~alone & ~begins
+    ratio = F.when(empty, 0.0).when(measured, _ratio(F.when(measured, F.col("x")), F.when(measured, F.col("y"))))
+    verdict = F.when(empty, "FAIL").when(alone, "NOREF").when(begins | (F.col("ratio") >= 0.80), "PASS").when(F.col("ratio") >= 0.5, "REVIEW").otherwise("FAIL")
+    holds = lambda marks: F.lower(C.text("e")).rlike(marks)
+    out = j.withColumn("prefix", begins & ~empty & ~alone).withColumn("ratio", ratio)
+    out = out.withColumn("intro_leak", holds(INTRO)).withColumn("keywords_leak", holds(r"\b(keywords|index terms)\b"))
+    return out.select("id", "ratio", "prefix", verdict.alias("verdict"), holds(NOTICE).alias("copyright"), "intro_leak", "keywords_leak", (F.col("intro_leak") | F.col("keywords_leak")).alias("leak"))
 
 
 def verdict_rates(verdicts: DataFrame) -> DataFrame:
