@@ -31,3 +31,8 @@ def test_official_titles_in_capitals(spark, tmp_path, name):
     titles = ["weiß maß und strauß", "Straße", "Cionñ", "Ciónn", "Einß Einß", "Einü Einü"]
     got, want = both(spark, tmp_path, name, [(3 * i, f"{t}. Rest.") for i, t in enumerate(titles)])
     assert got == want
+
+
+def test_id_table_in_capitals(spark, tmp_path):
+    got, want = both(spark, tmp_path, "m12_fill_from_id_table", [(6, "Die einöge öer erß chß. Rest."), (12, "Another title that is long enough. x")])
+    assert got == want and any("text of the table" in g and ", 6'" in g for g in got)
