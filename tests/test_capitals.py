@@ -36,3 +36,11 @@ def test_official_titles_in_capitals(spark, tmp_path, name):
 def test_id_table_in_capitals(spark, tmp_path):
     got, want = both(spark, tmp_path, "m12_fill_from_id_table", [(6, "Die einöge öer erß chß. Rest."), (12, "Another title that is long enough. x")])
     assert got == want and any("text of the table" in g and ", 6'" in g for g in got)
+
+
+@pytest.mark.parametrize("name", ["i7_page_titles", "i7_page_titles_whole"])
+def test_references_in_titles(spark, tmp_path, name):
+    heads = ["A title of some length that names token = &quot;0123456789", "x &lt;b&gt; &amp;quot; &amp " + "y" * 50, "short &quot;", "&ampere " + "z" * 60]
+    rows = [(i, f"https://e.org/{i}", f"<html><head><title>{h}</title></head></html>") for i, h in enumerate(heads[: 3 if name.endswith("whole") else 4])]
+    got, want = both(spark, tmp_path, name, rows, "pages", "page_id long, url string, html string")
+    assert got == want
