@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import predicates as P
+from . import grams
 
+RUN_BYTES = 8 << 20  # of a row group of postings
 WEIGHTS = {"title": 3, "authors_text": 2, "abstract": 1}
 FIELDS: dict[str, list[str]] = {"title": ["title", "abstract"], "author": ["authors_text"], "abstract": ["abstract"], "any": list(WEIGHTS)}
 
@@ -108,28 +110,40 @@ def gram_count(c: Column) -> Column:
     return F.greatest(F.length(c) - 2, F.lit(0))
 
 
+def indexed_texts(papers: DataFrame) -> DataFrame:
+    """id and what is indexed of each field, under its name."""
+    return papers.select("id", *(index_text(F.col(c)).alias(c) for c in WEIGHTS))
+
+
 def build_gram_index(papers: DataFrame) -> DataFrame:
-    """(gram, field, id, positions) of the trigrams of the indexed title, abstract and authors."""
-    fields = F.array(*(F.struct(F.lit(c).alias("field"), index_text(F.col(c)).alias("text")) for c in WEIGHTS))
-    each = papers.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.text")
-    each = each.select("id", "field", F.posexplode(P.text_grams(F.col("text"))).alias("at", "gram")).withColumn("at", F.col("at") + 1)
-    return each.groupBy("gram", "field", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    """(gram, field, id, positions) of the trigrams of the indexed title, abstract and authors of papers, whose ids
+    differ. Each task groups its own papers' trigrams; nothing is shuffled."""
+    return index_of_texts(indexed_texts(papers)).postings
+
+
+def index_of_texts(texts: DataFrame) -> GramIndex:
+    sizes = texts.select("id", reduce(add, (gram_count(F.col(c)) for c in WEIGHTS)).cast("long").alias("size"))
+    return GramIndex(texts.mapInArrow(grams.of_batches, grams.SCHEMA), sizes, sizes.agg(F.count("*").alias("n"), F.sum("size").alias("total")))
 
 
 def gram_index(papers: DataFrame) -> GramIndex:
-    lengths = papers.select("id", reduce(add, (gram_count(index_text(F.col(c))) for c in WEIGHTS)).cast("long").alias("size"))
-    return GramIndex(build_gram_index(papers), lengths, lengths.agg(F.count("*").alias("n"), F.sum("size").alias("total")))
+    return index_of_texts(indexed_texts(papers))
 
 
 def write_gram_index(papers: DataFrame, path: str) -> None:
-    """Write the index; postings by range of (gram, field, id), so that a query reads the row groups of its grams and no
-    file holds all of a gram that every paper has."""
-    index = gram_index(papers)
+    """Write the index. Each task writes the postings of its own papers in runs ordered by (gram, field, id), with row
+    groups of about a run, so that a query reads the pages of its grams and no file holds all of a gram that every paper
+    has. The indexed texts are stored meanwhile, as papers are read twice."""
+    from ..sources.records import remove
+
+    spark, texts = papers.sparkSession, indexed_texts(papers)
+    texts.write.parquet(f"{path}/texts")
+    index = index_of_texts(spark.read.schema(texts.schema).parquet(f"{path}/texts"))
     index.lengths.write.parquet(f"{path}/lengths")
-    keys = ["gram", "field", "id"]
-    index.postings.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{path}/postings")
-    lengths = papers.sparkSession.read.schema(index.lengths.schema).parquet(f"{path}/lengths")
+    index.postings.write.option("parquet.block.size", RUN_BYTES).parquet(f"{path}/postings")
+    lengths = spark.read.schema(index.lengths.schema).parquet(f"{path}/lengths")
     lengths.agg(F.count("*").alias("n"), F.sum("size").alias("total")).write.parquet(f"{path}/totals")
+    remove(spark, f"{path}/texts")
 
 
 def read_gram_index(spark: SparkSession, path: str) -> GramIndex:
