@@ -26,3 +26,19 @@ def test_papers_that_share_a_failed_url(spark, tmp_path):
     rows = [(10, "abcdef. x"), (15, "uvwxyz. y"), (25, "a title of another length. z")]
     sf = documents(spark, tmp_path, rows)
     assert registry.QUERIES["w4_title_targets_whole"](spark, sf).count() == 2
+
+
+def test_event_files_are_bounded(spark, tmp_path, monkeypatch):
+    """The stream takes bounded files, a bounded number at a time, and still folds all events."""
+    from quillspark.plans import link_queries
+    from quillspark.streaming import ledger_stream
+
+    monkeypatch.setattr(link_queries, "EVENTS_A_FILE", 100)
+    monkeypatch.setattr(link_queries, "FILES_A_BATCH", 3)
+    batches, own = [], ledger_stream.ledger_latest
+    monkeypatch.setattr(ledger_stream, "ledger_latest", lambda df: batches.append(df.count()) or own(df))
+    rows = spark.range(1000).selectExpr("id as event_id", "timestamp'2024-01-01 00:00:00' as ts", "id % 70 as user_id", "if(id % 3 = 0, 'click', 'view') as event_type", "1.0D as value", "to_json(named_struct('k', id)) as props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["url"].rsplit("/", 1)[1]: r["seq"] for r in registry.QUERIES["l8_ledger_stream"](spark, str(tmp_path)).collect()}
+    assert got == {str(u): max(i for i in range(1000) if i % 70 == u) for u in range(70)}
+    assert max(batches[:-1]) <= 300 and sum(batches[:4]) == 1000
