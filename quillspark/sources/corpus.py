@@ -21,6 +21,7 @@ from ..streaming.ledger_stream import Folder, clean
 
 BUCKETS = 256
 ROWS_A_FILE = 1_000_000
+BYTES_A_FILE = 32 << 20  # of texts, before compression
 COLUMNS = ["conf", *FIELDS, "seq"]
 
 
@@ -36,16 +37,20 @@ def read_corpus(spark: SparkSession, path: str, some: set[int] | None = None) ->
     return spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(*files) if files else None
 
 
-def sizes(df: DataFrame, buckets: int) -> dict[int, int]:
-    """Rows of each bucket that has any: at most `buckets` numbers."""
-    return {r["b"]: r["n"] for r in df.groupBy(bucket_of(F.col("conf"), buckets).alias("b")).agg(F.count("*").alias("n")).collect()}
+def sizes(df: DataFrame, buckets: int) -> dict[int, tuple[int, int]]:
+    """Rows and bytes of text of each bucket that has any: at most `buckets` pairs."""
+    texts = [F.octet_length(F.coalesce(c, F.lit(""))) for c in ("paper_name", "paper_url", "paper_abstract", "paper_code")]
+    size = sum(texts, F.octet_length(F.concat_ws(" ", "paper_authors"))).cast("long")
+    by = df.groupBy(bucket_of(F.col("conf"), buckets).alias("b")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    return {r["b"]: (r["n"], r["bytes"]) for r in by.collect()}
 
 
-def put_version(folder: Folder, df: DataFrame, old: dict, expected: dict[int, int], each: int) -> dict:
+def put_version(folder: Folder, df: DataFrame, old: dict, expected: dict[int, tuple[int, int]], each: int) -> dict:
     """Write df as the next version of its buckets, compare what can be read back, and name it in a manifest. A bucket of
-    more than `each` expected rows goes to several files, so a conference of any size is written by several tasks."""
+    more than `each` expected rows, or BYTES_A_FILE of text, goes to several files, so a conference of any size is written
+    by several tasks, and what a task gets does not grow with the corpus."""
     spark, number, buckets = folder.spark, old["batch"] + 1, old["count"]
-    slices = {b: -(-n // each) for b, n in expected.items()}
+    slices = {b: max(-(-n // each), -(-size // BYTES_A_FILE), 1) for b, (n, size) in expected.items()}
     parts = spark.createDataFrame([(b, s) for b, s in slices.items()], "bucket int, slices int")  # at most `buckets` rows
     rows = df.select(*COLUMNS, bucket_of(F.col("conf"), buckets).alias("bucket")).join(F.broadcast(parts), "bucket")
     slice_ = F.pmod(F.xxhash64("paper_url", "paper_name", "seq"), F.col("slices"))
@@ -59,6 +64,7 @@ def put_version(folder: Folder, df: DataFrame, old: dict, expected: dict[int, in
     kept = lambda of: {b: x for b, x in of.items() if int(b) not in expected}
     manifest = {
         "batch": number, "count": buckets, "schema": df.select(*COLUMNS).schema.jsonValue(),
+        "bytes": kept(old.get("bytes", {})) | {str(b): expected[b][1] * n // max(expected[b][0], 1) for b, n in again.items()},
         "buckets": kept(old["buckets"]) | {str(b): number for b in again}, "rows": kept(old["rows"]) | {str(b): n for b, n in again.items()},
     }
     folder.put(f"manifests/{number}", json.dumps(manifest))
@@ -98,7 +104,9 @@ def merge_into(new: DataFrame, path: str, each: int = ROWS_A_FILE) -> dict:
     if coming:
         held = read_corpus(spark, path, set(coming))
         held = fresh.limit(0) if held is None else held
-        expected = {b: n + old["rows"].get(str(b), 0) for b, n in coming.items()}
+        # a bucket whose manifest has no bytes yet counts as its new rows do
+        had = lambda b, n, size: (rows := old["rows"].get(str(b), 0), old.get("bytes", {}).get(str(b), rows * size // n))
+        expected = {b: tuple(map(sum, zip((n, size), had(b, n, size), strict=True))) for b, (n, size) in coming.items()}
         old = put_version(folder, merge_cleaned(fresh, held), old, expected, each)
     folder.remove("incoming")
     return old

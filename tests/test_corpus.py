@@ -119,3 +119,17 @@ def test_strata_by_ranges(spark, tmp_path):
     plan = ranged._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "windowspecdefinition(_part" in plan
     assert worklist.sample_strata(d.limit(0), strata, 40, 42, f"{tmp_path}/none").count() == 0
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """One conference with much text in few rows goes to several files, in the first version and after merges."""
+    monkeypatch.setattr(corpus, "BYTES_A_FILE", 20_000)
+    schema = "conf string, paper_name string, paper_url string, paper_abstract string, paper_authors array<string>, paper_code string, seq long"
+    rows = lambda first: spark.createDataFrame([("A2020", f"t{i}", f"https://e.org/{i}", "x" * 1000, ["a"], "#", i) for i in range(first, first + 100)], schema)
+    path = str(tmp_path / "c")
+    corpus.create_corpus(rows(0), path, buckets=4)
+    manifest = corpus.merge_into(rows(100), path)
+    (bucket, n), = manifest["rows"].items()
+    files = list((tmp_path / "c" / f"base/v={manifest['batch']}" / f"bucket={bucket}").glob("*.parquet"))
+    assert n == 200 and len(files) > 3 and corpus.read_corpus(spark, path).count() == 200
+    assert 200_000 <= manifest["bytes"][bucket] <= 220_000
