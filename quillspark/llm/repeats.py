@@ -412,5 +412,6 @@ def remove_repeats(
 
 
 def op4_remove_repeats(spark, sf_dir):
-    out = remove_repeats(shared.table(spark, sf_dir, "documents"), words=None)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """n_passages shows repeated passages of over 50 words, which may have fewer bytes than what is removed."""
+    out = remove_repeats(shared.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
